@@ -1,0 +1,174 @@
+"""Texts that hold placeholders, filler, error messages or script notices instead of content."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from scoreloom.llm.phrases import automaton, coverage, spans
+
+#: Phrases that say what a text is wherever they stand in it.
+ERROR = """
+internal server error|bad gateway|service unavailable|gateway timeout|too many requests|upstream request failed
+request timeout|something went wrong|an unexpected error occurred|cuda out of memory|out of memory error
+traceback (most recent call last)|connection refused|connection reset by peer|connectionerror:|timeouterror:
+rate limit exceeded|quota exceeded|resource_exhausted|model is overloaded|hết hạn mức gọi mô hình
+đã xảy ra lỗi hệ thống|đã xảy ra lỗi, vui lòng|lỗi máy chủ nội bộ|không thể tạo phản hồi|mất kết nối tới
+trang bạn yêu cầu không tồn tại|không tìm thấy trang|máy chủ quá tải|hệ thống đang bảo trì|phiên làm việc đã hết hạn
+ha ocurrido un error|error interno del servidor|une erreur s'est produite|ein fehler ist aufgetreten|terjadi kesalahan
+произошла ошибка|服务器错误|内部错误|サーバーエラー|エラーが発生しました|오류가 발생했습니다|เกิดข้อผิดพลาด
+""".replace("\n", "|").strip("|").split("|")
+SCRIPT = """
+enable javascript|requires javascript|javascript is disabled|javascript is required|javascript to run this app
+without javascript|turn on javascript|activate javascript|turn on scripts|enable scripts|please enable cookies
+bật javascript|kích hoạt javascript|cần javascript|không có javascript|yêu cầu javascript|tắt javascript
+yêu cầu bật script|bật script|đã tắt tập lệnh|bật tập lệnh|kích hoạt tập lệnh|<noscript>
+activer javascript|habilite javascript|habilitar javascript|active javascript|javascript aktivieren|aktifkan javascript
+включите javascript|启用javascript|启用 javascript|javascriptを有効|자바스크립트|checking your browser before accessing
+đang kiểm tra trình duyệt của bạn
+""".replace("\n", "|").strip("|").split("|")
+FILLER = """
+lorem ipsum|placeholder text|sample answer text|sample text goes here|your response goes here|your answer goes here
+your text goes here|insert text here|text goes here|content goes here|answer goes here|to be completed|coming soon
+văn bản giữ chỗ|văn bản mẫu, nội dung|nội dung đang được biên soạn|nội dung sẽ được cập nhật|đang cập nhật nội dung
+phần này để trống|chưa có nội dung|điền sau|viết lời giải ở đây|viết câu trả lời ở đây|nhập nội dung|nội dung mẫu
+texto de ejemplo|texto de relleno|texte de remplissage|platzhaltertext|teks contoh|此处填写|在此输入|待补充
+""".replace("\n", "|").strip("|").split("|")
+#: Phrases that count only where such phrases make up at least WEAK_SHARE of a text.
+WEAK = """
+not found|forbidden|unauthorized|bad request|timeout|quá tải|vui lòng thử lại sau|please try again later|try again
+mã tham chiếu|không phản hồi|trả về mã|error|lỗi|reload|tải lại trang|trình duyệt|browser|javascript|cookie|test|todo|tbd
+""".replace("\n", "|").strip("|").split("|")
+WEAK_SHARE = 0.35
+
+#: Words of nonsense filler, Latin-like and from the keyboard.
+LATIN = frozenset(
+    """lorem ipsum dolor sit amet consectetur adipiscing elit sed tempor incididunt labore dolore magna aliqua veniam nostrud
+    ullamco laboris nisi aliquip commodo consequat duis aute irure voluptate velit cillum fugiat nulla pariatur excepteur
+    sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum maris velor tempora nondum rutila pellis
+    viverum elitam quistam sedum nibhus porta lacus vivamus pellentesque quisque nibh mauris rutrum""".split()
+)
+KEYS = frozenset("foo bar baz qux blah asdf qwer qwerty zxcv hjkl test abc xxx xxxx xyz aaa".split())
+#: Names that templates give to what is to be filled in; names with an underscore count as well.
+NAMES = "answer|question|solution|response|name|value|text|content|result|prompt|input|output|title|date|user|topic|reason|explanation"
+
+_WORD = re.compile(r"[^\W\d_]+")
+_IDENT = rf"(?:[a-z]\w*_\w+|{NAMES})"
+PLACEHOLDER = re.compile(
+    r"\{\{[^{}\n]{1,60}\}\}"  # {{ name }}
+    r"|\{%[^{}\n]{1,60}%\}"  # {% name %}
+    r"|[$#]\{[^{}\n]{1,60}\}"  # ${name}, #{name}
+    r"|%\([A-Za-z_]\w*\)[sdrf]"  # %(name)s
+    r"|\[\[[A-Za-z_]\w*\]\]"  # [[name]]
+    r"|<<[A-Za-z_]\w*>>"  # <<name>>
+    r"|@@[A-Za-z_]\w*@@"  # @@NAME@@
+    r"|(?<!\w)__[A-Z][A-Z0-9_]*__(?!\w)"  # __NAME__
+    rf"|(?<![\\\w^}}_{{])\{{{_IDENT}\}}"  # {name}, but no formula or set
+    r"|<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>|\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\]"  # <A_NAME>, [A_NAME]
+    rf"|<{_IDENT}>|<(?:{NAMES.upper()})>|\[(?:{NAMES.upper()})\]"
+    r"|<insert\b[^<>\n]{0,60}>|\[insert\b[^\[\]\n]{0,60}\]|\[your\b[^\[\]\n]{0,60}\]"
+    r"|<[^<>\n]{0,60}(?:ở đây|o day|vào đây|here)>"
+    r"|\[(?i:điền|dien|nhập|nhap|chèn|thêm)\b[^\[\]\n]{0,60}\]"
+    r"|\[(?i:giải thích|giai thich|mô tả|mo ta|viết|lý do|tên|nêu)\b[^\[\]\n]{0,60}\]",
+)
+#: What every placeholder begins with.
+_ANY_MARK = re.compile(r"\{[{%A-Za-z]|[$#]\{|%\(|\[\[|<<|@@|__[A-Z]|[<\[][^\W\d_]")
+_STATUS = re.compile(
+    r"\b[45]\d\d\s*[-–—:]?\s*(?:not found|forbidden|unauthorized|bad request|request timeout|conflict|gone|payment required)\b"
+    r"|\bhttp(?:/\d(?:\.\d)?)?\s+[45]\d\d\b|^\W{0,3}error:\s.*\b[45]\d\d\b|\[error:|\"error\"\s*:\s*[{\"]|\bstatus\s*[=:]\s*[45]\d\d\b",
+    re.M,
+)
+_PHRASES = None
+
+
+def kind_of(text: str | None) -> tuple[str, float] | None:
+    """Kind of residue and the share of the text under matches, or None.
+
+    Kinds are placeholder, filler, error and script. A placeholder, a phrase of
+    ERROR, SCRIPT or FILLER, an HTTP status with its name, or five nonsense words
+    in a row make a case wherever they stand; weak phrases only by their coverage.
+    """
+    global _PHRASES
+    if not text:
+        return None
+    if _PHRASES is None:
+        _PHRASES = automaton({"error": ERROR, "script": SCRIPT, "filler": FILLER, "weak": WEAK})
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    if _ANY_MARK.search(text) and PLACEHOLDER.search(text):
+        return "placeholder", sum(len(x[0]) for x in PLACEHOLDER.finditer(text)) / len(text)
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower()[0] for c in text)
+    found = spans(_PHRASES, low)
+    for kind in ("script", "error", "filler"):
+        if kind in found:
+            return kind, coverage([s for v in found.values() for s in v]) / len(text)
+    if "4" in low or "5" in low or "error" in low:
+        if m := _STATUS.search(low):
+            return "error", (m.end() - m.start()) / len(text)
+    if (share := _nonsense(low)) > 0:
+        return "filler", share
+    weak = found.get("weak")
+    if weak:
+        share = coverage(weak) / max(1, len(text.strip()))
+        if share >= WEAK_SHARE and len(low.split()) > 1:
+            return "error", share
+    return None
+
+
+def _nonsense(low: str) -> float:
+    """Share of the text in runs of at least five filler words; 0 if there is none."""
+    # A run of filler words holds some of the most common ones.
+    if not any(w in low for w in ("lorem", "dolor", "velor", "amet", "ipsum", "tempor", "pellis", "fugiat", "foo", "qwer", "asdf", "xxx", "test ", "abc ", "blah", "hjkl", "zxcv")):
+        return 0.0
+    run = longest = 0
+    size = 0
+    for w in _WORD.findall(low):
+        if w in LATIN or w in KEYS:
+            run += 1
+            size += len(w) + 1
+        else:
+            run = 0
+        longest = max(longest, run)
+    only = longest >= 3 and size >= 0.9 * len(low.strip())
+    return size / len(low) if longest >= 5 or only else 0.0
+
+
+def residue(df: DataFrame, id_col: str, text_cols: list[str], out_id: str = "result_id") -> DataFrame:
+    """One row for each text of `text_cols` that is residue: id, text_field, kind, share.
+
+    One pass without a shuffle over whole texts. Null, empty and blank texts are
+    no residue; repeated rows come out each; an empty table gives no row.
+    """
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at, field, kind, share = [], [], [], []
+            for k, name in enumerate(text_cols, 1):
+                for i, text in enumerate(batch.column(k).to_pylist()):
+                    if text and (r := kind_of(text)):
+                        at.append(i)
+                        field.append(name)
+                        kind.append(r[0])
+                        share.append(r[1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(field, pa.string()), pa.array(kind, pa.string()), pa.array(share, pa.float64())],
+                [out_id, "text_field", "kind", "share"],
+            )
+
+    schema = T.StructType(
+        [
+            T.StructField(out_id, df.schema[id_col].dataType),
+            T.StructField("text_field", T.StringType()),
+            T.StructField("kind", T.StringType()),
+            T.StructField("share", T.DoubleType()),
+        ]
+    )
+    return df.select(f"`{id_col}`", *(f"`{c}`" for c in text_cols)).mapInArrow(run, schema)
