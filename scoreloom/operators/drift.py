@@ -1,8 +1,9 @@
 """Schemas that drift between the files of a series: changes, and one consistent table.
 
-Each file's schema is read from its records' top-level keys, types are folded
-through a promotion lattice, records are cast to the union schema, and the
-differences between consecutive files are logged in order.
+The schema of each file is read from the top-level keys of its records. A field's
+type in a file is the most frequent of its values' types; over files the types
+are folded through a promotion lattice, records are cast to the union schema, and
+the differences between consecutive files are logged in order.
 """
 
 from __future__ import annotations
@@ -10,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The promotion lattice: the least upper bound of a set of JSON types.
-#: boolean, number and string are promoted to string; a list or an object
-#: together with anything else is kept as JSON text.
-LATTICE = ("boolean", "number", "array", "object", "string")
+from scoreloom.session import BROADCAST_ROWS, written
+
+#: JSON types in the order of the alphabet.
+TYPES = ("array", "boolean", "number", "object", "string")
 #: A new name is a renamed one if at least this share of the values that both
-#: files hold agree, and for values that can hardly differ, such as truth
-#: values, at least the second share.
+#: files hold agree, and for truth values, which agree easily, the second share.
 SAME_VALUES, SAME_FLAGS = 0.5, 0.8
 
 
-def _json_type(value: Column) -> Column:
+def json_type(value: Column) -> Column:
+    """The JSON type of a variant; null for a JSON null."""
     name = F.schema_of_variant(value)
     return (
         F.when(name == "VOID", F.lit(None).cast("string"))
@@ -32,127 +33,202 @@ def _json_type(value: Column) -> Column:
     )
 
 
-def _canonical(value: Column) -> Column:
-    """A value as text, the same for a scalar, for it as text and for a one-element list of it."""
+def canonical(value: Column) -> Column:
+    """A value as text: the same for a scalar, for it as text and for a one-element list of it."""
     text = F.to_json(value)
-    inner = F.when(
-        F.schema_of_variant(value).startswith("ARRAY") & F.try_variant_get(value, "$[1]", "variant").isNull(),
-        F.to_json(F.try_variant_get(value, "$[0]", "variant")),
-    ).otherwise(text)
+    single = F.schema_of_variant(value).startswith("ARRAY") & F.try_variant_get(value, "$[1]", "variant").isNull()
+    inner = F.when(single, F.to_json(F.try_variant_get(value, "$[0]", "variant"))).otherwise(text)
     bare = F.when(inner.startswith('"'), F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), inner, F.lit("}")), "$.v"), inner)).otherwise(inner)
     number = F.try_variant_get(F.try_parse_json(F.when(bare.rlike(r"^-?\d"), bare)), "$", "double")
     return F.when(number.isNotNull(), number.cast("string")).when(F.lower(bare).isin("true", "false"), F.lower(bare)).otherwise(bare)
 
 
-def fields(records: DataFrame) -> DataFrame:
-    """One row for each top-level field of each record: file_id, line_no, record_key, name, value.
+def fields(records: DataFrame, *keep: str) -> DataFrame:
+    """One row for each top-level field of each record: the columns kept, name, value.
 
     A payload that isn't one JSON object with keys of different names has no fields.
     """
-    parsed = records.select("file_id", "line_no", "record_key", F.try_parse_json("payload").alias("payload"))
-    parsed = parsed.where(F.schema_of_variant("payload").startswith("OBJECT"))
-    spark = records.sparkSession
-    exploded = parsed.lateralJoin(spark.tvf.variant_explode(F.col("payload").outer()))
-    return exploded.select("file_id", "line_no", "record_key", F.col("key").alias("name"), "value")
+    parsed = records.select(*keep, F.try_parse_json("payload").alias("payload"))
+    parsed = parsed.where(F.col("payload").isNotNull() & F.schema_of_variant("payload").startswith("OBJECT"))
+    exploded = parsed.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("payload").outer()))
+    return exploded.select(*keep, F.col("key").alias("name"), "value")
 
 
-def file_schemas(found: DataFrame) -> DataFrame:
+def file_schemas(records: DataFrame) -> DataFrame:
     """The type of each field of each file, the most frequent of its non-null values: file_id, name, type.
 
     Of types that are equally frequent the first of the alphabet counts; a field
-    that is null throughout has a null type.
+    that is null throughout has a null type. Counts are combined before the shuffle.
     """
-    counts = found.groupBy("file_id", "name", _json_type(F.col("value")).alias("type")).count()
-    typed = counts.groupBy("file_id", "name").agg(
-        F.filter(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "type"))), lambda x: x["type"].isNotNull())[0]["type"].alias("type")
-    )
-    return typed
+    typed = fields(records, "file_id").select("file_id", "name", json_type(F.col("value")).alias("t"))
+    counts = typed.groupBy("file_id", "name").agg(*(F.count_if(F.col("t") == t).alias(t) for t in TYPES))
+    most = F.greatest(*TYPES)
+    chosen = F.when(most == 0, F.lit(None).cast("string"))
+    for t in TYPES:
+        chosen = chosen.when(F.col(t) == most, t)
+    return counts.select("file_id", "name", chosen.alias("type"))
+
 
+def _transitions(files: DataFrame, records: DataFrame) -> DataFrame:
+    """For each file with one before it, its new, gone and retyped fields: file_id, before_id, name, how, old_type, new_type.
 
-def file_pairs(files: DataFrame) -> DataFrame:
-    """Each file with the one before it in its series: file_id, before_id."""
-    this = files.select("file_id", "exporter", "dataset", (F.col("file_no") - 1).alias("no"))
-    before = files.select(F.col("file_id").alias("before_id"), F.col("exporter").alias("e"), F.col("dataset").alias("d"), F.col("file_no").alias("n"))
-    same = F.col("exporter").eqNullSafe(F.col("e")) & F.col("dataset").eqNullSafe(F.col("d")) & (F.col("no") == F.col("n"))
-    return this.join(before, same).select("file_id", "before_id")
+    A field's files are put in order; a field that the file before lacks is new,
+    one that the file after lacks is gone there.
+    """
+    series = ["exporter", "dataset"]
+    one = files.select("file_id", *series, F.col("file_no").cast("long").alias("no"))
+    in_order = Window.partitionBy(*series).orderBy("no", "file_id")
+    one = one.withColumn("before_id", F.when(F.lag("no").over(in_order) == F.col("no") - 1, F.lag("file_id").over(in_order)))
+    one = one.withColumn("after_id", F.when(F.lead("no").over(in_order) == F.col("no") + 1, F.lead("file_id").over(in_order)))
+    held = file_schemas(records).join(one, "file_id")
+    of_field = Window.partitionBy(*series, "name").orderBy("no", "file_id")
+    held = held.select(
+        "*",
+        (F.lag("file_id").over(of_field) == F.col("before_id")).alias("kept_before"),
+        F.lag("type").over(of_field).alias("type_before"),
+        (F.lead("file_id").over(of_field) == F.col("after_id")).alias("kept_after"),
+    )
+    none = F.lit(None).cast("string")
+    event = lambda how, f, b, old, new: F.struct(F.lit(how).alias("how"), f.alias("file_id"), b.alias("before_id"), old.alias("old_type"), new.alias("new_type"))
+    this, before, after, kind = F.col("file_id"), F.col("before_id"), F.col("after_id"), F.col("type")
+    is_kept = F.coalesce("kept_before", F.lit(False))
+    events = F.array(
+        F.when(before.isNotNull() & ~is_kept, event("new", this, before, none, kind)),
+        F.when(is_kept & (F.col("type_before") != kind), event("retyped", this, before, F.col("type_before"), kind)),
+        F.when(after.isNotNull() & ~F.coalesce("kept_after", F.lit(False)), event("gone", after, this, kind, none)),
+    )
+    return held.select("name", F.explode(F.array_compact(events)).alias("e")).select("e.*", "name")
 
 
-def renames(found: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+def _renames(records: DataFrame, events: DataFrame) -> DataFrame:
     """Which new names hold the values of names that are gone: file_id, name, old_name.
 
-    Values are compared for the records that both files hold, by record_key, and
-    each name is matched at most once, the closest pair first.
+    Values are compared for the records that both files hold, by record_key; of a
+    record whose lines differ the least value counts. Each name is matched at most
+    once, the closest pair first.
     """
-    names = new.select("file_id", "before_id", "name").join(gone.select("file_id", F.col("name").alias("old_name")), "file_id")
-    value = found.where(~F.is_variant_null("value")).select(
-        "file_id", "record_key", "name", F.xxhash64(_canonical(F.col("value"))).alias("v"), (_json_type(F.col("value")) == "boolean").alias("flag")
+    both = events.where(F.col("how") != "retyped").groupBy("file_id", "before_id").agg(
+        F.collect_list(F.when(F.col("how") == "new", F.col("name"))).alias("new"), F.collect_list(F.when(F.col("how") == "gone", F.col("name"))).alias("gone")
+    )
+    both = both.where((F.size("new") > 0) & (F.size("gone") > 0))
+    side = lambda name, f, names: F.struct(f.alias("file_id"), F.col("file_id").alias("pair"), F.lit(name).alias("side"), names.alias("names"))
+    wanted = both.select(F.explode(F.array(side("new", F.col("file_id"), F.col("new")), side("old", F.col("before_id"), F.col("gone")))).alias("w")).select("w.*")
+    # A file is in at most two pairs.
+    wanted = wanted.groupBy("file_id").agg(F.collect_list(F.struct("pair", "side", "names")).alias("wanted"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    found = fields(records.where(F.col("record_key").isNotNull()).join(wanted, "file_id"), "record_key", "wanted")
+    found = found.where(~F.is_variant_null("value")).select("record_key", "name", "value", F.explode("wanted").alias("w"))
+    found = found.where(F.array_contains("w.names", F.col("name")))
+    value = found.select("w.pair", "w.side", "record_key", "name", F.xxhash64(canonical(F.col("value"))).alias("v"), (json_type(F.col("value")) == "boolean").alias("flag"))
+    value = value.groupBy("pair", "record_key", "side", "name").agg(F.min("v").alias("v"), F.max("flag").alias("flag"))
+    by_record = value.groupBy("pair", "record_key").agg(
+        F.collect_list(F.when(F.col("side") == "new", F.struct("name", "v", "flag"))).alias("new"),
+        F.collect_list(F.when(F.col("side") == "old", F.struct("name", "v"))).alias("old"),
     )
-    value = value.dropDuplicates(["file_id", "record_key", "name", "v"])
-    left = value.join(names.select("file_id", "name").distinct(), ["file_id", "name"], "left_semi")
-    right = value.join(names.select(F.col("before_id").alias("file_id"), F.col("old_name").alias("name")).distinct(), ["file_id", "name"], "left_semi")
-    right = right.select(F.col("file_id").alias("before_id"), "record_key", F.col("name").alias("old_name"), F.col("v").alias("old_v"))
-    both = names.join(left, ["file_id", "name"]).join(right, ["before_id", "old_name", "record_key"])
-    score = both.groupBy("file_id", "name", "old_name").agg(
-        F.countDistinct(F.when(F.col("v") == F.col("old_v"), F.col("record_key"))).alias("same"),
-        F.countDistinct("record_key").alias("shared"),
-        F.countDistinct(F.when(F.col("v") == F.col("old_v"), F.col("v"))).alias("different"),
-        F.max("flag").alias("flag"),
+    compared = by_record.select("pair", F.explode("new").alias("n"), "old").select("pair", "n", F.explode("old").alias("o"))
+    score = compared.groupBy("pair", F.col("n.name").alias("name"), F.col("o.name").alias("old_name")).agg(
+        F.count_if(F.col("n.v") == F.col("o.v")).alias("same"), F.count("*").alias("shared"), F.max("n.flag").alias("flag")
     )
     share = F.col("same") / F.col("shared")
     enough = F.when(F.col("flag"), share >= SAME_FLAGS).otherwise(share >= SAME_VALUES)
-    score = score.where((F.col("same") > 0) & enough).withColumn("rank", F.struct(share.alias("s"), "different", "same"))
-    by_new = Window.partitionBy("file_id", "name").orderBy(F.col("rank").desc(), "old_name")
-    by_old = Window.partitionBy("file_id", "old_name").orderBy(F.col("rank").desc(), "name")
+    score = score.where((F.col("same") > 0) & enough).withColumn("rank", F.struct(share.alias("s"), "same"))
+    by_new = Window.partitionBy("pair", "name").orderBy(F.col("rank").desc(), "old_name")
+    by_old = Window.partitionBy("pair", "old_name").orderBy(F.col("rank").desc(), "name")
     ranked = score.withColumn("a", F.row_number().over(by_new)).withColumn("b", F.row_number().over(by_old))
-    return ranked.where((F.col("a") == 1) & (F.col("b") == 1)).select("file_id", "name", "old_name")
+    return ranked.where((F.col("a") == 1) & (F.col("b") == 1)).select(F.col("pair").alias("file_id"), "name", "old_name")
 
 
 def changes(files: DataFrame, records: DataFrame) -> DataFrame:
     """Every change of a file's schema against the file before it: file_id, field_name, change_kind, old_name, old_type, new_type.
 
     Kinds are `renamed`, `added`, `removed` and `retyped`; a field that is renamed
-    and changes type has two rows. The first file of a series has none. Rows of
-    any file may lie anywhere; a file without records has no fields. Records that
-    occur twice count twice for types and once for renames; null record keys
-    match nothing; a field that is null throughout has no type to change.
-    Empty tables give an empty log.
+    and changes type has two rows. The first file of a series has none, and so has
+    a file whose number doesn't follow another's. A file without records has no
+    fields. Records that occur twice count twice for types and once for renames;
+    null record keys match nothing; a field that is null throughout has no type
+    to change. Empty tables give an empty log.
+
+    The payloads are parsed twice: once for the schemas, whose few differences are
+    written to the checkpoint folder, and once for the values of new and gone
+    names only.
     """
-    found = fields(records)
-    schemas = file_schemas(found)
-    pairs = file_pairs(files)
-    now = pairs.join(schemas, "file_id").select("file_id", "before_id", "name", F.col("type").alias("new_type"))
-    old = pairs.join(schemas.withColumnRenamed("file_id", "before_id"), "before_id").select(
-        "file_id", F.col("before_id").alias("b"), F.col("name").alias("n"), F.col("type").alias("old_type")
-    )
-    n, o = now.alias("n"), old.alias("o")
-    both = n.join(o, (F.col("n.file_id") == F.col("o.file_id")) & (F.col("n.name") == F.col("o.n")), "full")
-    both = both.select(
-        F.coalesce("n.file_id", "o.file_id").alias("file_id"),
-        F.coalesce("n.before_id", "o.b").alias("before_id"),
-        "name", F.col("o.n").alias("was"), "new_type", "old_type",
-    )
-    new = both.where(F.col("was").isNull()).select("file_id", "before_id", "name", "new_type")
-    gone = both.where(F.col("name").isNull()).select("file_id", F.col("was").alias("name"), "old_type")
-    moved = renames(found, new, gone)
-    new = new.join(moved, ["file_id", "name"], "left")
-    gone_old = gone.select("file_id", F.col("name").alias("old_name"), "old_type")
-    new = new.join(gone_old, ["file_id", "old_name"], "left")
-    kept = both.where(F.col("name").isNotNull() & F.col("was").isNotNull()).select("file_id", "name", F.col("name").alias("old_name"), "old_type", "new_type")
-    arrived = new.select(
-        "file_id", F.col("name").alias("field_name"), F.when(F.col("old_name").isNull(), "added").otherwise("renamed").alias("change_kind"), "old_name", "old_type", "new_type"
-    )
-    left = gone.join(moved.select("file_id", F.col("old_name").alias("name")), ["file_id", "name"], "left_anti")
-    removed = left.select(
-        "file_id", F.col("name").alias("field_name"), F.lit("removed").alias("change_kind"), F.col("name").alias("old_name"), "old_type", F.lit(None).cast("string").alias("new_type")
-    )
-    same = kept.unionByName(new.where(F.col("old_name").isNotNull()).select("file_id", "name", "old_name", "old_type", "new_type"))
-    retyped = same.where(F.col("old_type") != F.col("new_type")).select(
-        "file_id", F.col("name").alias("field_name"), F.lit("retyped").alias("change_kind"), "old_name", "old_type", "new_type"
+    events = written(_transitions(files, records))
+    moved = _renames(records, events)
+    new = events.where(F.col("how") == "new").join(moved, ["file_id", "name"], "left")
+    gone = events.where(F.col("how") == "gone").select("file_id", F.col("name").alias("old_name"), "old_type")
+    # Each gone name meets the new name that took it over, if there is one.
+    met = new.drop("old_type", "how", "before_id").join(gone, ["file_id", "old_name"], "full")
+    event = lambda kind, name: F.struct(name.alias("field_name"), F.lit(kind).alias("change_kind"))
+    name, old = F.col("name"), F.col("old_name")
+    kinds = F.array(
+        F.when(name.isNotNull() & old.isNotNull(), event("renamed", name)),
+        F.when(name.isNotNull() & old.isNull(), event("added", name)),
+        F.when(name.isNull(), event("removed", old)),
+        F.when(name.isNotNull() & old.isNotNull() & (F.col("old_type") != F.col("new_type")), event("retyped", name)),
     )
-    return arrived.unionByName(removed).unionByName(retyped)
+    first = met.select("file_id", F.explode(F.array_compact(kinds)).alias("e"), "old_name", "old_type", "new_type")
+    first = first.select("file_id", "e.field_name", "e.change_kind", "old_name", "old_type", "new_type")
+    kept = events.where(F.col("how") == "retyped").select("file_id", F.col("name").alias("field_name"), F.lit("retyped").alias("change_kind"), F.col("name").alias("old_name"), "old_type", "new_type")
+    return first.unionByName(kept)
 
 
-def promoted(types: Column) -> Column:
-    """The least type of the lattice that holds all of an array of types."""
-    kinds = F.array_distinct(F.filter(types, lambda t: t.isNotNull()))
-    return F.when(F.size(kinds) == 1, kinds[0]).when(F.size(kinds) == 0, "string").otherwise("string")
+def promote(types: set[str | None]) -> str:
+    """The least type that holds all given types: one type itself, else text.
+
+    Null is below every type; text, which holds any value as JSON, is above all.
+    """
+    known = {t for t in types if t}
+    return known.pop() if len(known) == 1 else "string"
+
+
+#: How each type of the lattice is stored in the consistent table.
+COLUMN_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
+
+
+def one_table(files: DataFrame, records: DataFrame, dataset: str, majority: float = 0.95) -> DataFrame:
+    """All records of a dataset as one table with one column for each field.
+
+    Names that a rename links are one field, called by its most frequent name (of
+    equally frequent ones the first). A field's type is the one that at least
+    `majority` of its non-null values have, or can be cast to, over all files; else
+    text. Values that can't be cast, the strays, become null; lists and objects are
+    kept as JSON text. Columns are file_id, line_no, record_key and the fields in
+    the order of the alphabet; a field called like one of these gets a `_` after it.
+    Lines that occur twice come out twice. The list of names is small, as schemas
+    are; no values reach the driver.
+    """
+    own = files.where(F.col("dataset") == dataset)
+    rows = records.join(own.select("file_id"), "file_id")
+    typed = fields(rows, "file_id").select("name", json_type(F.col("value")).alias("t"), F.try_variant_get("value", "$", "double").isNotNull().alias("numeric"))
+    counts = typed.groupBy("name").agg(
+        F.count("*").alias("n"), F.count("t").alias("known"), F.count_if("numeric").alias("numeric"), *(F.count_if(F.col("t") == t).alias(t) for t in TYPES)
+    )
+    seen = {r.name: r for r in counts.collect()}
+    log = changes(own, rows)
+    links = log.where(F.col("change_kind") == "renamed").select("field_name", "old_name").distinct().collect()
+    group = {n: n for n in seen}
+
+    def root(n: str) -> str:
+        while group[n] != n:
+            n = group[n]
+        return n
+
+    for a, b in sorted(map(tuple, links)):
+        group[root(a)] = root(b)
+    members: dict[str, list[str]] = {}
+    for n in sorted(seen):
+        members.setdefault(root(n), []).append(n)
+    variant = F.try_parse_json("payload")
+    columns = []
+    for names in members.values():
+        main = min(names, key=lambda n: (-seen[n]["n"], n))
+        known = sum(seen[n]["known"] for n in names) or 1
+        kind = promote({t for t in TYPES if sum(seen[n][t] for n in names) > (1 - majority) * known})
+        if kind == "string" and sum(seen[n]["numeric"] for n in names) >= majority * known:
+            kind = "number"
+        value = F.coalesce(*(F.try_variant_get("v", f"$['{n}']", COLUMN_TYPES[kind]) for n in sorted(names, key=lambda n: (n != main, n)) if "'" not in n))
+        columns.append((main, value))
+    fixed = ["file_id", "line_no", "record_key"]
+    named = [v.alias(n + "_" if n in fixed else n) for n, v in sorted(columns, key=lambda x: x[0])]
+    return rows.select(*fixed, variant.alias("v")).select(*fixed, *named)
