@@ -26,6 +26,8 @@ el los las una que por para con les des est une dans pour sur der die und das is
 PHRASE_WORDS, PHRASE_COUNT, PHRASE_SHARE = 6, 6, 0.10
 #: Share of a segment's words under keyword phrases, or under any repeat, from which it counts as a list.
 STUFFED, REPEATED = 0.35, 0.5
+#: So many segments must say a keyword twice.
+STUFFED_SEGMENTS = 3
 
 _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"']+", re.I)
@@ -82,13 +84,12 @@ class Segment:
         self.at, self.size, self.clause, self.listed, self.numeric = at, size, clause, listed, numeric
 
 
-def segments(text: str) -> tuple[list[str], list[Segment], int]:
-    """The page's words, its segments, and how many words stand in links taken out of sentences."""
+def segments(text: str) -> tuple[list[str], list[Segment], frozenset[str]]:
+    """The page's words, its segments, and the words that hold its clauses together."""
     text = plain(text)
     glue_words = _CLAUSE if _MARKED.search(text) else _BARE
     words: list[str] = []
     found: list[Segment] = []
-    linked = 0
     for line in _LINE.split(text):
         if not line or line.isspace():
             continue
@@ -120,30 +121,29 @@ def segments(text: str) -> tuple[list[str], list[Segment], int]:
             n = len(tokens)
             if not n:
                 continue
-            glue = sum(map(glue_words.__contains__, tokens))
-            digits = sum(t.isdigit() or len(t) == 1 for t in tokens)
+            glue = len(glue_words.intersection(tokens))
             end = part.rstrip()[-1:]
             stop = end in ".!?;:,。…\")"
             if not glue and end in ".!?":
-                glue = sum(map(_LIGHT.__contains__, tokens))
+                glue = len(_LIGHT.intersection(tokens))
             clause = n >= 4 and (glue >= 2 and glue * 12 >= n or glue >= 1 and stop and glue * 20 >= n)
-            numeric = digits * 2 >= n
+            numeric = not clause and 2 * sum(t.isdigit() or len(t) == 1 for t in tokens) >= n
             if "#" in part and (tags := _HASHTAG.findall(part)):
                 listed = 2 * len(tags) >= len(part.split())
-            if not listed:
+            if not listed and not (clause and stop):
                 crumbs = len(_CRUMB.findall(part))
                 if crumbs >= 2 and n <= 7 * (crumbs + 1) and not numeric and (glue * 5 < n or end not in ".!?"):
                     listed = True
                 elif end not in ".!?" and part.count(" - ") + part.count("|") >= 2 and _PRICE.search(part):
                     listed = True
-            if not listed and not numeric and part.count(",") + part.count("|") + part.count(";") >= 4:
+            if clause and not listed and n >= 8 and part.count(",") + part.count("|") + part.count(";") >= 4:
                 pieces = [p.split() for p in _LISTMARK.split(part)]
                 short = sum(len(p) <= 8 for p in pieces)
                 if short >= 0.9 * len(pieces) and glue * 12 < n:
                     clause = False
             found.append(Segment(len(words), n, clause and not listed, listed, numeric))
             words += tokens
-    return words, found, linked
+    return words, found, glue_words
 
 
 def keyword_share(text: str) -> float:
@@ -159,7 +159,7 @@ def keyword_share(text: str) -> float:
     text = mended(text)
     if "&" in text:
         text = html.unescape(text)
-    words, parts, _ = segments(text)
+    words, parts, glue_words = segments(text)
     total = len(words)
     if total < 5:
         return 0.0
@@ -174,26 +174,42 @@ def keyword_share(text: str) -> float:
         return (sure) / total
     automaton = SuffixAutomaton(words)
     repeated = covered(automaton.repeats(), 2)
-    stuffed = _under_phrases(automaton, words) if phrases else None
+    stuffed = _stuffed(words, parts, _under_phrases(automaton, words), glue_words) if phrases else [False] * len(parts)
     spam = 0
-    for s in parts:
+    for s, full in zip(parts, stuffed):
         if s.listed:
             spam += s.size
         elif not s.numeric:
             span = slice(s.at, s.at + s.size)
             if not s.clause and sum(repeated[span]) >= REPEATED * s.size:
                 spam += s.size
-            elif stuffed and _stuffed(words[span], stuffed[span]):
+            elif full:
                 spam += s.size
     return spam / total
 
 
-def _stuffed(words: list[str], under: list[bool]) -> bool:
-    """Whether a sentence is there for a keyword: it says it twice, or hardly anything else."""
-    key = [w for w, u in zip(words, under) if u]
-    if len(key) < STUFFED * len(words):
-        return False
-    return len(set(key)) < len(key) or 2 * len(key) >= len(words) and len(words) <= 6
+def _stuffed(words: list[str], parts: list[Segment], under: list[bool], glue_words: frozenset[str]) -> list[bool]:
+    """Which segments are there for a keyword of the page.
+
+    A keyword is a pair of words, none of them one that holds clauses together,
+    that single segments say twice, at least STUFFED_SEGMENTS of them. Segments
+    with such a pair count if keyword phrases make up the share STUFFED of them;
+    a sentence with two numbers, as in exercises, doesn't.
+    """
+    free = [u and w not in glue_words for w, u in zip(words, under)]
+    held: list[set[tuple[str, str]]] = []
+    twice: Counter[tuple[str, str]] = Counter()
+    for s in parts:
+        pairs = Counter((words[i], words[i + 1]) for i in range(s.at, s.at + s.size - 1) if free[i] and free[i + 1])
+        held.append(set(pairs))
+        twice.update(p for p, n in pairs.items() if n > 1)
+    keys = {p for p, n in twice.items() if n >= STUFFED_SEGMENTS}
+    return [
+        bool(h & keys)
+        and sum(free[s.at : s.at + s.size]) >= STUFFED * s.size
+        and len({w for w in words[s.at : s.at + s.size] if w.isdigit()}) < 2
+        for s, h in zip(parts, held)
+    ]
 
 
 def _under_phrases(automaton: SuffixAutomaton, words: list[str]) -> list[bool]:
