@@ -1,24 +1,30 @@
-"""All queries of the library with their SQL."""
+"""All queries of the core with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from scoreloom.operators import drift
+from scoreloom.plans import analytics  # noqa: F401
+from scoreloom.plans.base import QUERIES, SQL, Query, query
 from scoreloom.sources.tables import table
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+@query("p5_found")
+def p5_found(spark, folder):
     files, records = table(spark, folder, "raw_files"), table(spark, folder, "raw_records")
     return drift.changes(files, records).select("file_id", "field_name", "change_kind")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+def _one_table(dataset: str) -> None:
+    query(f"p5_table_{dataset}")(lambda spark, folder: drift.one_table(table(spark, folder, "raw_files"), table(spark, folder, "raw_records"), dataset))
+
+
+for _dataset in ("analyzed_results", "processed_results", "results"):
+    _one_table(_dataset)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
