@@ -47,3 +47,13 @@ def gcd(a: Column, b: Column) -> Column:
     start = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).alias("y")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(96)), start, step, lambda s: s["x"])
+
+
+def let(f, *values: Column) -> Column:
+    """f of the values, each computed once, however often f uses it.
+
+    A column that a lambda uses is computed again for every element; bound to a
+    lambda's own variable it isn't.
+    """
+    bound = F.array(F.struct(*(v.alias(f"v{k}") for k, v in enumerate(values))))
+    return F.get(F.transform(bound, lambda s: f(*(s[f"v{k}"] for k in range(len(values))))), F.lit(0))
