@@ -8,9 +8,18 @@ from scoreloom.functions import scoring as sc
 from scoreloom.functions import text as tx
 from scoreloom.functions.numbers import fraction_equal, gcd, number_equal, round6
 from scoreloom.plans.analytics import PX, r6, scored
-from scoreloom.plans.base import R, query, results
+from scoreloom.plans.base import R, query
+from scoreloom.plans.base import results as _results
+from scoreloom.session import spread
 from scoreloom.sources.tables import table
 
+
+def results(spark, folder):
+    """Result rows for row scores, which cost more than moving the few columns they read."""
+    kept = ("result_id", "model_name", "prompt_type", "question_text", "response", "expected_answer", "is_correct", "rouge1_f", "bleu", "reasoning_scores_str", "error_type", "error_explanation")
+    return spread(_results(spark, folder).select(*kept))
+
+
 #: The same expressions in SQL.
 _SP = r"[ \t\n\r\f\v]"
 _PUNCT = tx.PUNCTUATION.replace("'", "''")
