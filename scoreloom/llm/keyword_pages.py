@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from scoreloom.llm.suffix_automaton import SuffixAutomaton, covered
+from scoreloom.session import spread
 
 #: Words that hold clauses together, by language; texts without accents are compared without.
 CLAUSE_WORDS = """
@@ -245,4 +246,4 @@ def keyword_pages(df: DataFrame, id_col: str, text_col: str, over: float = 0.5,
             )
 
     schema = T.StructType([T.StructField(out_id, df.schema[id_col].dataType), T.StructField("keyword_share", T.DoubleType())])
-    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)
+    return spread(df.select(f"`{id_col}`", f"`{text_col}`")).mapInArrow(run, schema)

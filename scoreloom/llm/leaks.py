@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from scoreloom.llm.letters import plain_codes
+from scoreloom.session import spread
 
 #: Characters of items that one pass holds; more items are searched in blocks.
 BLOCK_CHARS = 8_000_000
@@ -198,7 +199,7 @@ def find_leaks(
     schema = T.StructType(
         [T.StructField("doc_id", corpus.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType)]
     )
-    docs = corpus.select(f"`{doc_id}`", f"`{doc_text}`")
+    docs = spread(corpus.select(f"`{doc_id}`", f"`{doc_text}`"))
     spark = corpus.sparkSession
     parts = [
         docs.mapInArrow(_searcher(spark.sparkContext.broadcast(block), min_words, edits), schema)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from scoreloom.llm.phrases import automaton, coverage, spans
+from scoreloom.session import spread
 
 #: Phrases that say what a text is wherever they stand in it.
 ERROR = """
@@ -171,4 +172,4 @@ def residue(df: DataFrame, id_col: str, text_cols: list[str], out_id: str = "res
             T.StructField("share", T.DoubleType()),
         ]
     )
-    return df.select(f"`{id_col}`", *(f"`{c}`" for c in text_cols)).mapInArrow(run, schema)
+    return spread(df.select(f"`{id_col}`", *(f"`{c}`" for c in text_cols))).mapInArrow(run, schema)

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from scoreloom.session import spread
+
 #: The word pattern published with the vocabulary, with the white
 #: space class written out so that every engine agrees on it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -223,4 +225,4 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks_path: str, ou
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [out_id, "ids"])
 
     schema = T.StructType([T.StructField(out_id, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)
+    return spread(df.select(f"`{id_col}`", f"`{text_col}`")).mapInArrow(run, schema)
