@@ -138,7 +138,7 @@ def format_number(c: Column, places: int = 2, comma: bool = True, currency: str
 
 
 def sentences(c: Column) -> Column:
-    """Sentences of a text, split after a stop that follows no digit and no abbreviation."""
+    """Sentences of a text, split after a stop and white space, but not inside an abbreviation such as `p.m.`."""
     parts = F.split(normalize_spacing(c), r"(?<![0-9])(?<!\w\.\w\.)(?<=[.?!])\s+")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 

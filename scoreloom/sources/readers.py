@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,20 +23,33 @@ LEGACY_ROW = T.StructType(
 )
 
 
+def _listed(first_line: str) -> Column | None:
+    """How to get the items of a document that begins so; None if it is one object a line."""
+    whole = F.trim("value")
+    if first_line.startswith("["):
+        return F.from_json(whole, T.ArrayType(T.StringType()))
+    try:
+        value = json.loads(first_line)
+    except ValueError:
+        value = None  # an object over several lines
+    if isinstance(value, dict) and not any(isinstance(v, list) and v and isinstance(v[0], dict) for v in value.values()):
+        return None
+    return F.from_json(F.regexp_extract(whole, r"(?s)^\{.*?:\s*(\[.*\])", 1), T.ArrayType(T.StringType()))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSON array, JSON lines, or an object that holds a list of them.
 
     Rows need an id and a question (`text` stands for it); `solution` wins over
     `answer`; type and difficulty have defaults. Other rows are dropped.
     """
-    raw = spark.read.text(path, wholetext=True)
-    whole = F.trim("value")
-    # An object whose first list holds the questions, an array, or one object a line.
-    listed = F.from_json(F.regexp_extract(whole, r"(?s)^\{.*?:\s*(\[.*\])", 1), T.ArrayType(T.StringType()))
-    array = F.from_json(whole, T.ArrayType(T.StringType()))
-    lines = F.split(whole, r"\r?\n")
-    is_lines = whole.startswith("{") & (F.size(F.filter(lines, lambda x: F.from_json(x, "map<string,string>").isNotNull())) == F.size(lines))
-    items = F.when(whole.startswith("["), array).when(is_lines, lines).otherwise(listed)
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    first = rows.first()
+    items = _listed(first.value.strip()) if first else None
+    if items is None:  # one object a line: any number of lines, read in parallel
+        raw, items = rows, F.array("value")
+    else:  # one document, which is a task's work as a whole
+        raw = spark.read.text(path, wholetext=True)
     q = raw.select(F.explode(items).alias("item")).select(F.from_json("item", QUESTION).alias("q")).select("q.*")
     text = F.coalesce("question", "text")
     return q.where(F.col("id").isNotNull() & text.isNotNull()).select(
