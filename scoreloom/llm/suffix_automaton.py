@@ -42,7 +42,9 @@ class SuffixAutomaton:
 
     def repeats(self) -> list[int]:
         """For each position, the length of the longest substring ending there that occurs elsewhere too."""
-        return [self.length[self.link[v]] for v in self.ends]
+        # A whole prefix occurs again if a longer substring's suffix link leads to it.
+        again = set(self.link)
+        return [self.length[v] if v in again else self.length[self.link[v]] for v in self.ends]
 
     def counts(self) -> list[int]:
         """How often the substrings of each state occur."""
