@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scoreloom.llm.letters import plain_codes
 from scoreloom.session import spread
@@ -202,7 +203,7 @@ def find_leaks(
     docs = spread(corpus.select(f"`{doc_id}`", f"`{doc_text}`"))
     spark = corpus.sparkSession
     parts = [
-        docs.mapInArrow(_searcher(spark.sparkContext.broadcast(block), min_words, edits), schema)
+        docs.mapInArrow(_searcher(spark.sparkContext.broadcast(block), min_words, edits, to_arrow_type(schema["item_id"].dataType)), schema)
         for block in _blocks(items, item_id, item_text, block_chars)
     ]
     if not parts:
@@ -229,7 +230,7 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) ->
         yield ids, texts
 
 
-def _searcher(block, min_words: int, edits: int):
+def _searcher(block, min_words: int, edits: int, item_type):
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
@@ -249,15 +250,8 @@ def _searcher(block, min_words: int, edits: int):
                 pairs = sorted(index.found(codes, marks))
                 if pairs:
                     docs = batch.column(0).take(pa.array([at + d for d, _ in pairs]))
-                    ids = pa.array([index.ids[i] for _, i in pairs], type=id_type(index.ids))
+                    ids = pa.array([index.ids[i] for _, i in pairs], type=item_type)
                     yield pa.RecordBatch.from_arrays([docs, ids], ["doc_id", "item_id"])
                 at = end
 
     return run
-
-
-def id_type(ids: list):
-    """Arrow type of item ids: whole numbers, else text."""
-    import pyarrow as pa
-
-    return pa.int64() if all(isinstance(i, int) for i in ids) else pa.string()

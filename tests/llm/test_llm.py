@@ -141,6 +141,15 @@ def test_leaks_with_edits(spark):
     assert find_leaks(d.limit(0), i, "doc_id", "text", "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_leaks_keep_the_types_of_ids(spark, kind):
+    text = " ".join(f"w{k}" for k in range(20))
+    d = spark.createDataFrame([("5", text)], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    i = spark.createDataFrame([("7", text)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    out = find_leaks(d, i, "doc_id", "text", "item_id", "text")
+    assert dict(out.dtypes) == {"doc_id": kind, "item_id": kind} and out.count() == 1 and str(out.first().item_id) == "7"
+
+
 def test_banded_alignment():
     import numpy as np
 
