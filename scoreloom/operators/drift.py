@@ -55,18 +55,19 @@ def fields(records: DataFrame, *keep: str) -> DataFrame:
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
-    """The type of each field of each file, the most frequent of its non-null values: file_id, name, type.
+    """The type of each field of each file, the most frequent of its non-null values: file_id, name, type, n.
 
     Of types that are equally frequent the first of the alphabet counts; a field
-    that is null throughout has a null type. Counts are combined before the shuffle.
+    that is null throughout has a null type. n is the number of records that hold
+    the field. Counts are combined before the shuffle.
     """
     typed = fields(records, "file_id").select("file_id", "name", json_type(F.col("value")).alias("t"))
-    counts = typed.groupBy("file_id", "name").agg(*(F.count_if(F.col("t") == t).alias(t) for t in TYPES))
+    counts = typed.groupBy("file_id", "name").agg(F.count("*").alias("n"), *(F.count_if(F.col("t") == t).alias(t) for t in TYPES))
     most = F.greatest(*TYPES)
     chosen = F.when(most == 0, F.lit(None).cast("string"))
     for t in TYPES:
         chosen = chosen.when(F.col(t) == most, t)
-    return counts.select("file_id", "name", chosen.alias("type"))
+    return counts.select("file_id", "name", chosen.alias("type"), "n")
 
 
 def _transitions(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def _transitions(files: DataFrame, records: DataFrame) -> DataFrame:
     in_order = Window.partitionBy(*series).orderBy("no", "file_id")
     one = one.withColumn("before_id", F.when(F.lag("no").over(in_order) == F.col("no") - 1, F.lag("file_id").over(in_order)))
     one = one.withColumn("after_id", F.when(F.lead("no").over(in_order) == F.col("no") + 1, F.lead("file_id").over(in_order)))
-    held = file_schemas(records).join(one, "file_id")
+    held = file_schemas(records).drop("n").join(one, "file_id")
     of_field = Window.partitionBy(*series, "name").orderBy("no", "file_id")
     held = held.select(
         "*",
@@ -186,24 +187,40 @@ def promote(types: set[str | None]) -> str:
 COLUMN_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
 
 
-def one_table(files: DataFrame, records: DataFrame, dataset: str, majority: float = 0.95) -> DataFrame:
+#: A text that is a number.
+NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
+
+
+def stored(value: Column, kind: str) -> Column:
+    """A value as its field's type is stored; null if it isn't of this type nor text of it.
+
+    Numbers are no truth values and truth values no numbers.
+    """
+    t, text = json_type(value), F.try_variant_get(value, "$", "string")
+    if COLUMN_TYPES[kind] == "string":
+        return text
+    as_text = text.rlike(NUMBER) if kind == "number" else F.lower(text).isin("true", "false")
+    return F.when((t == kind) | ((t == "string") & as_text), F.try_variant_get(value, "$", COLUMN_TYPES[kind]))
+
+
+def one_table(files: DataFrame, records: DataFrame, dataset: str, strays: str | None = None) -> DataFrame:
     """All records of a dataset as one table with one column for each field.
 
     Names that a rename links are one field, called by its most frequent name (of
-    equally frequent ones the first). A field's type is the one that at least
-    `majority` of its non-null values have, or can be cast to, over all files; else
-    text. Values that can't be cast, the strays, become null; lists and objects are
-    kept as JSON text. Columns are file_id, line_no, record_key and the fields in
-    the order of the alphabet; a field called like one of these gets a `_` after it.
-    Lines that occur twice come out twice. The list of names is small, as schemas
-    are; no values reach the driver.
+    equally frequent ones the first). A field's type is that of all its files
+    folded through the lattice: the one type they have, else text, which holds
+    lists, objects and all other values as JSON text. A value that differs from the
+    type of all its field's files and can't be cast is a stray and null there, and
+    of a record that holds two names of a field the first with a value counts. Both
+    are kept as JSON text by name in the column that `strays` names, a map that is
+    null where nothing was left out. Columns are file_id, line_no, record_key, the
+    fields in the order of the alphabet, and the strays; a field called like one of
+    these gets a `_` after it. Lines that occur twice come out twice. The list of
+    names is small, as schemas are; no values reach the driver.
     """
     own = files.where(F.col("dataset") == dataset)
     rows = records.join(own.select("file_id"), "file_id")
-    typed = fields(rows, "file_id").select("name", json_type(F.col("value")).alias("t"), F.try_variant_get("value", "$", "double").isNotNull().alias("numeric"))
-    counts = typed.groupBy("name").agg(
-        F.count("*").alias("n"), F.count("t").alias("known"), F.count_if("numeric").alias("numeric"), *(F.count_if(F.col("t") == t).alias(t) for t in TYPES)
-    )
+    counts = file_schemas(rows).groupBy("name").agg(F.sum("n").alias("n"), F.collect_set("type").alias("types"))
     seen = {r.name: r for r in counts.collect()}
     log = changes(own, rows)
     links = log.where(F.col("change_kind") == "renamed").select("field_name", "old_name").distinct().collect()
@@ -219,16 +236,25 @@ def one_table(files: DataFrame, records: DataFrame, dataset: str, majority: floa
     members: dict[str, list[str]] = {}
     for n in sorted(seen):
         members.setdefault(root(n), []).append(n)
-    variant = F.try_parse_json("payload")
-    columns = []
+    found, cast, columns, left_out = [], [], [], []
     for names in members.values():
         main = min(names, key=lambda n: (-seen[n]["n"], n))
-        known = sum(seen[n]["known"] for n in names) or 1
-        kind = promote({t for t in TYPES if sum(seen[n][t] for n in names) > (1 - majority) * known})
-        if kind == "string" and sum(seen[n]["numeric"] for n in names) >= majority * known:
-            kind = "number"
-        value = F.coalesce(*(F.try_variant_get("v", f"$['{n}']", COLUMN_TYPES[kind]) for n in sorted(names, key=lambda n: (n != main, n)) if "'" not in n))
-        columns.append((main, value))
+        kind = promote({t for n in names for t in seen[n]["types"]})
+        before: list[Column] = []
+        for n in sorted(names, key=lambda n: (n != main, n)):
+            if "'" in n:
+                continue
+            v, c = f"v{len(found)}", f"c{len(found)}"
+            found.append(F.try_variant_get("v", f"$['{n}']", "variant").alias(v))
+            cast.append(stored(F.col(v), kind).alias(c))
+            taken = F.col(c).isNotNull() & (F.coalesce(*before).isNull() if before else F.lit(True))
+            left_out.append(F.when(~taken & F.col(v).isNotNull() & ~F.is_variant_null(v), F.struct(F.lit(n).alias("key"), F.to_json(F.col(v)).alias("value"))))
+            before.append(F.col(c))
+        columns.append((main, F.coalesce(*before)))
     fixed = ["file_id", "line_no", "record_key"]
-    named = [v.alias(n + "_" if n in fixed else n) for n, v in sorted(columns, key=lambda x: x[0])]
-    return rows.select(*fixed, variant.alias("v")).select(*fixed, *named)
+    named = [v.alias(n + "_" if n in [*fixed, strays] else n) for n, v in sorted(columns, key=lambda x: x[0])]
+    if strays:
+        entries = F.array_compact(F.array(*left_out)) if left_out else F.array().cast("array<struct<key:string,value:string>>")
+        named.append(F.when(F.size(entries) > 0, F.map_from_entries(entries)).alias(strays))
+    each = rows.select(*fixed, F.try_parse_json("payload").alias("v")).select(*fixed, *found)
+    return each.select("*", *cast).select(*fixed, *named)

@@ -15,7 +15,7 @@ def p5_found(spark, folder):
 
 
 def _one_table(dataset: str) -> None:
-    query(f"p5_table_{dataset}")(lambda spark, folder: drift.one_table(table(spark, folder, "raw_files"), table(spark, folder, "raw_records"), dataset))
+    query(f"p5_table_{dataset}")(lambda spark, folder: drift.one_table(table(spark, folder, "raw_files"), table(spark, folder, "raw_records"), dataset, "strays"))
 
 
 for _dataset in ("analyzed_results", "processed_results", "results"):

@@ -64,6 +64,28 @@ def test_one_table_unites_names_and_types(spark):
     assert out.where("model_name IS NULL").count() == 0 and out.count() == 70
 
 
+def test_one_table_keeps_files_of_other_types_and_strays(spark):
+    first = [(k, {"n": k + 0.5, "ok": True, "f": 1}) for k in range(100)]
+    second = [(k, {"n": {"value": k + 0.5}, "ok": k, "f": True if k == 1 else "x" if k == 2 else "nan" if k == 3 else "7.5"}) for k in range(4)]
+    second += [(k, {"f": k}) for k in range(100, 110)]
+    out = drift.one_table(*tables(spark, {("a", 1): first, ("a", 2): second}), "results", "strays")
+    assert dict(out.dtypes[3:]) == {"f": "double", "n": "string", "ok": "string", "strays": "map<string,string>"}
+    rows = {r.record_key: r for r in out.where("file_id = 2").collect()}
+    assert [(rows[k].n, rows[k].ok, rows[k].f, rows[k].strays) for k in range(4)] == [
+        ('{"value":0.5}', "0", 7.5, None), ('{"value":1.5}', "1", None, {"f": "true"}), ('{"value":2.5}', "2", None, {"f": '"x"'}), ('{"value":3.5}', "3", None, {"f": '"nan"'}),
+    ]
+    assert out.where("record_key >= 100 AND strays IS NOT NULL").count() == 0
+    assert out.where("file_id = 1 AND (n IS NULL OR ok IS NULL OR f IS NULL OR strays IS NOT NULL)").count() == 0
+
+
+def test_one_table_keeps_both_names_of_a_field(spark):
+    first = [(k, {"t": k}) for k in range(5)]
+    second = [(k, {"time": k}) for k in range(5)]
+    third = [(9, {"t": 1, "time": 2})]
+    out = drift.one_table(*tables(spark, {("a", 1): first, ("a", 2): second, ("b", 1): third}), "results", "strays")
+    assert out.where("file_id = 3").select("t", "strays").collect() == [(1.0, {"time": "2"})]
+
+
 def test_promotion():
     assert drift.promote({"number", None}) == "number"
     assert drift.promote({"number", "string"}) == "string"
