@@ -39,6 +39,7 @@ _SCRIPTS = (
     ("hi", re.compile("[ऀ-ॿ]")),
     ("el", re.compile("[Ͱ-Ͽ]{2,}")),
 )
+_OTHER_SCRIPT = re.compile("|".join(script.pattern for _, script in _SCRIPTS))
 #: A letter of a script of its own weighs as much as so many votes of words.
 _PER_LETTER = 0.4
 
@@ -94,10 +95,12 @@ _RIVALS = {lang: frozenset(w for w, x in VOTES.items() if lang not in x) for lan
 def same_at_once(text: str, lang: str) -> bool:
     """Whether so many of a text's different words are of one language that no count is needed.
 
-    True only if a third of them are words of this language alone and at most a
-    tenth of that are words of others; False says nothing.
+    True only if a quarter of them, and at least eight, are words of this language
+    alone, at most a tenth of that are words of others, and no letter is of a script
+    of another language, as those may have no blanks to count words by; False says
+    nothing.
     """
-    if lang not in _OWN:
+    if lang not in _OWN or not text.isascii() and _OTHER_SCRIPT.search(text):
         return False
     words = set(text.lower().split())
     own = len(words & _OWN[lang])

@@ -231,6 +231,14 @@ def test_no_question_has_no_copy_and_no_language():
     assert defect_of(" ", "The answer is that he has 76 marbles left.", NO_MODEL) is None
 
 
+def test_quoted_question_does_not_hide_an_answer_without_blanks():
+    asked = "Hỏi lớp học có tất cả bao nhiêu quyển vở được chia cho những bạn còn lại như trên?"
+    quoted = "Trong bài này người ta hỏi số quyển vở mà những bạn được chia đều như vậy còn thừa"
+    model = EndingModel.fit(["Bước một. Bước hai."])
+    for rest in ("我们先把题目里给出的条件列出来然后再计算" * 20 + "。", "まずはじめにあたえられたかずをならべてけいさんします" * 20 + "。", "เราเริ่มจากข้อมูลที่โจทย์ให้มาแล้วคำนวณ" * 20):
+        assert defect_of(asked, f"{quoted}\n{rest}", model) == "other_language"
+
+
 def test_language_votes():
     assert language("Mot nguoi mua hai cai but va mot quyen vo, hoi con lai bao nhieu tien")[0] == "vi"
     assert language("Diketahui dua bilangan yaitu 60 dan 67, jumlahnya 127.")[0] == "id"
