@@ -60,9 +60,9 @@ NAMES = "answer|question|solution|response|name|value|text|content|result|prompt
 _WORD = re.compile(r"[^\W\d_]+")
 _IDENT = rf"(?:[a-z]\w*_\w+|{NAMES})"
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}"  # {{ name }}
-    r"|\{%[^{}\n]{1,60}%\}"  # {% name %}
-    r"|[$#]\{[^{}\n]{1,60}\}"  # ${name}, #{name}
+    r"\{\{[^{}\n]+\}\}"  # {{ name }}
+    r"|\{%[^{}\n]+%\}"  # {% name %}
+    r"|[$#]\{[^{}\n]+\}"  # ${name}, #{name}
     r"|%\([A-Za-z_]\w*\)[sdrf]"  # %(name)s
     r"|\[\[[A-Za-z_]\w*\]\]"  # [[name]]
     r"|<<[A-Za-z_]\w*>>"  # <<name>>
@@ -71,10 +71,10 @@ PLACEHOLDER = re.compile(
     rf"|(?<![\\\w^}}_{{])\{{{_IDENT}\}}"  # {name}, but no formula or set
     r"|<[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+>|\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\]"  # <A_NAME>, [A_NAME]
     rf"|<{_IDENT}>|<(?:{NAMES.upper()})>|\[(?:{NAMES.upper()})\]"
-    r"|<insert\b[^<>\n]{0,60}>|\[insert\b[^\[\]\n]{0,60}\]|\[your\b[^\[\]\n]{0,60}\]"
-    r"|<[^<>\n]{0,60}(?:ở đây|o day|vào đây|here)>"
-    r"|\[(?i:điền|dien|nhập|nhap|chèn|thêm)\b[^\[\]\n]{0,60}\]"
-    r"|\[(?i:giải thích|giai thich|mô tả|mo ta|viết|lý do|tên|nêu)\b[^\[\]\n]{0,60}\]",
+    r"|<(?i:insert)\b[^<>\n]*>|\[(?i:insert|your)\b[^\[\]\n]*\]"
+    r"|<[^<>\n]*(?i:ở đây|o day|vào đây|here)>"
+    r"|\[(?i:điền|dien|nhập|nhap|chèn|thêm)\b[^\[\]\n]*\]"
+    r"|\[(?i:giải thích|giai thich|mô tả|mo ta|viết|lý do|tên|nêu)\b[^\[\]\n]*\]",
 )
 #: What every placeholder begins with.
 _ANY_MARK = re.compile(r"\{[{%A-Za-z]|[$#]\{|%\(|\[\[|<<|@@|__[A-Z]|[<\[][^\W\d_]")

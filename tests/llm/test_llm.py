@@ -187,6 +187,8 @@ def test_covered():
     [
         ("Đáp số: {{ answer }}", "placeholder"), ("là ${dap_so} đồng", "placeholder"), ("[điền lời giải vào đây]", "placeholder"), ("[Giải thích ngắn gọn về lỗi]", "placeholder"),
         ("__STEP_1__", "placeholder"), ("%(name)s", "placeholder"), ("<lý do ở đây>", "placeholder"), ("{so_luong}", "placeholder"),
+        ("{{ " + "the final answer with its unit " * 3 + "}}", "placeholder"), ("[insert " + "one more step " * 6 + "here]", "placeholder"), ("<viết " + "từng bước giải " * 6 + "ở đây>", "placeholder"),
+        ("[Your answer here]", "placeholder"), ("[Insert the solution]", "placeholder"), ("<Insert the solution>", "placeholder"), ("<YOUR ANSWER HERE>", "placeholder"), ("{{ a\nb }}", None),
         ("Lorem ipsum dolor sit amet", "filler"), ("xxx test test abc", "filler"), ("Nội dung đang được biên soạn.", "filler"), ("Noi dung dang duoc bien soan.", "filler"),
         ("502 Bad Gateway", "error"), ('{"error": {"code": 400}}', "error"), ("Traceback (most recent call last):\n x", "error"), ("Đã xảy ra lỗi hệ thống.", "error"),
         ("You need to enable JavaScript to run this app.", "script"), ("Trang này yêu cầu bật script.", "script"),
