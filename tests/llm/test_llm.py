@@ -13,7 +13,7 @@ from scoreloom.llm.keyword_pages import keyword_pages, keyword_share
 from scoreloom.llm.languages import language
 from scoreloom.llm.leaks import _occurs, find_leaks
 from scoreloom.llm.pairs import defect_of, pair_defects
-from scoreloom.llm.residue import kind_of, residue
+from scoreloom.llm.residue import KEYS, LATIN, _has_words, kind_of, residue
 from scoreloom.llm.suffix_automaton import SuffixAutomaton, covered
 from scoreloom.llm.tokens import Encoder, encode_corpus, merge, read_ranks
 from scoreloom.llm.top_items import top_n_per_group
@@ -189,7 +189,8 @@ def test_covered():
         ("__STEP_1__", "placeholder"), ("%(name)s", "placeholder"), ("<lý do ở đây>", "placeholder"), ("{so_luong}", "placeholder"),
         ("{{ " + "the final answer with its unit " * 3 + "}}", "placeholder"), ("[insert " + "one more step " * 6 + "here]", "placeholder"), ("<viết " + "từng bước giải " * 6 + "ở đây>", "placeholder"),
         ("[Your answer here]", "placeholder"), ("[Insert the solution]", "placeholder"), ("<Insert the solution>", "placeholder"), ("<YOUR ANSWER HERE>", "placeholder"), ("{{ a\nb }}", None),
-        ("Lorem ipsum dolor sit amet", "filler"), ("xxx test test abc", "filler"), ("Nội dung đang được biên soạn.", "filler"), ("Noi dung dang duoc bien soan.", "filler"),
+        ("rutila viverum elitam quistam sedum", "filler"), ("nisi aliquip commodo consequat duis", "filler"), ("bar baz qux", "filler"), ("test\nabc\ntest\nabc\nxyz", "filler"), ("foo1bar_baz", "filler"),
+        ("testing fools based on bars, abcd", None), ("Lorem ipsum dolor sit amet", "filler"), ("xxx test test abc", "filler"), ("Nội dung đang được biên soạn.", "filler"), ("Noi dung dang duoc bien soan.", "filler"),
         ("502 Bad Gateway", "error"), ('{"error": {"code": 400}}', "error"), ("Traceback (most recent call last):\n x", "error"), ("Đã xảy ra lỗi hệ thống.", "error"),
         ("You need to enable JavaScript to run this app.", "script"), ("Trang này yêu cầu bật script.", "script"),
         ("Phương trình {x + 3 = 5} viết đúng nhưng giải sai.", None), ("Tập hợp {1; 2; 3} và \\frac{a}{b}, \\boxed{12}", None), ("Error in step 3: the product should be 6.", None),
@@ -202,6 +203,15 @@ def test_residue_kinds(text, kind):
     assert not found or 0 < found[1] <= 1.5
 
 
+def test_nonsense_prefilter_rejects_no_run():
+    rng = random.Random(5)
+    words = sorted(LATIN | KEYS) + ["một", "x1", "testing", "a", "²", "_"]
+    for _ in range(3000):
+        text = "".join(rng.choice(words) + rng.choice([" ", "\n", "_", "1", ", ", ""]) for _ in range(rng.randrange(1, 9)))
+        found = sum(w in LATIN or w in KEYS for w in re.findall(r"[^\W\d_]+", text))
+        assert all(_has_words(text, n) == (found >= n) for n in (1, 3, 5)), text
+
+
 def test_residue_rows(spark):
     rows = [(1, "TODO: viết lời giải ở đây", None), (2, None, "502 Bad Gateway"), (2, None, "502 Bad Gateway"), (3, "", "x" * 200_000)]
     df = spark.createDataFrame(rows, "id bigint, a string, b string").withColumn("kind", F.lit("mine"))
