@@ -242,10 +242,8 @@ def one_table(files: DataFrame, records: DataFrame, dataset: str, strays: str |
         kind = promote({t for n in names for t in seen[n]["types"]})
         before: list[Column] = []
         for n in sorted(names, key=lambda n: (n != main, n)):
-            if "'" in n:
-                continue
             v, c = f"v{len(found)}", f"c{len(found)}"
-            found.append(F.try_variant_get("v", f"$['{n}']", "variant").alias(v))
+            found.append(F.try_element_at("fields", F.lit(n)).alias(v))
             cast.append(stored(F.col(v), kind).alias(c))
             taken = F.col(c).isNotNull() & (F.coalesce(*before).isNull() if before else F.lit(True))
             left_out.append(F.when(~taken & F.col(v).isNotNull() & ~F.is_variant_null(v), F.struct(F.lit(n).alias("key"), F.to_json(F.col(v)).alias("value"))))
@@ -256,5 +254,7 @@ def one_table(files: DataFrame, records: DataFrame, dataset: str, strays: str |
     if strays:
         entries = F.array_compact(F.array(*left_out)) if left_out else F.array().cast("array<struct<key:string,value:string>>")
         named.append(F.when(F.size(entries) > 0, F.map_from_entries(entries)).alias(strays))
-    each = rows.select(*fixed, F.try_parse_json("payload").alias("v")).select(*fixed, *found)
+    # By key, as a path can't hold every name.
+    by_name = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
+    each = rows.select(*fixed, by_name.alias("fields")).select(*fixed, *found)
     return each.select("*", *cast).select(*fixed, *named)

@@ -86,6 +86,15 @@ def test_one_table_keeps_both_names_of_a_field(spark):
     assert out.where("file_id = 3").select("t", "strays").collect() == [(1.0, {"time": "2"})]
 
 
+def test_one_table_keeps_names_of_any_letters(spark):
+    first = [(k, {"it's": k, "d'": f"v{k}", 'a"b\'c': True, "": "x", "p.q`": 1}) for k in range(5)]
+    second = [(k, {"it": k, "d'": f"v{k}"}) for k in range(5)]
+    out = drift.one_table(*tables(spark, {("a", 1): first, ("a", 2): second}), "results", "strays")
+    assert out.columns[3:] == ["", 'a"b\'c', "d'", "it", "p.q`", "strays"]
+    rows = [tuple(r)[3:] for r in out.orderBy("file_id", "line_no").collect()]
+    assert rows == [("x", True, f"v{k}", float(k), 1.0, None) for k in range(5)] + [(None, None, f"v{k}", float(k), None, None) for k in range(5)]
+
+
 def test_promotion():
     assert drift.promote({"number", None}) == "number"
     assert drift.promote({"number", "string"}) == "string"
