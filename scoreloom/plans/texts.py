@@ -237,7 +237,7 @@ def g08(spark, folder):
 
 @query("g12_arrow_metrics")
 def g12(spark, folder):
-    """ROUGE-L, BLEU-4, METEOR and matching-block ratio, in Arrow batches."""
+    """ROUGE-L, BLEU-4 and METEOR, in Arrow batches."""
     from scoreloom.functions import udfs
 
     df = results(spark, folder).select("result_id", tx.clean_text(F.col("response")).alias("c"), tx.clean_text(F.col("expected_answer")).alias("r"))
