@@ -84,6 +84,7 @@ def x02(spark, folder):
 
 @query("j01_grid", f"WITH {R}, m AS (SELECT DISTINCT model_name FROM r WHERE model_name IS NOT NULL), p AS (SELECT DISTINCT prompt_type FROM results WHERE prompt_type IS NOT NULL) SELECT model_name, prompt_type, count(*) AS n_questions FROM m, p, questions GROUP BY ALL")
 def j01(spark, folder):
+    """Questions of each model and configured prompt type; the prompt types are those of `results` only."""
     return _grid(spark, folder).groupBy("model_name", "prompt_type").agg(F.count("*").alias("n_questions"))
 
 
@@ -96,6 +97,7 @@ def _grid(spark, folder):
 @query("j02_pending", f"""WITH {R}, m AS (SELECT DISTINCT model_name FROM r WHERE model_name IS NOT NULL), p AS (SELECT DISTINCT prompt_type FROM results WHERE prompt_type IS NOT NULL)
   SELECT model_name, prompt_type, question_id FROM m, p, questions q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.model_name = m.model_name AND r.prompt_type = p.prompt_type AND r.question_id = q.question_id)""")
 def j02(spark, folder):
+    """What of the grid has no result row; prompt types that aren't in `results` aren't listed."""
     return grid.pending(_grid(spark, folder), results(spark, folder))
 
 
