@@ -14,20 +14,20 @@ def bare(text: str) -> str:
     return "".join(c for c in out if not unicodedata.combining(c))
 
 
-def automaton(groups: dict[str, Iterable[str]]) -> ahocorasick.Automaton:
-    """Automaton over lower-case text; a match gives its phrase's kind and length.
+def automaton(groups: dict[str, Iterable[str]], make: bool = True) -> ahocorasick.Automaton:
+    """Automaton over lower-case text; a match gives the kinds of its phrase, each with its length.
 
     Every phrase is found as written and, if it has accents, without them too.
+    With `make` off, more phrases may be added before it is made.
     """
     a = ahocorasick.Automaton()
     for kind, phrases in groups.items():
         for p in phrases:
             low = unicodedata.normalize("NFC", p.lower())
-            a.add_word(low, (kind, len(low)))
-            plain = bare(low)
-            if plain != low and plain.isascii():
-                a.add_word(plain, (kind, len(plain)))
-    a.make_automaton()
+            for form in {low, bare(low)} if bare(low).isascii() else {low}:
+                a.add_word(form, (*a.get(form, ()), (kind, len(form))))
+    if make:
+        a.make_automaton()
     return a
 
 
@@ -40,10 +40,11 @@ def whole_word(text: str, start: int, end: int) -> bool:
 def spans(a: ahocorasick.Automaton, text: str) -> dict[str, list[tuple[int, int]]]:
     """Where the phrases of each kind stand in a lower-case text."""
     out: dict[str, list[tuple[int, int]]] = {}
-    for last, (kind, n) in a.iter(text):
-        start, end = last + 1 - n, last + 1
-        if whole_word(text, start, end):
-            out.setdefault(kind, []).append((start, end))
+    for last, kinds in a.iter(text):
+        for kind, n in kinds:
+            start, end = last + 1 - n, last + 1
+            if whole_word(text, start, end):
+                out.setdefault(kind, []).append((start, end))
     return out
 
 
