@@ -6,7 +6,8 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ el los las una que por para con les des est une dans pour sur der die und das is
 
 #: A phrase is a keyword of its page if it has at most so many words, occurs so often, and makes up this share.
 PHRASE_WORDS, PHRASE_COUNT, PHRASE_SHARE = 6, 6, 0.10
-#: Share of a segment's words under keyword phrases, or under any repeat, from which it counts as a list.
+#: Share of a segment's words under keyword phrases, or of its characters under repeated substrings, from which it counts.
 STUFFED, REPEATED = 0.35, 0.5
 #: So many segments must say a keyword twice.
 STUFFED_SEGMENTS = 3
@@ -40,6 +41,8 @@ _CRUMB = re.compile(r"\s[>»›→|•·/]\s")
 _HASHTAG = re.compile(r"(?<!\S)#\w+")
 _PRICE = re.compile(r"\d[\d.,]*\s?(?:đ|₫|d|vnd|vnđ|usd|k)\b|[$€£]\s?\d", re.I)
 _LISTMARK = re.compile(r"[,;|]")
+#: Words, and the marks that lists of links, breadcrumbs, hashtags and offers are made of.
+_TOKEN = re.compile(r"[^\W_]+|://|</?|[#/.>»›→|•·=&?@$€£-]")
 
 
 def plain(text: str) -> str:
@@ -77,12 +80,17 @@ def mended(text: str) -> str:
 
 
 class Segment:
-    """One line or sentence: its words, and what its form says."""
+    """One line or sentence: its words, and what its form says; of what looks like a list also its tokens with the marks."""
 
-    __slots__ = ("at", "clause", "listed", "numeric", "size")
+    __slots__ = ("at", "clause", "numeric", "size", "tokens")
 
-    def __init__(self, at: int, size: int, clause: bool, listed: bool, numeric: bool):
-        self.at, self.size, self.clause, self.listed, self.numeric = at, size, clause, listed, numeric
+    def __init__(self, at: int, size: int, clause: bool, numeric: bool, tokens: list[str] | None = None):
+        self.at, self.size, self.clause, self.numeric, self.tokens = at, size, clause, numeric, tokens
+
+    @property
+    def loose(self) -> bool:
+        """Whether repeats may make it a list: there is no clause and no row of figures in it."""
+        return self.tokens is not None or not (self.clause or self.numeric)
 
 
 def segments(text: str) -> tuple[list[str], list[Segment], frozenset[str]]:
@@ -91,32 +99,31 @@ def segments(text: str) -> tuple[list[str], list[Segment], frozenset[str]]:
     glue_words = _CLAUSE if _MARKED.search(text) else _BARE
     words: list[str] = []
     found: list[Segment] = []
+
+    def listed(part: str) -> None:
+        tokens = _TOKEN.findall(part)
+        own = [t for t in tokens if t[0].isalnum()]
+        if own:
+            found.append(Segment(len(words), len(own), False, False, tokens))
+            words.extend(own)
+
     for line in _LINE.split(text):
         if not line or line.isspace():
             continue
-        anchors = _ANCHOR.findall(line) if "<a" in line or "<A" in line else ()
+        anchors = _ANCHOR.findall(line) if "<a" in line else ()
         if anchors:
-            rest = _TAG.sub(" ", _ANCHOR.sub(" ", line))
-            own = [w for a in anchors for w in _WORD.findall(a)]
-            found.append(Segment(len(words), len(own), False, True, False))
-            words += own
-            line = rest
+            line = _TAG.sub(" ", _ANCHOR.sub(" ", line))
+            listed(" ".join(anchors))
         elif "<" in line:
             line = _TAG.sub(" ", line)
         for part in _SENTENCE.split(line) if len(line) > 40 else (line,):
-            listed = False
             if "://" in part or "www." in part:
                 urls = _URL.findall(part)
                 rest = _URL.sub(" ", part)
-                tokens = _WORD.findall(rest)
-                own = [w for u in urls for w in _WORD.findall(u)]
-                if urls and len(tokens) <= 8 * len(urls):
-                    found.append(Segment(len(words), len(own) + len(tokens), False, True, False))
-                    words += own
-                    words += tokens
+                if urls and len(_WORD.findall(rest)) <= 8 * len(urls):
+                    listed(part)
                     continue
-                found.append(Segment(len(words), len(own), False, True, False))
-                words += own
+                listed(" ".join(urls))
                 part = rest
             tokens = _WORD.findall(part)
             n = len(tokens)
@@ -129,30 +136,121 @@ def segments(text: str) -> tuple[list[str], list[Segment], frozenset[str]]:
                 glue = len(_LIGHT.intersection(tokens))
             clause = n >= 4 and (glue >= 2 and glue * 12 >= n or glue >= 1 and stop and glue * 20 >= n)
             numeric = not clause and 2 * sum(t.isdigit() or len(t) == 1 for t in tokens) >= n
-            if "#" in part and (tags := _HASHTAG.findall(part)):
-                listed = 2 * len(tags) >= len(part.split())
-            if not listed and not (clause and stop):
+            form = "#" in part and (tags := _HASHTAG.findall(part)) and 2 * len(tags) >= len(part.split())
+            if not form and not (clause and stop):
                 crumbs = len(_CRUMB.findall(part))
                 if crumbs >= 2 and n <= 7 * (crumbs + 1) and not numeric and (glue * 5 < n or end not in ".!?"):
-                    listed = True
+                    form = True
                 elif end not in ".!?" and part.count(" - ") + part.count("|") >= 2 and _PRICE.search(part):
-                    listed = True
-            if clause and not listed and n >= 8 and part.count(",") + part.count("|") + part.count(";") >= 4:
+                    form = True
+            if form:
+                listed(part)
+                continue
+            if clause and n >= 8 and part.count(",") + part.count("|") + part.count(";") >= 4:
                 pieces = [p.split() for p in _LISTMARK.split(part)]
                 short = sum(len(p) <= 8 for p in pieces)
                 if short >= 0.9 * len(pieces) and glue * 12 < n:
                     clause = False
-            found.append(Segment(len(words), n, clause and not listed, listed, numeric))
+            found.append(Segment(len(words), n, clause, numeric))
             words += tokens
     return words, found, glue_words
 
 
+def _sequence(words: list[str], parts: list[Segment]) -> tuple[list[str], Sequence[int], list[int]]:
+    """The page as symbols, the word of each symbol (-1 for a mark), and after which symbols a block ends.
+
+    Segments of a list's form hold their marks as well, and words that the page has
+    once are only words (W) or figures (0) there, so that lists of different links
+    repeat their form. Sentences are blocks of their own.
+    """
+    if all(s.tokens is None for s in parts):
+        loose = [s.loose for s in parts]
+        return words, range(len(words)), [s.at for k, s in enumerate(parts) if k and not (loose[k] and loose[k - 1])]
+    count = Counter(words)
+    symbols: list[str] = []
+    place: list[int] = []
+    ends: list[int] = []
+    for s in parts:
+        if ends and not s.loose and ends[-1] != len(symbols):
+            ends.append(len(symbols))
+        if s.tokens is None:
+            symbols += words[s.at : s.at + s.size]
+            place += range(s.at, s.at + s.size)
+        else:
+            k = s.at
+            for t in s.tokens:
+                if t[0].isalnum():
+                    symbols.append(t if count[t] > 1 else "0" if t.isdigit() else "W")
+                    place.append(k)
+                    k += 1
+                else:
+                    symbols.append(t)
+                    place.append(-1)
+        if not s.loose:
+            ends.append(len(symbols))
+        elif not ends:
+            ends.append(0)
+    return symbols, place, ends
+
+
+def _repeats(words: list[str], parts: list[Segment], glue_words: frozenset[str]) -> tuple[list[bool], list[bool]]:
+    """Which words stand in a repeated substring of two symbols or more, and which in a keyword phrase of the page.
+
+    The automaton is built of the pairs that can matter: those that occur twice
+    and once outside of sentences, and those as frequent as a keyword phrase. All
+    pairs of a substring that counts are such pairs, so what lies between them is
+    replaced by marks that occur once, without changing any result.
+    """
+    symbols, place, ends = _sequence(words, parts)
+    pairs: list = list(zip(symbols, symbols[1:]))
+    for e in ends:
+        if 0 < e < len(symbols):
+            pairs[e - 1] = None
+    count = Counter(pairs)
+    count[None] = 0
+    # Without a frequent pair of words that hold no clauses together there is no keyword at all.
+    phrases = any(n >= 2 * STUFFED_SEGMENTS and not glue_words.intersection(p) for p, n in count.items())
+    least = max(PHRASE_COUNT, PHRASE_SHARE * len(words) / PHRASE_WORDS)
+    wanted = {p for p, n in count.items() if n >= least} if phrases else set()
+    at = 0
+    for s in parts:
+        size = s.size if s.tokens is None else len(s.tokens)
+        if s.loose:
+            wanted.update(p for p in pairs[at : at + size] if count[p] > 1)
+        at += size
+    none = [False] * len(words)
+    if not wanted:
+        return none, none
+    compact: list = []
+    source: list[int] = []
+    last = -1
+    for i, p in enumerate(pairs):
+        if p in wanted:
+            if last != i:
+                compact += (-i - 1, symbols[i])
+                source += (-1, place[i])
+            last = i + 1
+            compact.append(symbols[last])
+            source.append(place[last])
+    automaton = SuffixAutomaton(compact)
+
+    def under(marked: list[bool]) -> list[bool]:
+        out = [False] * (len(words) + 1)
+        for i in compress(source, marked):
+            out[i] = True  # the last place takes the marks
+        out.pop()
+        return out
+
+    return under(covered(automaton.repeats(), 2)), under(_under_phrases(automaton, len(words))) if phrases else none
+
+
 def keyword_share(text: str) -> float:
     """Share of a page's words in keyword runs, lists of links, hashtags or offers.
 
-    A segment counts when its form is that of a list (links, breadcrumbs,
-    hashtags, offers); when it has no clause and repeated substrings cover it; or
-    when phrases that fill the page cover it. Figures and single letters, as in
+    A segment without clause structure counts when repeated maximal substrings of
+    the page cover half of its characters; lists of links, breadcrumbs, hashtags and
+    offers are such segments, whose marks repeat as well. Any segment counts when
+    phrases that fill the page cover it. Figures and single letters, as in
     multiplication tables and answer keys, never count as keywords.
     """
     if not text or text.isspace():
@@ -164,28 +262,17 @@ def keyword_share(text: str) -> float:
     total = len(words)
     if total < 5:
         return 0.0
-    sure = sum(s.size for s in parts if s.listed)
-    doubtful = sum(s.size for s in parts if not s.listed and not s.clause and not s.numeric)
-    # A keyword phrase of two or more words needs a pair of words as frequent as itself,
-    # one of a single word that word: without them the automaton can't find one.
-    least = max(PHRASE_COUNT, PHRASE_SHARE * total / PHRASE_WORDS)
-    pairs = Counter(zip(words, words[1:]))
-    phrases = bool(pairs) and max(pairs.values()) >= least
-    if not phrases and 2 * (sure + doubtful) <= total:
-        return (sure) / total
-    automaton = SuffixAutomaton(words)
-    repeated = covered(automaton.repeats(), 2)
-    stuffed = _stuffed(words, parts, _under_phrases(automaton, words), glue_words) if phrases else [False] * len(parts)
+    repeated, phrases = _repeats(words, parts, glue_words)
+    stuffed = _stuffed(words, parts, phrases, glue_words) if any(phrases) else [False] * len(parts)
     spam = 0
     for s, full in zip(parts, stuffed):
-        if s.listed:
-            spam += s.size
-        elif not s.numeric:
+        if s.loose:
             span = slice(s.at, s.at + s.size)
-            if not s.clause and sum(repeated[span]) >= REPEATED * s.size:
-                spam += s.size
-            elif full:
+            if True in repeated[span] and sum(map(len, compress(words[span], repeated[span]))) >= REPEATED * sum(map(len, words[span])):
                 spam += s.size
+                continue
+        if full and (s.tokens is not None or not s.numeric):
+            spam += s.size
     return spam / total
 
 
@@ -213,9 +300,8 @@ def _stuffed(words: list[str], parts: list[Segment], under: list[bool], glue_wor
     ]
 
 
-def _under_phrases(automaton: SuffixAutomaton, words: list[str]) -> list[bool]:
-    """Which words stand in a phrase that is a keyword of the page."""
-    total = len(words)
+def _under_phrases(automaton: SuffixAutomaton, total: int) -> list[bool]:
+    """Which symbols stand in a phrase that is a keyword of a page of so many words."""
     count, length, link = automaton.counts(), automaton.length, automaton.link
     best = [0] * len(count)
     for v in sorted(range(1, len(count)), key=length.__getitem__):
@@ -229,7 +315,7 @@ def _under_phrases(automaton: SuffixAutomaton, words: list[str]) -> list[bool]:
 def keyword_pages(df: DataFrame, id_col: str, text_col: str, over: float = 0.5, out_id: str = "doc_id") -> DataFrame:
     """Pages whose keyword share is above `over`: their id and `keyword_share`.
 
-    One pass without a shuffle; each page is measured whole and on its own. Null,
+    One pass (a table of fewer parts than cores is spread first); each page is measured whole and on its own. Null,
     empty and blank texts, and those of fewer than five words, have a share of 0.
     Repeated pages come out each; an empty table gives no row.
     """

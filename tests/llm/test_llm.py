@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom.llm.endings import EndingModel, is_cut
-from scoreloom.llm.keyword_pages import keyword_pages, keyword_share
+from scoreloom.llm.keyword_pages import PHRASE_COUNT, PHRASE_SHARE, PHRASE_WORDS, _repeats, _sequence, keyword_pages, keyword_share, segments
 from scoreloom.llm.languages import language
 from scoreloom.llm.leaks import _occurs, find_leaks
 from scoreloom.llm.pairs import defect_of, pair_defects
@@ -323,6 +323,45 @@ def test_keyword_share(text, spam):
     assert (keyword_share(text) > 0.5) == spam
 
 
+def test_repeats_and_phrases_against_brute_force():
+    rng = random.Random(8)
+    lines = ["bút chì giá rẻ", "bút chì A1 - mã SP1 - 12.000đ", "Trang chủ > Lớp 5 > Đề thi", "#hocToan #giaiToan", "https://a.example/tag/1", "em là học sinh của lớp và các bạn là bạn.", "gia sư toán", "vở ô ly", "phân số", "7 8 9"]
+    for _ in range(150):
+        text = "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30)))
+        words, parts, glue = segments(text)
+        symbols, place, ends = _sequence(words, parts)
+        blocks, at = [], 0
+        for e in sorted({*ends, len(symbols)}):
+            blocks.append(range(at, e))
+            at = e
+        spots = {}
+        for block in blocks:
+            for i in block:
+                for n in range(2, min(len(block), block.stop - i) + 1):
+                    spots.setdefault(tuple(symbols[i : i + n]), []).append(i)
+        twice, phrase = set(), set()
+        for sub, found in spots.items():
+            for i in found if len(found) > 1 else ():
+                twice.update(range(i, i + len(sub)))
+            if len(found) >= PHRASE_COUNT and len(found) * min(len(sub), PHRASE_WORDS) >= PHRASE_SHARE * len(words) and len(sub) <= PHRASE_WORDS:
+                for i in found:
+                    phrase.update(range(i, i + len(sub)))
+        repeated, phrases = _repeats(words, parts, glue)
+        loose = {i for s in parts if s.loose for i in range(s.at, s.at + s.size)}
+        assert {i for i, x in enumerate(repeated) if x and i in loose} == {place[i] for i in twice if place[i] in loose}
+        if any(phrases):
+            assert {i for i, x in enumerate(phrases) if x} == {place[i] for i in phrase if place[i] >= 0}
+
+
+def test_keyword_share_holds_at_any_threshold(spark):
+    pages = [TEXT * 4 + "\n" + "\n".join(f"gia sư toán quận {q} giá rẻ" for q in "ABCDE"), TEXT * 2, "\n".join(["Trang chủ > Học toán > Đề thi > Vở ô ly"] * 3) + "\n" + TEXT * 5]
+    df = spark.createDataFrame(list(enumerate(pages)), "doc_id bigint, text string")
+    shares = [keyword_share(t) for t in pages]
+    assert 0.1 < shares[0] < 0.5 and shares[1] == 0 and 0.1 < shares[2] < 0.5
+    for over in (0.05, 0.2, 0.5):
+        assert {(r.doc_id, r.keyword_share) for r in keyword_pages(df, "doc_id", "text", over).collect()} == {(i, x) for i, x in enumerate(shares) if x > over}
+
+
 def test_keyword_rows(spark):
     spam = ", ".join(["học toán online", "giải toán lớp 5"] * 12)
     df = spark.createDataFrame([(1, spam), (1, spam), (2, TEXT * 2000), (3, None), (4, "")], "doc_id bigint, text string").withColumn("keyword_share", F.lit(1))
