@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Sequence
+from collections.abc import Hashable, Iterator, Sequence
 
 
 class SuffixAutomaton:
     """The minimal automaton of all substrings of a sequence; built in linear time."""
 
-    __slots__ = ("ends", "length", "link", "moves")
+    __slots__ = ("ends", "first", "length", "link", "moves")
 
     def __init__(self, seq: Sequence[Hashable]):
         moves: list[dict] = [{}]
-        link, length, ends = [-1], [0], []
+        link, length, ends, first = [-1], [0], [], [-1]
         last = 0
         for x in seq:
             new = len(moves)
             moves.append({})
             length.append(length[last] + 1)
             link.append(0)
+            first.append(len(ends))
             p = last
             while p >= 0 and x not in moves[p]:
                 moves[p][x] = new
@@ -32,13 +33,15 @@ class SuffixAutomaton:
                     moves.append(dict(moves[q]))
                     length.append(length[p] + 1)
                     link.append(link[q])
+                    first.append(first[q])
                     while p >= 0 and moves[p].get(x) == q:
                         moves[p][x] = twin
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
             ends.append(new)
-        self.moves, self.link, self.length, self.ends = moves, link, length, ends
+        #: The state of each prefix, and where the substrings of each state first end.
+        self.moves, self.link, self.length, self.ends, self.first = moves, link, length, ends, first
 
     def repeats(self) -> list[int]:
         """For each position, the length of the longest substring ending there that occurs elsewhere too."""
@@ -55,9 +58,9 @@ class SuffixAutomaton:
             n[self.link[v]] += n[v]
         return n
 
-    def matches(self, other: Sequence[Hashable]) -> list[int]:
-        """For each position of another sequence, the length of the longest substring ending there that this one holds."""
-        out, v, n = [], 0, 0
+    def walk(self, other: Sequence[Hashable]) -> Iterator[tuple[int, int]]:
+        """For each position of another sequence, the length of the longest substring ending there that this one holds, and its state."""
+        v, n = 0, 0
         moves, link, length = self.moves, self.link, self.length
         for x in other:
             while v and x not in moves[v]:
@@ -66,8 +69,11 @@ class SuffixAutomaton:
             if x in moves[v]:
                 v = moves[v][x]
                 n += 1
-            out.append(n)
-        return out
+            yield n, v
+
+    def matches(self, other: Sequence[Hashable]) -> list[int]:
+        """The lengths of `walk`."""
+        return [n for n, _ in self.walk(other)]
 
 
 def covered(ending: Sequence[int], least: int) -> list[bool]:

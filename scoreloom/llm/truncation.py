@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A limit shows as at least so many texts, and so many times what neighbouring
-#: lengths lead to expect, within SLACK units below it (a cut falls between characters).
-LEAST, TIMES, SLACK, AROUND = 8, 6.0, 3, 40
-#: No store has a shorter limit.
-SHORTEST = 48
+#: A limit shows as at least so many texts of one length with different endings, as so many
+#: times as many as each length within AROUND units has on average, and as so many standard
+#: deviations more than that, as chance alone has high counts among many lengths.
+LEAST, TIMES, DEVIATIONS, AROUND = 10, 6.0, 8.0, 40
+#: A cut falls between characters, so a text may be so many units shorter than its limit;
+#: a broken last character that was replaced makes it so many bytes longer.
+SLACK, REPLACED = 3, 2
+#: No store has a limit shorter than the second; texts are counted from the first on.
+COUNTED, SHORTEST = 24, 64
+#: Characters, with digits alike, by which endings differ: messages made of one template end alike.
+ENDING = 12
 #: Limits that are handed to the workers as one map; beyond them they are joined.
 MAP_ROWS = 50_000
 
@@ -59,28 +65,32 @@ def source_key(source: Column) -> Column:
 def storage_limits(df: DataFrame, source_col: str, text_col: str) -> DataFrame:
     """Lengths at which the texts of a source pile up: source, measure, size, n_texts, n_expected.
 
-    All texts that don't end as a sentence are measured under every encoding; the
-    counts of each (source, measure, length) are combined before the shuffle and
-    are few. Null and empty texts are left out, and sizes below SHORTEST; a source
-    without limit gives no row, as does an empty table.
+    All texts that don't end as a sentence are measured under every encoding, and
+    the different endings of each (source, measure, length) are counted. A limit also
+    shows, weaker, under the other encodings near it; the one under which most texts
+    have it is the limit's own (of equal ones the first of `lengths`, then the
+    shortest), so a limit is one row. Null and empty texts and limits below SHORTEST
+    are left out; a source without limit gives no row, as does an empty table.
     """
     text = F.col(f"`{text_col}`")
     unfinished = ~F.substring(F.rtrim(text), -1, 1).isin(".", "!", "?")
-    measured = df.where((F.char_length(text) >= SHORTEST) & unfinished).select(
-        source_key(F.col(f"`{source_col}`")).alias("source"),
-        F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), c.cast("int").alias("size")) for k, c in lengths(text).items()))).alias("m"),
-    )
-    counts = measured.groupBy("source", "m.measure", "m.size").count()
-    by_size = Window.partitionBy("source", "measure").orderBy("size")
-    at, near = by_size.rangeBetween(-SLACK, 0), by_size.rangeBetween(-AROUND, AROUND)
-    spread = 2 * AROUND - SLACK
-    found = counts.withColumn("n_texts", F.sum("count").over(at)).withColumn("n_near", F.sum("count").over(near))
-    found = found.withColumn("n_expected", (F.col("n_near") - F.col("n_texts")) * (SLACK + 1.0) / spread)
-    found = found.where((F.col("n_texts") >= LEAST) & (F.col("n_texts") >= TIMES * F.col("n_expected")))
-    # Of neighbouring sizes the one with most texts is the limit.
-    most = Window.partitionBy("source", "measure").orderBy("size").rangeBetween(-SLACK, SLACK)
-    best = found.withColumn("n_most", F.max("n_texts").over(most)).where(F.col("n_texts") == F.col("n_most"))
-    return best.select("source", "measure", "size", "n_texts", "n_expected")
+    kinds = lengths(text)
+    names = F.array(*map(F.lit, kinds))
+    # Texts delivered again, or made of one template, count once; only a hash and lengths move.
+    ending = F.xxhash64(F.regexp_replace(F.substring(text, -ENDING, ENDING), "[0-9]+", "0"))
+    different = df.where((F.char_length(text) >= COUNTED) & unfinished).select(
+        source_key(F.col(f"`{source_col}`")).alias("source"), ending.alias("ending"), F.array(*(c.cast("int") for c in kinds.values())).alias("sizes")
+    ).distinct()
+    measured = different.select("source", F.posexplode("sizes").alias("place", "size"))
+    counts = measured.groupBy("source", "place", "size").agg(F.count("*").alias("n_texts"))
+    near = Window.partitionBy("source", "place").orderBy("size").rangeBetween(-AROUND, AROUND)
+    found = counts.withColumn("n_expected", (F.sum("n_texts").over(near) - F.col("n_texts")) / (2.0 * AROUND))
+    high = (F.col("n_texts") >= TIMES * F.col("n_expected")) & (F.col("n_texts") - F.col("n_expected") >= DEVIATIONS * F.sqrt(F.col("n_expected") + 1))
+    found = found.where((F.col("n_texts") >= LEAST) & high & (F.col("size") >= SHORTEST))
+    rank = F.struct("n_texts", (-F.col("place")).alias("p"), (-F.col("size")).alias("s"))
+    of_source = Window.partitionBy("source").orderBy("size").rangeBetween(-AROUND, AROUND)
+    best = found.withColumn("rank", rank).withColumn("best", F.max("rank").over(of_source)).where(F.col("rank") == F.col("best"))
+    return best.select("source", F.element_at(names, F.col("place") + 1).alias("measure"), "size", "n_texts", "n_expected")
 
 
 def limit_map(limits: DataFrame) -> dict[str, list[tuple[str, int]]] | None:
@@ -96,10 +106,8 @@ def limit_map(limits: DataFrame) -> dict[str, list[tuple[str, int]]] | None:
 
 def at_limit(limits: list[tuple[str, int]], text: str) -> bool:
     """Whether a text is as long as one of its source's limits."""
-    sizes: dict[str, int] = {}
     for measure, size in limits:
-        if measure not in sizes:
-            sizes[measure] = length_of(measure, text)
-        if 0 <= size - sizes[measure] <= SLACK:
+        short = size - length_of(measure, text)
+        if (-REPLACED if measure.endswith("utf8") else 0) <= short <= SLACK:
             return True
     return False

@@ -8,16 +8,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scoreloom.llm.endings import EndingModel, is_cut
+from scoreloom.llm.endings import EndingModel, is_cut, open_delimiters
 from scoreloom.llm.keyword_pages import PHRASE_COUNT, PHRASE_SHARE, PHRASE_WORDS, _repeats, _sequence, keyword_pages, keyword_share, segments
 from scoreloom.llm.languages import language
 from scoreloom.llm.leaks import _occurs, find_leaks
-from scoreloom.llm.pairs import defect_of, pair_defects
+from scoreloom.llm.pairs import Question, defect_of, fit_endings, pair_defects
 from scoreloom.llm.residue import is_idle, kind_of, latin_score, residue
 from scoreloom.llm.suffix_automaton import SuffixAutomaton, covered
 from scoreloom.llm.tokens import Encoder, encode_corpus, merge, read_ranks
 from scoreloom.llm.top_items import top_n_per_group
-from scoreloom.llm.truncation import length_of, lengths, storage_limits
+from scoreloom.llm.truncation import at_limit, length_of, lengths, storage_limits
 
 TOKENIZERS = "/opt/tokenizers"
 NO_MODEL = EndingModel({}, frozenset())
@@ -297,13 +297,57 @@ def test_lengths_agree_and_limits_show(spark):
     for r in row:
         assert {k: int(r[k]) for k in lengths(F.col("t"))} == {k: length_of(k, r.t) for k in lengths(F.col("t"))}
     rng = random.Random(1)
-    word = lambda n: "".join(rng.choice("abcdeđ ") for _ in range(n)) + "z"
-    rows = [("Cut ", word(rng.randrange(60, 400))[:200]) for _ in range(400)] + [("free", word(rng.randrange(60, 400))) for _ in range(400)] + [(None, None)]
+    word = lambda n: "".join(rng.choice("abcdeđ \n\"&") for _ in range(n)) + "z"
+    cuts = {"cut ": lambda t: t[:200], "bytes": lambda t: t.encode()[:300].decode("utf-8", "ignore"), "json": lambda t: next(t[:k] for k in range(len(t), 0, -1) if length_of("json", t[:k]) <= 250), "free": lambda t: t}
+    rows = [(s.upper() if k % 2 else s, cut(word(rng.randrange(60, 500)))) for s, cut in cuts.items() for k in range(400)]
+    rows += [("template", f"Lỗi máy chủ, mã yêu cầu {1000 + k}, hãy thử lại sau ít phút nữa nhé, nút {100 + k}") for k in range(400)] + [("same", "x" * 99)] * 400 + [(None, None)]
     found = storage_limits(spark.createDataFrame(rows, "s string, t string"), "s", "t").collect()
-    assert {(r.source, r["size"]) for r in found if r.measure == "characters"} == {("cut", 200)}
+    assert {(r.source, r.measure) for r in found} == {("cut", "characters"), ("bytes", "utf8"), ("json", "json")} and len(found) == 3
+    assert {r["size"] for r in found} - {200, 250} <= {298, 299, 300}
     assert storage_limits(spark.createDataFrame([], "s string, t string"), "s", "t").count() == 0
 
 
+def test_a_limit_decides_before_the_ending():
+    model = EndingModel.fit(solved(i) for i in range(120))
+    at = lambda t: at_limit([("characters", len(t))], t)
+    # Sentences that often end after the first word of a unit, so that the ending alone can't tell.
+    model = EndingModel.fit([*map(solved, range(120)), *(f"Có {i} quả. Còn {i} quả." for i in range(100)), *(f"Có {i} quả táo đỏ." for i in range(40))])
+    text = "Bạn Mai nói rằng: Còn 15 quả"
+    assert not is_cut(text, model) and is_cut(text, model, limited=at) and not is_cut(text, model, limited=lambda t: False)
+    assert is_cut(text + "...", model, limited=at) and is_cut(text + " ...", model, limited=lambda t: t.endswith("quả"))
+    assert not is_cut(solved(300), model, limited=at) and not is_cut(solved(300), model, limited=lambda t: True)
+
+
+def test_delimiters_are_a_stack():
+    for text in ("ta có (3 + 4", "tập [0; 5", "**Bước", "\\[ 12 + 3", "```x", "\\frac{1}{2", "(a [b) c [d", "$$ x"):
+        assert open_delimiters(text), text
+    for text in ("a) và b)", "[0; 5) và (1; 2]", "**đậm** (x)", "\\[ 12 \\]", "([{}])", ""):
+        assert not open_delimiters(text), text
+    model = EndingModel.fit(solved(i) for i in range(120))
+    done = solved(300)[:-1]
+    assert not is_cut(done, model) and is_cut(done.replace("Kết luận: ", "Kết luận: ("), model)
+
+
+def test_a_copy_keeps_the_order_of_words():
+    q = Question(QUESTION)
+    words = QUESTION.rstrip("?").split()
+    moved = [*words[6:], *words[:6]]
+    assert q.is_copied_by(" ".join(moved)) and q.is_copied_by(" ".join(w for k, w in enumerate(words) if k != 8))
+    rng, copies = random.Random(4), 0
+    for _ in range(50):
+        rng.shuffle(words)
+        copies += q.is_copied_by(" ".join(words))
+    assert copies == 0
+    assert not q.is_copied_by(" ".join(words[:3])) and not q.is_copied_by(QUESTION + " xong rồi nhé các bạn ơi ta được đáp án cuối cùng như thế này đây")
+
+
+def test_sample_is_chosen_by_id(spark):
+    df = spark.range(40_000).select("id", F.lit("Một câu giống nhau. Hết.").alias("t"))
+    model = fit_endings(df, "id", ["t"], 500)
+    assert model.known == {} or max(n for _, n, _ in model.known.values()) <= 2  # one text, however many copies are drawn
+    assert fit_endings(df.limit(0), "id", ["t"]).known == {}
+
+
 # --- keyword pages
 
 TEXT = "Giáo viên bộ môn ghi lại từng bước về phân số trong tuần đầu tiên. Hãy thử thay 85 bằng 96 và xem kết quả đổi thế nào. "
