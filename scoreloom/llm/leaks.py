@@ -8,6 +8,7 @@ regions that meet that count are aligned within their band.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ from scoreloom.session import spread
 BLOCK_CHARS = 8_000_000
 #: Bits of the table that rejects most q-grams of a document at once.
 FILTER_BITS = 22
+#: Shared q-grams that are held at once; frequent ones are compared in parts of so many.
+PART = 2_000_000
+#: What stands between blanks and holds a word.
+_HELD = re.compile(r"\S*[^\W_]\S*")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,6 +47,11 @@ class ItemIndex:
 
     def __init__(self, ids: list, texts: list[str], min_words: int, edits: int):
         self.ids, self.min_words, self.edits = ids, min_words, edits
+        #: The first of the neighbouring texts that have the same id, as the pieces of one item have.
+        self.first = list(range(len(ids)))
+        for k in range(1, len(ids)):
+            if ids[k] == ids[k - 1]:
+                self.first[k] = self.first[k - 1]
         self.codes, marks = plain_codes(texts)
         self.start, self.end = marks[:-1], marks[1:]  # each text lies between two marks
         breaks = np.flatnonzero((self.codes == 32) | (self.codes == 10))
@@ -65,34 +75,80 @@ class ItemIndex:
         at = at[whole]
         order = np.argsort(h[at], kind="stable")
         self.at, self.hashes = at[order], h[at][order]
+        #: The longest run of min_words words, with its edits; shared q-grams farther apart belong to different runs.
+        self.longest = int(spans.max()) + edits
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the documents and in the items that share a q-gram."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in the documents that share a q-gram with an item, and the slice of the index that holds it."""
         none = np.array([], np.int64)
         if not len(self.hashes) or len(codes) < self.q:
-            return none, none
+            return none, none, none
         h = qgram_hashes(codes, self.q)
         at = np.flatnonzero(self.filter[h >> np.uint64(64 - FILTER_BITS)])
         h = h[at]
         low, high = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
-        n = high - low
-        some = n > 0
-        at, low, n = at[some], low[some], n[some]
+        some = high > low
+        return at[some], low[some], high[some]
+
+    def parts(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in the documents and in the items that share a q-gram, in parts of about PART pairs.
+
+        Positions are counted before they are paired: a stretch of a document in
+        which fewer than the needed number share a q-gram can hold no passage,
+        and goes. Stretches are kept whole; one with more pairs than a part holds,
+        as of a phrase that thousands of items share, is paired with the items bit
+        by bit, each with whole items.
+        """
+        at, low, high = self.hits(codes)
         if not len(at):
-            return none, none
-        doc_at = np.repeat(at, n)
-        step = np.arange(len(doc_at)) - np.repeat(np.cumsum(n) - n, n)
-        return doc_at, self.at[np.repeat(low, n) + step]
+            return
+        first = np.flatnonzero(np.r_[True, np.diff(at) > (self.longest if self.edits else 1)])
+        size = np.diff(np.r_[first, len(at)])
+        n = high - low
+        pairs = np.add.reduceat(n, first)
+        enough = size >= self.needed
+        part = (np.cumsum(np.where(enough, pairs, 0)) - 1) // PART
+        for k in np.unique(part[enough]):
+            chosen = np.flatnonzero(enough & (part == k))
+            rows = np.concatenate([np.arange(first[c], first[c] + size[c]) for c in chosen])
+            blocks = -(-int(n[rows].sum()) // PART)
+            if blocks <= 1:
+                yield self._paired(at[rows], low[rows], high[rows])
+                continue
+            # Within equal q-grams the index is in the order of positions, so each block of items is a slice.
+            key = self.hashes[low[rows]]
+            edges = self.start[np.linspace(0, len(self.start), min(len(self.start), blocks) + 1).astype(np.int64)[1:-1]]
+            begin = low[rows]
+            for edge in (*edges.tolist(), None):
+                stop = high[rows] if edge is None else self._until(key, begin, high[rows], edge)
+                some = stop > begin
+                if some.any():
+                    yield self._paired(at[rows][some], begin[some], stop[some])
+                begin = stop
+
+    def _until(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, edge: int) -> np.ndarray:
+        """For each slice of the index, where the positions from `edge` on begin, by bisection."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            less = open_ & (self.at[np.minimum(mid, len(self.at) - 1)] < edge)
+            low = np.where(less, mid + 1, low)
+            high = np.where(open_ & ~less, mid, high)
+        return low
+
+    def _paired(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = high - low
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.at[np.repeat(low, n) + step]
 
-    def regions(self, codes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    def regions(self, codes: np.ndarray, marks: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Document, item, diagonal and position of the shared q-grams in bands that have enough of them.
 
         Bands overlap by half. q-grams that repeat in the item or the document
         only raise a band's count, so no region is lost.
         """
-        doc_at, item_at = self.hits(codes)
         doc = np.searchsorted(marks, doc_at, "right") - 1
         item = np.searchsorted(self.start, item_at, "right") - 1
         diagonal = doc_at - item_at + len(self.codes)
@@ -127,48 +183,81 @@ class ItemIndex:
                 out.add((d, i))
         return out
 
-    def _aligned_with_edits(self, codes: np.ndarray, doc: tuple[int, int], item: int, low: int, high: int) -> bool:
-        """Banded edit distance of every window of min_words item words against the document."""
-        text = self.codes[self.start[item] : self.end[item] + 1]
-        edge = np.flatnonzero(text <= 32)
-        pad = self.edits
-        for k in range(len(edge) - self.min_words):
-            want = text[edge[k] + 1 : edge[k + self.min_words]]
-            begin = self.start[item] + edge[k] + 1
-            a, z = max(doc[0] + 1, begin + low - pad), min(doc[1], begin + high + len(want) + pad)
-            if _occurs(want, codes[a:z], self.edits):
-                return True
-        return False
+    def _aligned_with_edits(self, codes: np.ndarray, bounds: tuple[int, int], item: int, low: int, high: int, begin: int, end: int) -> bool:
+        """Banded edit distance of the windows of min_words item words that the region can hold, against the document.
+
+        The region's shared q-grams lie at [begin, end) of the document, on the
+        diagonals from `low` to `high`; all windows are aligned at once, each within
+        its band.
+        """
+        text_at, text_end = int(self.start[item]), int(self.end[item])
+        edge = text_at + np.flatnonzero(self.codes[text_at : text_end + 1] <= 32)
+        starts, stops = edge[: -self.min_words] + 1, edge[self.min_words :]
+        near = (stops + high + self.edits > begin) & (starts + low - self.edits < end + self.q)
+        starts, stops = starts[near], stops[near]
+        if not len(starts):
+            return False
+        size = stops - starts
+        span = np.arange(int(size.max()))
+        want = np.where(span[None, :] < size[:, None], self.codes[np.minimum(starts[:, None] + span[None, :], len(self.codes) - 1)], 0)
+        a = np.maximum(bounds[0] + 1, starts + low - self.edits)
+        z = np.minimum(bounds[1], stops + high + self.edits)
+        width = int((z - a).max())
+        if width <= 0:
+            return False
+        across = np.arange(width)
+        have = np.where(across[None, :] < (z - a)[:, None], codes[np.minimum(a[:, None] + across[None, :], len(codes) - 1)], 1)
+        return bool((_distances(want, size, have) <= self.edits).any())
 
     def found(self, codes: np.ndarray, marks: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that the alignment confirms."""
-        doc, item, diagonal, at = self.regions(codes, marks)
-        if not len(doc):
-            return set()
-        if not self.edits:
-            return self._aligned(codes, doc, item, diagonal, at)
-        spans: dict[tuple[int, int], list[int]] = {}
-        for d, i, g in zip(doc.tolist(), item.tolist(), diagonal.tolist()):
-            low_high = spans.setdefault((d, i), [g, g])
-            low_high[0], low_high[1] = min(low_high[0], g), max(low_high[1], g)
-        return {
-            (d, i)
-            for (d, i), (low, high) in spans.items()
-            if self._aligned_with_edits(codes, (int(marks[d]), int(marks[d + 1])), i, low, high)
-        }
-
-
-def _occurs(want: np.ndarray, text: np.ndarray, edits: int) -> bool:
-    """Whether `want` occurs somewhere in `text` with at most so many edits."""
-    n = len(want)
-    row = np.zeros(len(text) + 1, np.int64)
-    span = np.arange(len(text) + 1)
-    for i in range(n):
+        out: set[tuple[int, int]] = set()
+        for doc_at, item_at in self.parts(codes):
+            doc, item, diagonal, at = self.regions(codes, marks, doc_at, item_at)
+            if not len(doc):
+                continue
+            exact = self._aligned(codes, doc, item, diagonal, at)
+            out |= exact
+            if not self.edits:
+                continue
+            # Regions of one pair: neighbouring diagonals and positions.
+            order = np.lexsort((at, item, doc))
+            doc, item, diagonal, at = doc[order], item[order], diagonal[order], at[order]
+            cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > self.longest)])
+            last = np.r_[cut[1:], len(at)]
+            lows, highs = np.minimum.reduceat(diagonal, cut), np.maximum.reduceat(diagonal, cut)
+            for k, (b, e) in enumerate(zip(cut.tolist(), last.tolist())):
+                d, i = int(doc[b]), int(item[b])
+                if (d, i) in out:
+                    continue
+                bounds = (int(marks[d]), int(marks[d + 1]))
+                low, high = int(lows[k]), int(highs[k])
+                if high - low <= 8 * (self.edits + 1):
+                    spans = [(low, high, int(at[b]), int(at[e - 1]) + 1)]
+                else:  # a text that repeats itself: band by band
+                    own, where = diagonal[b:e], at[b:e]
+                    by = np.argsort(own, kind="stable")
+                    breaks = np.flatnonzero(np.r_[True, np.diff(own[by]) > 2 * self.edits])
+                    spans = [(int(own[g].min()), int(own[g].max()), int(where[g].min()), int(where[g].max()) + 1) for g in np.split(by, breaks[1:])]
+                if any(self._aligned_with_edits(codes, bounds, i, *span) for span in spans):
+                    out.add((d, i))
+        return out
+
+
+def _distances(want: np.ndarray, size: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """For each row, the least edits with which the first `size` of `want` occur somewhere in `have`."""
+    across = np.arange(have.shape[1] + 1)
+    row = np.zeros((len(want), have.shape[1] + 1), np.int32)
+    best = np.zeros(len(want), np.int32)
+    for i in range(want.shape[1]):
         new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[:-1] + (text != want[i]), row[1:] + 1)
-        row = np.minimum.accumulate(new - span) + span
-    return bool(row.min() <= edits)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (have != want[:, i : i + 1]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - across, axis=1) + across
+        done = size == i + 1
+        if done.any():
+            best[done] = row[done].min(axis=1)
+    return best
 
 
 def find_leaks(
@@ -188,44 +277,63 @@ def find_leaks(
     consecutive words of it, up to `edits` character edits. Words are the runs of
     letters and digits left after dropping invisible format characters, accents
     and case. The items are the held-out side: they are read to the driver in
-    blocks of at most `block_chars` characters (a larger single item is a block
-    of its own) and each block goes over the corpus in one pass without a
-    shuffle; the corpus itself never leaves its partitions, and documents of any
-    length are searched whole.
+    blocks of about `block_chars` characters (a longer item in pieces that share
+    their words at the ends) and each block goes over the corpus in one pass; the
+    corpus itself never leaves its partitions (one of fewer parts than cores is
+    spread first), and documents of any length are searched whole.
 
     Null, empty and blank texts hold no words and leak nothing; items of fewer
-    than `min_words` words can't leak; repeated documents come out each, a
-    repeated item under each of its ids; empty tables give an empty result.
+    than `min_words` words can't leak; repeated documents come out each (but those
+    of one id once where an item lies in several blocks), a repeated item under each
+    of its ids; empty tables give an empty result.
     """
     schema = T.StructType(
         [T.StructField("doc_id", corpus.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType)]
     )
     docs = spread(corpus.select(f"`{doc_id}`", f"`{doc_text}`"))
     spark = corpus.sparkSession
-    parts = [
-        docs.mapInArrow(_searcher(spark.sparkContext.broadcast(block), min_words, edits, to_arrow_type(schema["item_id"].dataType)), schema)
-        for block in _blocks(items, item_id, item_text, block_chars)
-    ]
-    if not parts:
+    out, last, shared = None, None, False
+    for ids, texts in _blocks(items, item_id, item_text, block_chars, min_words):
+        shared |= last is not None and ids[0] == last
+        last = ids[-1]
+        block = spark.sparkContext.broadcast((ids, texts))
+        part = docs.mapInArrow(_searcher(block, min_words, edits, to_arrow_type(schema["item_id"].dataType)), schema)
+        out = part if out is None else out.union(part)
+    if out is None:
         return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return out.distinct() if shared else out
+
+
+def _pieces(text: str, size: int, min_words: int) -> Iterator[str]:
+    """A text in pieces of at least `size` characters; each begins with the last min_words words of the one before, so that none is cut."""
+    at = 0
+    while len(text) - at > size:
+        end, own = at, []
+        while end < len(text) and len(own) <= min_words:
+            end = min(len(text), end + size)
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            own = [m.start() for m in _HELD.finditer(text, at, end)]
+        yield text[at:end]
+        if end == len(text):
+            return
+        at = own[-min_words]
+    yield text[at:]
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[tuple[list, list[str]]]:
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int, min_words: int) -> Iterator[tuple[list, list[str]]]:
     ids: list = []
     texts: list[str] = []
     held = 0
     rows = items.select(f"`{item_id}`", f"`{item_text}`").where(f"`{item_text}` IS NOT NULL")
-    for i, t in rows.toLocalIterator():
-        if ids and held + len(t) > block_chars:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(i)
-        texts.append(t)
-        held += len(t)
+    for i, whole in rows.toLocalIterator():
+        for t in _pieces(whole, block_chars, min_words):
+            if ids and held + len(t) > block_chars:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+            ids.append(i)
+            texts.append(t)
+            held += len(t)
     if ids:
         yield ids, texts
 
@@ -247,7 +355,8 @@ def _searcher(block, min_words: int, edits: int, item_type):
                     size += len(texts[end] or "")
                     end += 1
                 codes, marks = plain_codes([t or "" for t in texts[at:end]])
-                pairs = sorted(index.found(codes, marks))
+                # Pieces of one item have its id.
+                pairs = sorted({(d, index.first[i]) for d, i in index.found(codes, marks)})
                 if pairs:
                     docs = batch.column(0).take(pa.array([at + d for d, _ in pairs]))
                     ids = pa.array([index.ids[i] for _, i in pairs], type=item_type)

@@ -75,6 +75,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), "doc_id", "text", "item_id", "text")
 
 
+def p7_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 12 words of an item in a row with at most two character edits in them, as typing errors are."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"), "doc_id", "text", "item_id", "text", edits=2)
+
+
 def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every leaked item with its benchmark and the number of documents that hold it."""
     items = table(spark, folder, "benchmark_items").select("item_id", "benchmark")
@@ -87,7 +92,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p3_found, p3_excluded, p4_found, p4_limits, p4_share, p6_ids, p7_found, p7_leaked_items, p8_found)
+    found = (p1_found, p2_found, p3_found, p3_excluded, p4_found, p4_limits, p4_share, p6_ids, p7_found, p7_near, p7_leaked_items, p8_found)
     return {f.__name__: f for f in found}
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from scoreloom.llm.endings import EndingModel, is_cut, open_delimiters
 from scoreloom.llm.keyword_pages import PHRASE_COUNT, PHRASE_SHARE, PHRASE_WORDS, _repeats, _sequence, keyword_pages, keyword_share, segments
 from scoreloom.llm.languages import language
-from scoreloom.llm.leaks import _occurs, find_leaks
+from scoreloom.llm import leaks
+from scoreloom.llm.leaks import ItemIndex, _distances, find_leaks
 from scoreloom.llm.pairs import Question, defect_of, fit_endings, pair_defects
 from scoreloom.llm.residue import is_idle, kind_of, latin_score, residue
 from scoreloom.llm.suffix_automaton import SuffixAutomaton, covered
@@ -131,6 +132,15 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(r) for r in blocks.collect()} == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", "-", "đường", "x" * 30]), max_size=60), st.integers(1, 60))
+def test_pieces_cut_no_run_of_words(parts, size):
+    text = " ".join(parts)
+    pieces = list(leaks._pieces(text, size, 3))
+    runs = lambda t: {tuple(w[k : k + 3]) for w in [words(t)] for k in range(len(w) - 2)}
+    assert set().union(*map(runs, pieces)) == runs(text) and all(p in text for p in pieces)
+
+
 def test_leaks_with_edits(spark):
     item = "trong le hoi den troi chi nuoi ong o deo ngo gio phoi kin mai hien"
     d = spark.createDataFrame([(1, "x " + item.replace("nuoi", "nuoj") + " y"), (2, item.replace("nuoi", "nuojx").replace("kin", "kjm"))], "doc_id bigint, text string")
@@ -150,11 +160,67 @@ def test_leaks_keep_the_types_of_ids(spark, kind):
     assert dict(out.dtypes) == {"doc_id": kind, "item_id": kind} and out.count() == 1 and str(out.first().item_id) == "7"
 
 
+def edits_to_find(want, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(want):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
 def test_banded_alignment():
     import numpy as np
 
-    codes = lambda t: np.array(list(map(ord, t)))
-    assert _occurs(codes("abcd"), codes("xxabxcdyy"), 1) and not _occurs(codes("abcd"), codes("xxabxxcdyy"), 1)
+    rng = random.Random(6)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))), "".join(rng.choice("abc") for _ in range(12))) for _ in range(100)]
+    want = np.zeros((100, 9), np.uint32)
+    have = np.array([[ord(c) for c in t] for _, t in pairs], np.uint32)
+    for k, (w, _) in enumerate(pairs):
+        want[k, : len(w)] = [ord(c) for c in w]
+    assert _distances(want, np.array([len(w) for w, _ in pairs]), have).tolist() == [edits_to_find(w, t) for w, t in pairs]
+
+
+@pytest.mark.parametrize("edits", [1, 3])
+def test_leaks_with_edits_against_brute_force(edits, monkeypatch):
+    monkeypatch.setattr(leaks, "PART", 500)
+    rng = random.Random(edits)
+    word = lambda: "".join(rng.choice("aeionbcdlm") for _ in range(rng.randrange(3, 8)))
+    items = [" ".join(word() for _ in range(rng.randrange(12, 22))) for _ in range(8)]
+    docs = []
+    for _ in range(60):
+        w = rng.choice(items).split()
+        a = rng.randrange(len(w) - 8)
+        part = list(" ".join(w[a : a + rng.randrange(9, 16)]))
+        for _ in range(rng.randrange(0, 2 * edits + 2)):
+            k = rng.randrange(len(part))
+            part[k : k + 1] = rng.choice([[], ["x"], [part[k], "y"]])
+        docs.append(" ".join([word(), word(), "".join(part), word(), word()]))
+    docs += [items[0] + " " + items[0], "", "a"]
+    index = ItemIndex(list(range(8)), items, 12, edits)
+    codes, marks = leaks.plain_codes(docs)
+    plain = [" ".join(words(t)) for t in docs]
+    want = set()
+    for i, t in enumerate(items):
+        w = words(t)
+        for k in range(len(w) - 11):
+            want |= {(d, i) for d, p in enumerate(plain) if edits_to_find(" ".join(w[k : k + 12]), p) <= edits}
+    assert want and index.found(codes, marks) == want
+
+
+def test_a_phrase_that_thousands_of_items_share():
+    import tracemalloc
+
+    opening = "trong bài toán sau đây em hãy đọc kỹ đề rồi trả lời đầy đủ"
+    items = [f"{opening} câu số {k} gồm {k * 7} phần" for k in range(3000)]
+    index = ItemIndex(list(range(3000)), items, 12, 0)
+    tracemalloc.start()
+    codes, marks = leaks.plain_codes([(opening + " x ") * 100, opening, "em hãy đọc"])
+    found = index.found(codes, marks)
+    assert tracemalloc.get_traced_memory()[1] < 700e6
+    tracemalloc.stop()
+    assert found == {(d, i) for d in (0, 1) for i in range(3000)}
 
 
 # --- suffix automaton
