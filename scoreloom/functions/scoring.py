@@ -56,8 +56,9 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 
 def fallback_f1(a: Column, b: Column) -> Column:
-    """F1 where no word is shared: equality of short texts, else F1 of different words, else of characters weighted by length."""
-    letters = lambda x: F.array_distinct(F.filter(F.split(F.array_join(x, ""), ""), lambda t: t != ""))
+    """F1 where no word is shared: equality of texts of three words or less, else F1 of different words or, without common ones, of
+    characters, times the ratio of their numbers of words. Signs count as blanks."""
+    letters = lambda x: F.array_distinct(F.filter(F.split(F.array_join(x, " "), ""), lambda t: t != ""))
     dice = lambda x, y: ratio(2 * F.size(F.array_intersect(x, y)), F.size(x) + F.size(y))
 
     def score(p: Column, r: Column) -> Column:
@@ -65,10 +66,11 @@ def fallback_f1(a: Column, b: Column) -> Column:
         lengths = ratio(F.least(F.size(p), F.size(r)), F.greatest(F.size(p), F.size(r)))
         short = (F.size(p) <= 3) & (F.size(r) <= 3)
         equal = (F.array_join(p, " ") == F.array_join(r, " ")).cast("double")
-        rest = F.when(by_words > 0, by_words).otherwise(let(dice, letters(p), letters(r)) * lengths)
+        rest = F.when(by_words > 0, by_words).otherwise(let(dice, letters(p), letters(r))) * lengths
         return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).when(short, equal).otherwise(rest)
 
-    return _two(a, b, score)
+    plain = lambda c: words(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\\p{L}\\p{M}\\p{N}_\\s]", " "))
+    return let(score, plain(a), plain(b))
 
 
 def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
@@ -162,6 +164,7 @@ DOUBTFUL = (
     "tôi ước tính", "không biết", "không dám chắc", "bối rối", "phức tạp", "khó",
 )
 EXAMPLE_MARKERS = ("tương tự", "giống như", "theo cách tương tự", "áp dụng")
+CONSISTENT_MARKERS = ("nhất quán", "consistent", "phương pháp", "giải", "solution")
 STRUCTURE_MARKERS = ("đáp án", "kết quả", "trả lời", "solution", "answer")
 STEP_COUNTED = ("bước", "step", "thứ nhất", "thứ hai", "first", "second")
 
@@ -192,10 +195,11 @@ def prompt_reasoning(response: Column, prompt: Column) -> Column:
     seen = _any(low, ("observe:", "quan sát:", "kết quả là", "nhận thấy"))
     react = F.when(think & act & seen, 0.9).when(think & act, 0.7).when(think, 0.5).otherwise(0.3)
     react = react + 0.1 * (F.least(count_of(low, "think:"), count_of(low, "act:")) >= 2).cast("int")
+    voted = 0.6 + 0.4 * share_of(low, CONSISTENT_MARKERS)
     few = 0.5 + 0.3 * share_of(low, EXAMPLE_MARKERS) + 0.2 * _any(low, ("đáp án", "kết quả")).cast("int")
     zero = 0.5 + 0.5 * share_of(low, STRUCTURE_MARKERS)
     has = lambda t: F.contains(kind, F.lit(t))
-    return clamp01(F.when(has("cot"), cot).when(has("react"), react).when(has("few_shot"), few).when(has("zero_shot"), zero).otherwise(0.5))
+    return clamp01(F.when(has("cot"), cot).when(has("react"), react).when(has("self_consistency"), voted).when(has("few_shot"), few).when(has("zero_shot"), zero).otherwise(0.5))
 
 
 def step_count(response: Column) -> Column:
@@ -280,12 +284,12 @@ def completeness_score(c: Column) -> Column:
 
 #: Error classes and the words that name them, in order.
 ERROR_WORDS = {
-    "Knowledge Error": ("knowledge", "kiến thức", "thiếu thông tin"),
-    "Reasoning Error": ("reasoning", "suy luận", "logic"),
+    "Knowledge Error": ("knowledge", "kiến thức", "thiếu thông tin", "incorrect knowledge"),
+    "Reasoning Error": ("reasoning", "suy luận", "logic", "logical", "reasoning process"),
     "Calculation Error": ("calculation", "tính toán", "mathematical", "computational", "số học"),
     "Non-answer": ("non-answer", "không trả lời", "refusing", "failing", "từ chối"),
     "Off-topic": ("off-topic", "lạc đề", "unrelated", "không liên quan"),
-    "Misunderstanding": ("misunderstanding", "hiểu nhầm", "misinterpret"),
+    "Misunderstanding": ("misunderstanding", "hiểu nhầm", "misinterpreting", "misinterpretation"),
     "Other": ("other", "khác"),
 }
 

@@ -179,21 +179,61 @@ def difficulty(question: Column, solution: Column) -> Column:
 
 #: Tags and the words that call for them.
 TAG_WORDS = {
-    "số học": ("chữ số", "chia hết", "dư", "ước", "bội", "nguyên tố", "tổng", "hiệu", "tích", "thương"),
-    "hình học": ("tam giác", "chữ nhật", "hình vuông", "diện tích", "chu vi", "cạnh", "góc", "bán kính"),
-    "đại số": ("phương trình", "tỷ lệ", "phần trăm", "gấp", "lần"),
-    "chuyển động": ("vận tốc", "quãng đường", "km/h", "gặp nhau", "ca nô", "ô tô", "xe máy"),
-    "công việc": ("công việc", "làm chung", "làm riêng", "vòi nước", "bể", "năng suất"),
-    "logic": ("hỏi", "bao nhiêu", "mấy", "tìm", "chứng minh", "so sánh"),
-    "thực tế": ("tuổi", "tiền", "kẹo", "cam", "táo", "muối", "dung dịch", "học sinh", "cửa hàng"),
+    "số học": ("số", "chữ số", "chia hết", "dư", "ước", "bội", "nguyên tố", "trung bình cộng", "tổng", "hiệu", "tích", "thương", "phân số"),
+    "hình học": ("tam giác", "vuông", "tròn", "chữ nhật", "hình vuông", "diện tích", "chu vi", "cạnh", "góc", "bán kính", "đường kính", "thể tích", "mét", "cm"),
+    "đại số": ("phương trình", "ẩn số", "biến số", "tìm x", "tỷ lệ", "phần trăm", "%", "gấp", "lần", "hệ thức"),
+    "chuyển động": ("vận tốc", "quãng đường", "thời gian", "km/h", "xuất phát", "gặp nhau", "ca nô", "ô tô", "xe máy", "xuôi dòng", "ngược dòng"),
+    "công việc": ("công việc", "làm chung", "làm riêng", "vòi nước", "bể", "giờ", "hoàn thành", "năng suất"),
+    "logic": ("hỏi", "bao nhiêu", "mấy", "tìm", "giải thích", "chứng minh", "suy luận", "đúng", "sai", "so sánh"),
+    "thực tế": ("tuổi", "tiền", "kẹo", "cam", "táo", "gà", "thỏ", "nước", "muối", "dung dịch", "học sinh", "lớp học", "cửa hàng", "giảm giá"),
 }
+#: Tags that a word calls for wherever it stands.
+TAG_PARTS = {"tuổi": ("tuổi",), "công việc": ("công việc", "làm chung", "làm riêng", "vòi nước"), "chuyển động": ("vận tốc", "km/h", "quãng đường", "ca nô")}
+#: Tags of the extractor by words that stand anywhere, and what the first generator adds to them.
+SHORT_TAG_WORDS = {
+    "số học": ("số", "chữ số", "ước số", "bội số", "tổng", "hiệu", "tích", "thương"),
+    "hình học": ("tam giác", "hình vuông", "hình chữ nhật", "diện tích", "chu vi"),
+    "đại số": ("phương trình", "biểu thức", "số x", "nghiệm"),
+    "logic": ("nếu", "thì", "hoặc", "và", "suy ra"),
+    "thực tế": ("tiền", "tuổi", "giờ", "ngày", "tháng", "năm"),
+}
+MORE_TAG_WORDS = {
+    "số học": ("chia",), "hình học": ("cạnh",), "đại số": ("tỷ số",), "logic": ("chứng minh", "giải thích"), "thực tế": ("cam", "gà", "vịt", "thỏ"),
+}
+
+
+def tag_pattern(words_: Sequence[str]) -> str:
+    """Where one of the words stands alone: between blanks or text ends, or before a comma, full stop or question mark."""
+    any_ = "(?:" + "|".join(w.replace(".", r"\.") for w in words_) + ")"
+    return f"^{any_} | {any_}[ ,.?]| {any_}\\z"
 
 
 def tags(question: Column) -> Column:
     """Sorted tags whose words stand in a question as words of their own; `tổng hợp` if there is none."""
-    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), "[,.?]", " "), F.lit(" "))
-    found = F.array_compact(F.array(*(F.when(F.greatest(*(F.contains(text, F.lit(f" {w} ")) for w in ws)), F.lit(t)) for t, ws in TAG_WORDS.items())))
-    return let(lambda t: F.when(F.size(t) == 0, F.array(F.lit("tổng hợp"))).otherwise(F.array_sort(t)), found)
+    low = F.lower(F.coalesce(question, F.lit("")))
+    alone = [F.when(low.rlike(tag_pattern(ws)), F.lit(t)) for t, ws in TAG_WORDS.items()]
+    parts = [F.when(F.greatest(*(F.contains(low, F.lit(w)) for w in (*ws, ws[0]))), F.lit(t)) for t, ws in TAG_PARTS.items()]
+    return let(lambda t: F.when(F.size(t) == 0, F.array(F.lit("tổng hợp"))).otherwise(F.array_sort(t)), F.array_distinct(F.array_compact(F.array(*alone, *parts))))
+
+
+def short_tags(question: Column, more: bool = False) -> Column:
+    """Tags whose words stand anywhere in a question, in the order of the table; none if there is none."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    kinds = {t: ws + (MORE_TAG_WORDS[t] if more else ()) for t, ws in SHORT_TAG_WORDS.items()}
+    return F.array_compact(F.array(*(F.when(F.greatest(*(F.contains(low, F.lit(w)) for w in ws)), F.lit(t)) for t, ws in kinds.items())))
+
+
+def length_difficulty(question: Column, solution: Column) -> Column:
+    """Difficulty by words of the solution for each word of the question: above 2 hard, above 1.5 middling; an empty question counts 1."""
+    level = lambda q, s: F.when(q == 0, "Dễ").when(s > 2 * q, "Khó").when(s > 1.5 * q, "Trung bình").otherwise("Dễ")
+    return let(level, F.size(words(question)), F.size(words(solution)))
+
+
+def normalize_extracted(c: Column) -> Column:
+    """Text of a page as one line: one blank after stops and commas, none around brackets."""
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), SPACE + "+", " ")
+    out = F.regexp_replace(out, r" *([.,!?]) *", "$1 ")
+    return F.trim(F.regexp_replace(out, r" *([()\[\]]) *", "$1"))
 
 
 #: Subjects by patterns in a question, the first that fits.

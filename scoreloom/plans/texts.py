@@ -125,9 +125,10 @@ def f19(spark, folder):
 
 
 def _tags_sql() -> str:
-    text = "' ' || regexp_replace(lower(coalesce(question, '')), '[,.?]', ' ', 'g') || ' '"
-    found = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(t, ' {w} ')" for w in ws) + f" THEN '{k}' END" for k, ws in tx.TAG_WORDS.items()) + "], lambda x: x IS NOT NULL)"
-    return f"WITH q AS (SELECT question_id, {text} AS t FROM questions), f AS (SELECT question_id, {found} AS tags FROM q) SELECT question_id, array_to_string(CASE WHEN len(tags) = 0 THEN ['tổng hợp'] ELSE list_sort(tags) END, ',') AS tags FROM f"
+    alone = [f"CASE WHEN regexp_matches(t, '{tx.tag_pattern(ws)}') THEN '{k}' END" for k, ws in tx.TAG_WORDS.items()]
+    parts = ["CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{k}' END" for k, ws in tx.TAG_PARTS.items()]
+    found = "list_distinct(list_filter([" + ", ".join(alone + parts) + "], lambda x: x IS NOT NULL))"
+    return f"WITH q AS (SELECT question_id, lower(coalesce(question, '')) AS t FROM questions), f AS (SELECT question_id, {found} AS tags FROM q) SELECT question_id, array_to_string(CASE WHEN len(tags) = 0 THEN ['tổng hợp'] ELSE list_sort(tags) END, ',') AS tags FROM f"
 
 
 @query("f21_tags", _tags_sql())
@@ -135,6 +136,24 @@ def f21(spark, folder):
     return table(spark, folder, "questions").select("question_id", F.array_join(tx.tags(F.col("question")), ",").alias("tags"))
 
 
+for _name, _more in (("f22_tags_extracted", False), ("f22c_tags_first_generator", True)):
+    _kinds = {t: ws + (tx.MORE_TAG_WORDS[t] if _more else ()) for t, ws in tx.SHORT_TAG_WORDS.items()}
+    _cells = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(question, '')), '{w}')" for w in ws) + f" THEN '{t}' END" for t, ws in _kinds.items())
+    query(_name, f"SELECT question_id, array_to_string(list_filter([{_cells}], lambda x: x IS NOT NULL), ',') AS tags FROM questions")(
+        lambda spark, folder, more=_more: table(spark, folder, "questions").select("question_id", F.array_join(tx.short_tags(F.col("question"), more), ",").alias("tags"))
+    )
+
+
+@query("f20_difficulty_by_length", f"SELECT question_id, CASE WHEN {_QW} = 0 THEN 'Dễ' WHEN {_SW} > 2 * {_QW} THEN 'Khó' WHEN {_SW} > 1.5 * {_QW} THEN 'Trung bình' ELSE 'Dễ' END AS estimated FROM questions")
+def f20(spark, folder):
+    return table(spark, folder, "questions").select("question_id", tx.length_difficulty(F.col("question"), F.col("solution")).alias("estimated"))
+
+
+@query("f18_normalize_extracted", f"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{_SP}+', ' ', 'g'), ' *([.,!?]) *', '\\1 ', 'g'), ' *([()\\[\\]]) *', '\\1', 'g'), ' ') AS line FROM documents""")
+def f18(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", tx.normalize_extracted(F.col("text")).alias("line"))
+
+
 @query("f23_subject", "SELECT subject, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{k}'" for k, p in tx.SUBJECT_PATTERNS) + " ELSE 'general' END AS subject FROM questions) GROUP BY subject")
 def f23(spark, folder):
     return table(spark, folder, "questions").groupBy(tx.subject(F.col("question")).alias("subject")).agg(F.count("*").alias("n"))

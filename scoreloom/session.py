@@ -26,12 +26,18 @@ def build(master: str = "local[*]", **conf: str) -> SparkSession:
 def written(df: DataFrame) -> DataFrame:
     """The table, written once to the shared checkpoint folder and read from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    none is named, as in tests, is one made here.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where none is
+    named, a local session, as in tests, gets one of its own; a cluster whose
+    executors may not share this machine's folders is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scoreloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="scoreloom-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -39,8 +45,9 @@ def spread(df: DataFrame) -> DataFrame:
     """The table over at least as many partitions as there are cores.
 
     For work that costs far more than moving its rows, on tables that lie in few
-    files or row groups. A table of enough partitions, as every large one is, stays
-    as it is, without a shuffle.
+    files or row groups: those are shuffled once, whole texts included. A table of
+    enough partitions, as every large one is, stays as it is, without a shuffle.
+    The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
