@@ -49,8 +49,27 @@ def group_means(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> D
     return _known(df, keys).groupBy(*keys).agg(F.count("*").alias("n_rows"), *(round6(F.avg(F.col(m).cast("double"))).alias(m) for m in metrics))
 
 
-def pivot_metric(df: DataFrame, row: str, column: str, values: Sequence[str], metric: Column, fill: float | None = None) -> DataFrame:
-    """Mean of a metric by row and column value; the values are given, so no extra pass finds them."""
+def pivot_cells(df: DataFrame, row: str, column: str, metric: Column, fill: float | None = None) -> DataFrame:
+    """The cells of a pivot in long form: row, column, n_rows and the mean of a metric, for every pair that occurs.
+
+    No value of either side is left out, however many there are; a cell without a
+    metric is null or `fill`.
+    """
+    value = round6(F.avg(metric))
+    return _known(df, [row, column]).groupBy(row, column).agg(F.count("*").alias("n_rows"), (F.coalesce(value, F.lit(fill)) if fill is not None else value).alias("value"))
+
+
+#: A pivot has at most so many columns; more values are a table in long form.
+PIVOT_COLUMNS = 1000
+
+
+def pivot_metric(df: DataFrame, row: str, column: str, metric: Column, fill: float | None = None, values: Sequence[str] | None = None) -> DataFrame:
+    """Mean of a metric by row, with a column for each value of `column`; the values are counted and read first if they aren't given."""
+    if values is None:
+        found = _known(df, [column]).select(column).distinct().orderBy(column).limit(PIVOT_COLUMNS + 1).collect()
+        if len(found) > PIVOT_COLUMNS:
+            raise ValueError(f"{column} has more than {PIVOT_COLUMNS} values; pivot_cells gives them in long form")
+        values = [r[0] for r in found]
     out = _known(df, [row]).groupBy(row).pivot(column, list(values)).agg(round6(F.avg(metric)))
     return out.na.fill(fill) if fill is not None else out
 
@@ -155,6 +174,13 @@ def correlations(df: DataFrame, metrics: Sequence[str], least: int = 5) -> DataF
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def complete_correlations(df: DataFrame, metrics: Sequence[str], least: int = 5) -> DataFrame:
+    """Pearson correlations of all pairs of metrics over the rows that have every one; null if there are fewer than `least`."""
+    for m in metrics:
+        df = df.where(F.col(m).isNotNull())
+    return correlations(df, metrics, least - 1)
+
+
 def accuracy_by_quartile(df: DataFrame, metric: str, labels: Sequence[str]) -> DataFrame:
     """Accuracy within the quartiles of a metric, whose exact edges are one row."""
     edges = df.agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreloom.functions.numbers import ratio, round6
+from scoreloom.functions import text as tx
+from scoreloom.functions.numbers import round6
 from scoreloom.operators import aggregates as ag
 from scoreloom.plans.base import LEGACY_SCORES, SCORES, P, R, legacy, query, results
 from scoreloom.sources.tables import table
 
-#: Levels of difficulty from easy to hard, main prompt types, context prompts.
+#: Levels of difficulty from easy to hard, context prompts.
 LEVELS = ("Dễ", "Trung bình", "Khó")
-PROMPTS = ("zero_shot", "few_shot_3", "few_shot_5", "few_shot_7", "cot", "cot_self_consistency_3", "cot_self_consistency_5", "cot_self_consistency_7", "react")
 CONTEXT = ("few_shot_3", "few_shot_5", "few_shot_7", "react")
 CRITERIA = ("reasoning_accuracy", "reasoning_reasoning", "reasoning_completeness", "reasoning_explanation", "reasoning_cultural_context")
 SIMILARITY = ("f1_score", "meteor_score", "bert_score", "rouge1_f", "rougel_f", "bleu")
@@ -54,11 +54,11 @@ _grouped("a55_model_prompt_difficulty", "model_name", "prompt_type", "difficulty
 _grouped("a77_type_by_model", "question_type", "model_name")
 
 
-def _pivot(name: str, row: str, column: str, values, metric: str, expr=None, fill: float | None = None) -> None:
-    cell = lambda v: r6(f"avg({metric}) FILTER (WHERE {column} = '{v}')")
-    cells = ", ".join(f"""{cell(v) if fill is None else f"coalesce({cell(v)}, {fill})"} AS "{v}" """ for v in values)
-    sql = f"WITH {R} SELECT {row}, {cells} FROM r WHERE {row} IS NOT NULL GROUP BY {row}"
-    query(name, sql)(lambda spark, folder: ag.pivot_metric(results(spark, folder), row, column, values, expr() if expr else F.col(metric), fill))
+def _pivot(name: str, row: str, column: str, metric: str, expr=None, fill: float | None = None) -> None:
+    value = r6(f"avg({metric})")
+    value = value if fill is None else f"coalesce({value}, {fill}::DOUBLE)"
+    sql = f"WITH {R} SELECT {row}, {column}, count(*) AS n_rows, {value} AS value FROM r WHERE {_where((row, column))} GROUP BY {row}, {column}"
+    query(name, sql)(lambda spark, folder: ag.pivot_cells(results(spark, folder), row, column, expr() if expr else F.col(metric), fill))
 
 
 _correct_sql = "is_correct::INT::DOUBLE"
@@ -68,14 +68,23 @@ def _correct():
     return F.col("is_correct").cast("double")
 
 
-_pivot("a05_accuracy_pivot", "model_name", "prompt_type", PROMPTS, _correct_sql, _correct)
-_pivot("a09_model_difficulty_pivot", "model_name", "difficulty", LEVELS, _correct_sql, _correct)
-_pivot("a09_prompt_difficulty_pivot", "prompt_type", "difficulty", LEVELS, _correct_sql, _correct)
-_pivot("a44_length_pivot", "model_name", "prompt_type", PROMPTS, "length(response)::DOUBLE", lambda: F.length("response").cast("double"))
-_pivot("a75_reasoning_pivot", "model_name", "prompt_type", PROMPTS, "reasoning_average", fill=0.0)
-_pivot("a83_latency_heatmap", "model_name", "difficulty", LEVELS, "latency")
+# Pivots come out as their cells, for every value of both sides.
+_pivot("a05_accuracy_pivot", "model_name", "prompt_type", _correct_sql, _correct)
+_pivot("a09_model_difficulty_pivot", "model_name", "difficulty", _correct_sql, _correct)
+_pivot("a09_prompt_difficulty_pivot", "prompt_type", "difficulty", _correct_sql, _correct)
+_pivot("a44_length_pivot", "model_name", "prompt_type", "length(response)::DOUBLE", lambda: F.length("response").cast("double"))
+_pivot("a70_latency_pivot", "model_name", "prompt_type", "latency", fill=0.0)
+_pivot("a70_topic_pivot", "model_name", "question_type", _correct_sql, _correct, 0.0)
+_pivot("a75_reasoning_pivot", "model_name", "prompt_type", "reasoning_average", fill=0.0)
+_pivot("a83_latency_heatmap", "model_name", "difficulty", "latency")
 for _m in ("f1_score", "meteor_score", "bert_score", "exact_match", "rouge1_f", "bleu"):
-    _pivot(f"a78_{_m}_pivot", "model_name", "prompt_type", PROMPTS, _m)
+    _pivot(f"a78_{_m}_pivot", "model_name", "prompt_type", _m)
+
+
+@query("r01_criteria_by_level", f"WITH {R} SELECT model_name, " + ", ".join(f"""{r6(f"avg(reasoning_average) FILTER (WHERE difficulty = '{v}')")} AS "{v}" """ for v in LEVELS) + " FROM r WHERE model_name IS NOT NULL GROUP BY model_name")
+def r01(spark, folder):
+    """A wide pivot over the three levels that are defined; other difficulties have no column."""
+    return ag.pivot_metric(results(spark, folder), "model_name", "difficulty", F.col("reasoning_average"), values=LEVELS)
 
 
 def _case(column: str, values) -> str:
@@ -185,11 +194,20 @@ def a20(spark, folder):
     return ag.correlations(results(spark, folder).withColumn("correct", _correct()), ("correct", "rouge1_f"))
 
 
-@query("a23_metric_correlations", _corr_sql(("correct", *SIMILARITY)))
-def a23(spark, folder):
+@query("a21_pairwise_correlations", _corr_sql(("correct", *SIMILARITY)))
+def a21(spark, folder):
     return ag.correlations(results(spark, folder).withColumn("correct", _correct()), ("correct", *SIMILARITY))
 
 
+_COMPLETE = " AND ".join(f"{m} IS NOT NULL" for m in SIMILARITY)
+
+
+@query("a23_metric_correlations", _corr_sql(SIMILARITY, 4).replace("FROM r) ", f"FROM r WHERE {_COMPLETE}) ", 1))
+def a23(spark, folder):
+    """Correlations over the rows that have every metric."""
+    return ag.complete_correlations(results(spark, folder), SIMILARITY)
+
+
 _BUCKETS = ("Rất thấp", "Thấp", "Cao", "Rất cao")
 
 
@@ -375,9 +393,14 @@ _statistics("a41_prompt_statistics", "prompt_type")
 _statistics("a42_combined_statistics", "model_name", "prompt_type")
 
 
-@query("a43_error_rate_pivot", f"WITH {PX} SELECT model_name, " + ", ".join(f"{r6(f'''100 * avg(has_error::INT::DOUBLE) FILTER (WHERE prompt_type = '{v}')''')} AS {v}" for v in PROMPTS) + " FROM px WHERE model_name IS NOT NULL GROUP BY model_name")
+@query("a43_error_rate_pivot", f"WITH {PX} SELECT model_name, prompt_type, count(*) AS n_rows, {r6('avg(100.0::DOUBLE * has_error::INT)')} AS value FROM px WHERE model_name IS NOT NULL AND prompt_type IS NOT NULL GROUP BY ALL")
 def a43(spark, folder):
-    return ag.pivot_metric(scored(spark, folder), "model_name", "prompt_type", PROMPTS, 100 * F.col("has_error").cast("double"))
+    return ag.pivot_cells(scored(spark, folder), "model_name", "prompt_type", 100 * F.col("has_error").cast("double"))
+
+
+@query("a71_error_rate_by_model", f"WITH {PX} SELECT model_name, count(*) AS n_rows, {r6('avg(100.0::DOUBLE * has_error::INT)')} AS error_rate FROM px WHERE model_name IS NOT NULL GROUP BY model_name")
+def a71(spark, folder):
+    return ag._known(scored(spark, folder), ["model_name"]).groupBy("model_name").agg(F.count("*").alias("n_rows"), round6(F.avg(100 * F.col("has_error").cast("double"))).alias("error_rate"))
 
 
 @query(
@@ -440,10 +463,24 @@ def a51(spark, folder):
     return g.crossJoin(F.broadcast(top)).select("model_name", round6(F.col("t")).alias("elapsed"), round6(F.col("q")).alias("quality"), round6(1000 * F.col("l") / F.col("ml")).alias("size"))
 
 
-@query("a52_error_crosstab", f"WITH {PX} SELECT model_name, " + ", ".join(f"count(*) FILTER (WHERE prompt_type = '{v}' AND has_error = {b}) AS {v}_{b}" for v in PROMPTS for b in ("false", "true")) + " FROM px WHERE model_name IS NOT NULL GROUP BY model_name")
+@query("a52_error_crosstab", f"WITH {PX} SELECT model_name, prompt_type, count(*) FILTER (WHERE NOT has_error) AS n_without, count(*) FILTER (WHERE has_error) AS n_with FROM px WHERE model_name IS NOT NULL AND prompt_type IS NOT NULL GROUP BY ALL")
 def a52(spark, folder):
-    df = scored(spark, folder).where(F.col("model_name").isNotNull()).withColumn("cell", F.concat("prompt_type", F.lit("_"), F.col("has_error").cast("string")))
-    return df.groupBy("model_name").pivot("cell", [f"{v}_{b}" for v in PROMPTS for b in ("false", "true")]).agg(F.count(F.lit(1))).na.fill(0)
+    df = ag._known(scored(spark, folder), ["model_name", "prompt_type"])
+    return df.groupBy("model_name", "prompt_type").agg(F.count_if(~F.col("has_error")).alias("n_without"), F.count_if("has_error").alias("n_with"))
+
+
+@query("a80_error_shares", f"WITH {R}, c AS (SELECT model_name, error_type, count(*) AS n FROM r WHERE model_name IS NOT NULL AND error_type IS NOT NULL GROUP BY ALL) SELECT model_name, error_type, n, {r6('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY model_name)')} AS row_percent, {r6('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY error_type)')} AS column_percent FROM c")
+def a80(spark, folder):
+    cells = ag._known(results(spark, folder), ["model_name", "error_type"]).groupBy("model_name", "error_type").agg(F.count("*").alias("n"))
+    rows, columns = cells.groupBy("model_name").agg(F.sum("n").alias("r")), cells.groupBy("error_type").agg(F.sum("n").alias("c"))
+    joined = cells.join(rows, "model_name").join(columns, "error_type")
+    return joined.select("model_name", "error_type", "n", round6(100.0 * F.col("n") / F.col("r")).alias("row_percent"), round6(100.0 * F.col("n") / F.col("c")).alias("column_percent"))
+
+
+@query("a79_consistency_pivot", f"WITH {R}, {_CONSISTENCY} SELECT model_name, base_prompt, count(*) AS n_rows, {r6('avg(consistency_score)')} AS score, {r6('avg(agreement_rate)')} AS agreement FROM s GROUP BY ALL")
+def a79(spark, folder):
+    groups = ag.consistency(_answers(spark, folder), _KEYS, "answer", "result_id")
+    return groups.groupBy("model_name", "base_prompt").agg(F.count("*").alias("n_rows"), round6(F.avg("consistency_score")).alias("score"), round6(F.avg("agreement_rate")).alias("agreement"))
 
 
 _FLAGS = "avg((coalesce(has_calculation_error, false))::INT::DOUBLE)"
@@ -528,6 +565,124 @@ def a63(spark, folder):
     return df.groupBy(F.date_trunc("day", "run_timestamp").alias("day")).agg(F.count("*").alias("n_rows"), round6(F.avg("latency")).alias("latency"), round6(ag.rate("is_correct")).alias("accuracy"))
 
 
+def _spread_table(name: str, key: str) -> None:
+    cells = ", ".join(f"{r6(f'{f}({m})')} AS {m}_{n}" for m in ("elapsed_time", "correctness_score") for f, n in (("avg", "mean"), ("stddev_samp", "std")))
+    query(name, f"WITH {PX} SELECT {key}, count(*) AS n_rows, {cells}, {r6('avg(has_error::INT::DOUBLE)')} AS error_rate FROM px WHERE {key} IS NOT NULL GROUP BY {key}")(
+        lambda spark, folder: ag._known(scored(spark, folder), [key]).groupBy(key).agg(
+            F.count("*").alias("n_rows"),
+            *(round6(f(m)).alias(f"{m}_{n}") for m in ("elapsed_time", "correctness_score") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))),
+            round6(F.avg(F.col("has_error").cast("double"))).alias("error_rate"),
+        )
+    )
+
+
+for _name, _key in (("a64_trend_by_run", "run_stamp"), ("a64_trend_by_model", "model_name"), ("a64_trend_by_prompt", "prompt_type"), ("a64_trend_by_topic", "question_type")):
+    _spread_table(_name, _key)
+
+
+@query(
+    "a62_error_patterns",
+    f"""WITH {R}, u AS (SELECT u.side, u.name, error_type FROM r, unnest([{{'side': 'all', 'name': 'all'}}, {{'side': 'model', 'name': model_name}}, {{'side': 'prompt', 'name': prompt_type}}, {{'side': 'topic', 'name': question_type}}]) AS t(u) WHERE u.name IS NOT NULL)
+      SELECT side, name, count(*) AS n_rows, count(error_type) AS n_errors, {r6('count(error_type)::DOUBLE / count(*)')} AS error_rate, count(DISTINCT error_type) AS n_types FROM u GROUP BY side, name""",
+)
+def a62_patterns(spark, folder):
+    """Errors overall and for each model, prompt and topic, in one pass."""
+    sides = [("all", F.lit("all")), ("model", F.col("model_name")), ("prompt", F.col("prompt_type")), ("topic", F.col("question_type"))]
+    long = results(spark, folder).select(F.explode(F.array(*(F.struct(F.lit(k).alias("side"), c.alias("name")) for k, c in sides))).alias("x"), "error_type").where(F.col("x.name").isNotNull())
+    # Counted by type first, so that no group is larger than its different types.
+    by_type = long.groupBy("x.side", "x.name", "error_type").agg(F.count("*").alias("n"))
+    errors = F.sum(F.when(F.col("error_type").isNotNull(), F.col("n")).otherwise(0))
+    return by_type.groupBy("side", "name").agg(F.sum("n").alias("n_rows"), errors.alias("n_errors"), round6(errors / F.sum("n")).alias("error_rate"), F.count("error_type").alias("n_types"))
+
+
+def _best_sql(k: str) -> str:
+    return f"SELECT '{k}' AS side, arg_max({k}, (q, {k})) AS best_quality, arg_min({k}, (t, {k})) AS fastest, arg_min({k}, (e, {k})) AS most_reliable FROM (SELECT {k}, avg(correctness_score) AS q, avg(elapsed_time) AS t, avg(has_error::INT::DOUBLE) AS e FROM px WHERE {k} IS NOT NULL GROUP BY {k}) WHERE q IS NOT NULL AND t IS NOT NULL"
+
+
+@query("a65_recommendations", f"WITH {PX} {_best_sql('model_name')} UNION ALL {_best_sql('prompt_type')}")
+def a65_best(spark, folder):
+    """The best model and prompt by quality, time and errors; ties go to the last name by quality and the first otherwise."""
+    def best(k: str):
+        g = ag._known(scored(spark, folder), [k]).groupBy(k).agg(F.avg("correctness_score").alias("q"), F.avg("elapsed_time").alias("t"), F.avg(F.col("has_error").cast("double")).alias("e"))
+        g = g.where(F.col("q").isNotNull() & F.col("t").isNotNull())
+        return g.agg(F.lit(k).alias("side"), F.max_by(k, F.struct("q", k)).alias("best_quality"), F.min_by(k, F.struct("t", k)).alias("fastest"), F.min_by(k, F.struct("e", k)).alias("most_reliable"))
+
+    return best("model_name").unionByName(best("prompt_type"))
+
+
+def _kinds_sql() -> str:
+    return "CASE WHEN contains(lower(prompt_type), 'few_shot') THEN 'Few-shot' WHEN contains(lower(prompt_type), 'zero_shot') THEN 'Zero-shot' WHEN contains(lower(prompt_type), 'cot') THEN 'CoT' WHEN contains(lower(prompt_type), 'react') THEN 'ReAct' ELSE 'Other' END"
+
+
+def _shots_sql() -> str:
+    return "try_cast(nullif(regexp_extract(prompt_type, '([0-9]+)', 1), '') AS INTEGER)"
+
+
+def _grouped_scores(name: str, keys: dict[str, tuple], where: str = "true") -> None:
+    """Means of the legacy scores by derived keys: name -> (SQL, Column)."""
+    metrics = ("correctness_score", "reasoning_score", "elapsed_time", "response_length")
+    sql = f"WITH {PX} SELECT {', '.join(f'{q} AS {k}' for k, (q, _) in keys.items())}, count(*) AS n_rows, {', '.join(f'{r6(f'avg({m}::DOUBLE)')} AS {m}' for m in metrics)} FROM px WHERE ({where}) AND {' AND '.join(f'({q}) IS NOT NULL' for q, _ in keys.values())} GROUP BY ALL"
+
+    def run(spark, folder):
+        df = scored(spark, folder).where(where)
+        return ag.group_means(df.select(*(c().alias(k) for k, (_, c) in keys.items()), *metrics), list(keys), metrics)
+
+    query(name, sql)(run)
+
+
+_kind = (_kinds_sql(), lambda: tx.prompt_category(F.col("prompt_type")))
+_by = lambda c: (c, lambda: F.col(c))
+_grouped_scores("a66_reasoning_by_category_model", {"category": _kind, "model": _by("model_name")}, "prompt_type IS NOT NULL")
+_grouped_scores("a66_few_shot_curve", {"shots": (_shots_sql(), lambda: tx.shots(F.col("prompt_type"))), "model": _by("model_name")}, "contains(lower(prompt_type), 'few_shot')")
+_grouped_scores("a66_scores_by_steps", {"n_steps": _by("num_reasoning_steps")}, "contains(lower(prompt_type), 'cot')")
+_grouped_scores("a68_by_prompt", {"prompt": _by("prompt_type")})
+_grouped_scores("a68_by_prompt_model", {"prompt": _by("prompt_type"), "model": _by("model_name")})
+_grouped_scores("a68_by_category", {"category": _kind}, "prompt_type IS NOT NULL")
+_grouped_scores("a68_by_prompt_topic", {"prompt": _by("prompt_type"), "topic": _by("question_type")})
+_grouped_scores("a68_by_prompt_difficulty", {"prompt": _by("prompt_type"), "difficulty": _by("question_difficulty")})
+_grouped_scores("a68_by_prompt_outcome", {"prompt": _by("prompt_type"), "outcome": _by("result_type")})
+_grouped_scores("a68_by_category_model", {"category": _kind, "model": _by("model_name")}, "prompt_type IS NOT NULL")
+
+
+@query("a66_reasoning_correlation", f"WITH {PX} SELECT model_name, count(*) AS n_rows, {r6('corr(reasoning_score, correctness_score)')} AS correlation FROM px WHERE model_name IS NOT NULL AND reasoning_score IS NOT NULL AND correctness_score IS NOT NULL GROUP BY model_name")
+def a66_corr(spark, folder):
+    df = ag._known(scored(spark, folder), ["model_name", "reasoning_score", "correctness_score"])
+    return df.groupBy("model_name").agg(F.count("*").alias("n_rows"), round6(F.corr("reasoning_score", "correctness_score")).alias("correlation"))
+
+
+@query("a07_type_details", f"WITH {PX} SELECT question_type, count(*) AS n_rows, {r6('avg(is_correct::INT::DOUBLE)')} AS accuracy, {r6('avg(elapsed_time)')} AS average_latency, {r6('avg(token_count::DOUBLE)')} AS average_tokens FROM px WHERE question_type IS NOT NULL GROUP BY question_type")
+def a07(spark, folder):
+    df = ag._known(scored(spark, folder), ["question_type"])
+    return df.groupBy("question_type").agg(F.count("*").alias("n_rows"), round6(ag.rate("is_correct")).alias("accuracy"), round6(F.avg("elapsed_time")).alias("average_latency"), round6(F.avg(F.col("token_count").cast("double"))).alias("average_tokens"))
+
+
+@query("a58_react_by_model", f"WITH {PX} SELECT model_name, count(*) AS n_rows, {r6('coalesce(avg(correctness_score), 1 - avg(has_error::INT::DOUBLE))')} AS effectiveness FROM px WHERE model_name IS NOT NULL AND contains(lower(prompt_type), 'react') GROUP BY model_name")
+def a58_react(spark, folder):
+    df = ag._known(scored(spark, folder), ["model_name"]).where(F.contains(F.lower("prompt_type"), F.lit("react")))
+    return df.groupBy("model_name").agg(F.count("*").alias("n_rows"), round6(F.coalesce(F.avg("correctness_score"), 1 - F.avg(F.col("has_error").cast("double")))).alias("effectiveness"))
+
+
+@query("a101_dashboard", f"WITH {PX} SELECT model_name, {r6('avg(has_error::INT::DOUBLE)')} AS error_rate, {r6('avg(elapsed_time)')} AS elapsed_time, {r6('avg(response_length::DOUBLE)')} AS response_length FROM px WHERE model_name IS NOT NULL GROUP BY model_name")
+def a101(spark, folder):
+    return ag._known(scored(spark, folder), ["model_name"]).groupBy("model_name").agg(round6(F.avg(F.col("has_error").cast("double"))).alias("error_rate"), round6(F.avg("elapsed_time")).alias("elapsed_time"), round6(F.avg(F.col("response_length").cast("double"))).alias("response_length"))
+
+
+@query("a102_error_types_among_errors", f"WITH {PX}, e AS (SELECT CASE WHEN has_calculation_error THEN 'calculation' WHEN has_logic_error THEN 'logic' ELSE 'other' END AS kind FROM px WHERE has_error) SELECT kind, count(*) AS n, {r6('count(*)::DOUBLE / sum(count(*)) OVER ()')} AS share FROM e GROUP BY kind")
+def a102(spark, folder):
+    kind = F.when(F.col("has_calculation_error"), "calculation").when(F.col("has_logic_error"), "logic").otherwise("other")
+    cells = scored(spark, folder).where("has_error").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    return cells.crossJoin(F.broadcast(cells.agg(F.sum("n").alias("t")))).select("kind", "n", round6(F.col("n") / F.col("t")).alias("share"))
+
+
+@query("a87_criteria_long", f"WITH {R}, u AS (UNPIVOT (SELECT model_name, {', '.join(CRITERIA)} FROM r) ON {', '.join(CRITERIA)} INTO NAME criterion VALUE score) SELECT model_name, upper(substring(replace(replace(criterion, 'reasoning_', ''), '_', ' '), 1, 1)) || substring(replace(replace(criterion, 'reasoning_', ''), '_', ' '), 2) AS criterion, score::BIGINT AS score, count(*) AS n FROM u WHERE model_name IS NOT NULL AND score = floor(score) GROUP BY ALL")
+def a87(spark, folder):
+    """How often each criterion has each whole score, in long form with readable names."""
+    long = ag._known(results(spark, folder), ["model_name"]).select("model_name", *CRITERIA).unpivot("model_name", list(CRITERIA), "criterion", "score")
+    plain = F.replace(F.replace(F.col("criterion"), F.lit("reasoning_"), F.lit("")), F.lit("_"), F.lit(" "))
+    name = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 99))
+    return long.where(F.col("score") == F.floor("score")).groupBy("model_name", name.alias("criterion"), F.col("score").cast("bigint").alias("score")).agg(F.count("*").alias("n"))
+
+
 @query("a65_alerts", f"WITH {PX} SELECT model_name, prompt_type, count(*) AS n_rows, {r6('avg(has_error::INT::DOUBLE)')} AS error_rate FROM px WHERE model_name IS NOT NULL AND prompt_type IS NOT NULL GROUP BY ALL HAVING avg(has_error::INT::DOUBLE) > 0.2")
 def a65(spark, folder):
     g = ag._known(scored(spark, folder), ["model_name", "prompt_type"]).groupBy("model_name", "prompt_type").agg(F.count("*").alias("n_rows"), F.avg(F.col("has_error").cast("double")).alias("e"))
