@@ -52,6 +52,7 @@ class ItemIndex:
         for k in range(1, len(ids)):
             if ids[k] == ids[k - 1]:
                 self.first[k] = self.first[k - 1]
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.codes, marks = plain_codes(texts)
         self.start, self.end = marks[:-1], marks[1:]  # each text lies between two marks
         breaks = np.flatnonzero((self.codes == 32) | (self.codes == 10))
@@ -60,12 +61,16 @@ class ItemIndex:
         if len(breaks) > min_words:
             a, b = breaks[:-min_words], breaks[min_words:]
             inside = np.searchsorted(marks, a, "right") == np.searchsorted(marks, b, "left")
-            spans = (b - a - 1)[inside]
+            spans, owner = (b - a - 1)[inside], np.searchsorted(marks, a, "right")[inside] - 1
         self.shortest = int(spans.min()) if len(spans) else 0
         self.q = 2
         while self.q < 16 and self.shortest + 1 - 2 * self.q * (1 + edits) > 0:
             self.q *= 2
         self.needed = max(1, self.shortest + 1 - self.q * (1 + edits))
+        #: For each item, how many q-grams its shortest run of min_words words shares with any place where it occurs.
+        self.needed_of = np.full(len(ids), np.iinfo(np.int64).max)
+        if len(spans):
+            np.minimum.at(self.needed_of, owner, np.maximum(1, spans + 1 - self.q * (1 + edits)))
         if not self.shortest:
             self.hashes = np.array([], np.uint64)
             return
@@ -157,7 +162,7 @@ class ItemIndex:
         kept = np.zeros(len(doc_at), bool)
         for shift in (0, width // 2):
             _, band, count = np.unique(pair + (diagonal + shift) // width, return_inverse=True, return_counts=True)
-            kept |= count[band] >= self.needed
+            kept |= count[band] >= self.needed_of[item]
         return doc[kept], item[kept], diagonal[kept] - len(self.codes), doc_at[kept]
 
     def _aligned(self, codes: np.ndarray, doc, item, diagonal, at) -> set[tuple[int, int]]:
@@ -183,31 +188,38 @@ class ItemIndex:
                 out.add((d, i))
         return out
 
-    def _aligned_with_edits(self, codes: np.ndarray, bounds: tuple[int, int], item: int, low: int, high: int, begin: int, end: int) -> bool:
-        """Banded edit distance of the windows of min_words item words that the region can hold, against the document.
+    def _windows(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of min_words words of an item begin and end."""
+        kept = self.windows.get(item)
+        if kept is None:
+            text_at, text_end = int(self.start[item]), int(self.end[item])
+            edge = text_at + np.flatnonzero(self.codes[text_at : text_end + 1] <= 32)
+            kept = self.windows[item] = (edge[: -self.min_words] + 1, edge[self.min_words :])
+        return kept
 
-        The region's shared q-grams lie at [begin, end) of the document, on the
-        diagonals from `low` to `high`; all windows are aligned at once, each within
-        its band.
+    def _aligned_with_edits(self, codes: np.ndarray, bounds: tuple[int, int], item: int, diagonal: np.ndarray, at: np.ndarray) -> bool:
+        """Banded edit distance of the item's windows of min_words words, against the document along a region's shared q-grams.
+
+        Only windows that share as many q-grams as their length and edits ask for are
+        aligned, each with the stretch of the document that its band spans.
         """
         text_at, text_end = int(self.start[item]), int(self.end[item])
-        edge = text_at + np.flatnonzero(self.codes[text_at : text_end + 1] <= 32)
-        starts, stops = edge[: -self.min_words] + 1, edge[self.min_words :]
-        near = (stops + high + self.edits > begin) & (starts + low - self.edits < end + self.q)
-        starts, stops = starts[near], stops[near]
-        if not len(starts):
-            return False
-        size = stops - starts
-        span = np.arange(int(size.max()))
-        want = np.where(span[None, :] < size[:, None], self.codes[np.minimum(starts[:, None] + span[None, :], len(self.codes) - 1)], 0)
-        a = np.maximum(bounds[0] + 1, starts + low - self.edits)
-        z = np.minimum(bounds[1], stops + high + self.edits)
-        width = int((z - a).max())
-        if width <= 0:
+        starts, stops = self._windows(item)
+        shared = np.zeros(text_end - text_at + 2, np.int64)
+        shared[at - diagonal - text_at + 1] = 1
+        shared = np.cumsum(shared)
+        held = shared[np.maximum(stops - self.q + 1, starts) - text_at] - shared[starts - text_at]
+        near = np.flatnonzero(held >= stops - starts + 1 - self.q * (1 + self.edits))
+        if not len(near):
             return False
-        across = np.arange(width)
-        have = np.where(across[None, :] < (z - a)[:, None], codes[np.minimum(a[:, None] + across[None, :], len(codes) - 1)], 1)
-        return bool((_distances(want, size, have) <= self.edits).any())
+        low, high = int(diagonal.min()), int(diagonal.max())
+        # The windows that share most are tried first.
+        for k in near[np.argsort((stops - starts - held)[near], kind="stable")].tolist():
+            a, z = int(starts[k]), int(stops[k])
+            text = codes[max(bounds[0] + 1, a + low - self.edits) : min(bounds[1], z + high + self.edits)]
+            if occurs(self.codes[a:z].tolist(), text.tolist(), self.edits):
+                return True
+        return False
 
     def found(self, codes: np.ndarray, marks: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that the alignment confirms."""
@@ -225,39 +237,43 @@ class ItemIndex:
             doc, item, diagonal, at = doc[order], item[order], diagonal[order], at[order]
             cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > self.longest)])
             last = np.r_[cut[1:], len(at)]
-            lows, highs = np.minimum.reduceat(diagonal, cut), np.maximum.reduceat(diagonal, cut)
-            for k, (b, e) in enumerate(zip(cut.tolist(), last.tolist())):
+            for b, e in zip(cut.tolist(), last.tolist()):
                 d, i = int(doc[b]), int(item[b])
                 if (d, i) in out:
                     continue
                 bounds = (int(marks[d]), int(marks[d + 1]))
-                low, high = int(lows[k]), int(highs[k])
-                if high - low <= 8 * (self.edits + 1):
-                    spans = [(low, high, int(at[b]), int(at[e - 1]) + 1)]
-                else:  # a text that repeats itself: band by band
-                    own, where = diagonal[b:e], at[b:e]
+                own, where = diagonal[b:e], at[b:e]
+                groups = [slice(None)]
+                if own.max() - own.min() > 8 * (self.edits + 1):  # a text that repeats itself: band by band
                     by = np.argsort(own, kind="stable")
-                    breaks = np.flatnonzero(np.r_[True, np.diff(own[by]) > 2 * self.edits])
-                    spans = [(int(own[g].min()), int(own[g].max()), int(where[g].min()), int(where[g].max()) + 1) for g in np.split(by, breaks[1:])]
-                if any(self._aligned_with_edits(codes, bounds, i, *span) for span in spans):
+                    groups = np.split(by, np.flatnonzero(np.diff(own[by]) > 2 * self.edits) + 1)
+                if any(self._aligned_with_edits(codes, bounds, i, own[g], where[g]) for g in groups):
                     out.add((d, i))
         return out
 
 
-def _distances(want: np.ndarray, size: np.ndarray, have: np.ndarray) -> np.ndarray:
-    """For each row, the least edits with which the first `size` of `want` occur somewhere in `have`."""
-    across = np.arange(have.shape[1] + 1)
-    row = np.zeros((len(want), have.shape[1] + 1), np.int32)
-    best = np.zeros(len(want), np.int32)
-    for i in range(want.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + (have != want[:, i : i + 1]), row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - across, axis=1) + across
-        done = size == i + 1
-        if done.any():
-            best[done] = row[done].min(axis=1)
-    return best
+def occurs(want: list[int], text: list[int], edits: int) -> bool:
+    """Whether `want` occurs somewhere in `text` with at most so many edits: one column of the alignment a character, as bits of two numbers."""
+    mask, high = (1 << len(want)) - 1, 1 << (len(want) - 1)
+    at: dict[int, int] = {}
+    for k, c in enumerate(want):
+        at[c] = at.get(c, 0) | 1 << k
+    up, down, score = mask, 0, len(want)  # where the column rises and falls, and its last value
+    for c in text:
+        same = at.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | ~(across | up) & mask, up & across
+        if rises & high:
+            score += 1
+        elif falls & high:
+            score -= 1
+        # The first row stays 0, as an occurrence may begin anywhere.
+        rises, falls = rises << 1 & mask, falls << 1 & mask
+        fresh = same | down
+        up, down = falls | ~(fresh | rises) & mask, rises & fresh
+        if score <= edits:
+            return True
+    return score <= edits
 
 
 def find_leaks(
