@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scoreloom.functions import udfs
 from scoreloom.functions.numbers import clamp01, let, number_equal, ratio
-from scoreloom.functions.text import clean_text, collapse, ngrams, numbers, overlap, words
+from scoreloom.functions.text import clean_text, collapse, numbers, words
 
 #: Words that a relaxed match ignores.
 RELAXED_STOP = ("là", "và", "được", "có", "trong", "của", "các", "những", "với")
@@ -25,9 +26,9 @@ def relaxed(c: Column) -> Column:
     return F.array_join(F.filter(words(plain), lambda w: ~w.isin(*RELAXED_STOP)), " ")
 
 
-def _two(a: Column, b: Column, f) -> Column:
-    """f of the cleaned words of two texts."""
-    return let(f, words(clean_text(a)), words(clean_text(b)))
+def _shared(a: Column, b: Column, n: int = 1) -> Column:
+    """shared, n_a and n_b of the cleaned texts' n-grams."""
+    return udfs.overlap(n)(clean_text(a), clean_text(b))
 
 
 def relaxed_match(a: Column, b: Column) -> Column:
@@ -52,7 +53,7 @@ def _prf(shared: Column, n: Column, m: Column, name: str) -> Column:
 
 def token_overlap(a: Column, b: Column) -> Column:
     """precision, recall and f1 of shared words, counted with repetition; null if one text has none."""
-    return _two(a, b, lambda p, r: F.when((F.size(p) > 0) & (F.size(r) > 0), _prf(overlap(p, r), F.size(p), F.size(r), "f1")))
+    return let(lambda o: F.when((o["n_a"] > 0) & (o["n_b"] > 0), _prf(o["shared"], o["n_a"], o["n_b"], "f1")), _shared(a, b))
 
 
 def fallback_f1(a: Column, b: Column) -> Column:
@@ -69,27 +70,26 @@ def fallback_f1(a: Column, b: Column) -> Column:
         rest = F.when(by_words > 0, by_words).otherwise(let(dice, letters(p), letters(r))) * lengths
         return F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).when(short, equal).otherwise(rest)
 
-    plain = lambda c: words(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\\p{L}\\p{M}\\p{N}_\\s]", " "))
+    plain = lambda c: words(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{M}\p{N}_\s]", " "))
     return let(score, plain(a), plain(b))
 
 
 def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
     """precision, recall and f of shared n-grams, without stemming; 0 if there are none."""
-    scores = lambda a, b: _prf(overlap(a, b), F.size(a), F.size(b), "f")
-    return _two(candidate, reference, lambda c, r: let(scores, ngrams(c, n), ngrams(r, n)))
+    return let(lambda o: _prf(o["shared"], o["n_a"], o["n_b"], "f"), _shared(candidate, reference, n))
 
 
 def bleu_n(candidate: Column, reference: Column, n: int) -> Column:
     """BLEU of one order: clipped n-gram precision with the brevity penalty."""
-    brevity = lambda c, r: F.when(F.size(c) >= F.size(r), 1.0).when(F.size(c) == 0, 0.0).otherwise(F.exp(1 - F.size(r) / F.size(c)))
-    precision = lambda a, b: ratio(overlap(a, b), F.size(a))
-    return _two(candidate, reference, lambda c, r: brevity(c, r) * let(precision, ngrams(c, n), ngrams(r, n)))
+    # A text of w words has w - n + 1 n-grams; those of shorter texts match nothing.
+    brevity = lambda o: F.when(o["n_a"] >= o["n_b"], 1.0).when(o["n_a"] == 0, 0.0).otherwise(F.exp(1 - (o["n_b"] + n - 1) / (o["n_a"] + n - 1)))
+    return let(lambda o: brevity(o) * ratio(o["shared"], o["n_a"]), _shared(candidate, reference, n))
 
 
 def meteor_unigram(candidate: Column, reference: Column, alpha: float = 0.9) -> Column:
     """The weighted mean of unigram precision and recall by which METEOR falls back."""
     mean = lambda p, q: ratio(p * q, alpha * p + (1 - alpha) * q)
-    return _two(candidate, reference, lambda c, r: let(lambda k: let(mean, ratio(k, F.size(c)), ratio(k, F.size(r))), overlap(c, r)))
+    return let(lambda o: let(mean, ratio(o["shared"], o["n_a"]), ratio(o["shared"], o["n_b"])), _shared(candidate, reference))
 
 
 def any_number_match(response: Column, expected: Column, tolerance: float = 0.02) -> Column:
@@ -97,52 +97,6 @@ def any_number_match(response: Column, expected: Column, tolerance: float = 0.02
     return let(lambda x, y: F.exists(x, lambda a: F.exists(y, lambda b: number_equal(a, b, tolerance))), numbers(response), numbers(expected))
 
 
-def numbers_matched(response: Column, expected: Column, tolerance: float = 0.02) -> Column:
-    """Share of the expected numbers that the response holds; null if there are none."""
-    hits = lambda given, wanted: F.size(F.filter(wanted, lambda b: F.exists(given, lambda a: number_equal(a, b, tolerance))))
-    return let(lambda given, wanted: F.when(F.size(wanted) > 0, hits(given, wanted) / F.size(wanted)), numbers(response), numbers(expected))
-
-
-def answer_check(response: Column, expected: Column) -> Column:
-    """Whether a response holds the expected answer: by a number, by most numbers, by containment, or by 70 % of the words."""
-
-    def by_text(r: Column, e: Column) -> Column:
-        shared = lambda have, want: (F.size(want) > 0) & (F.size(F.array_intersect(want, have)) >= 0.7 * F.size(want))
-        return ((e != "") & F.contains(r, e)) | let(shared, F.array_distinct(words(r)), F.array_distinct(words(e)))
-
-    text = let(by_text, collapse(F.lower(response)), collapse(F.lower(expected)))
-    found = any_number_match(response, expected) | F.coalesce(numbers_matched(response, expected) >= 0.7, F.lit(False)) | text
-    return F.when(response.isNotNull() & expected.isNotNull(), found)
-
-
-#: Answer patterns of each question family; a group is the number of the answer.
-FAMILY_PATTERNS = {
-    "work": r"([0-9]+(?:[.,][0-9]+)?)\s*(?:giờ|hours?|h\b)",
-    "division": r"được (?:đúng )?([0-9]+)|gets ([0-9]+)",
-    "mixture": r"([0-9]+(?:[.,][0-9]+)?)\s*(?:g|gam|grams?)\b",
-    "motion": r"sau (?:khoảng )?([0-9]+(?:[.,][0-9]+)?)\s*(?:giờ|phút|hours?)",
-    "pool": r"([0-9]+(?:[.,][0-9]+)?)\s*(?:phút|minutes?)",
-    "age": r"([0-9]+)\s*(?:tuổi|years)",
-    "money": r"([0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]+(?:\.[0-9]+)?)\s*(?:đồng|đ\b|coins?)",
-    "area": r"([0-9]+(?:[.,][0-9]+)?)\s*(?:m²|m2|square)",
-    "number": r"(?:số cần tìm là|number is)\s*([0-9]+)",
-}
-
-
-def family_answers(c: Column, family: str) -> Column:
-    """The numbers of a text that answer a question of the family, as written."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(FAMILY_PATTERNS[family]), F.lit(1)), lambda t: t != "")
-
-
-def family_match(response: Column, expected: Column, family: str, tolerance: float = 0.02) -> Column:
-    """Whether both texts give the same answer to a question of the family; null if one gives none."""
-    value = lambda t: F.when(F.lit(family == "money"), F.translate(t, ".,", "")).otherwise(F.translate(t, ",", ".")).try_cast("double")
-    read = lambda c: F.filter(F.transform(family_answers(c, family), value), lambda x: x.isNotNull())
-    limit = 0.03 if family == "pool" else tolerance
-    same = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.exists(a, lambda x: F.exists(b, lambda y: number_equal(x, y, limit))))
-    return let(same, read(response), read(expected))
-
-
 def count_of(c: Column, text: str) -> Column:
     """How often a text occurs, without overlap."""
     return ((F.char_length(c) - F.char_length(F.replace(c, F.lit(text), F.lit("")))) / len(text)).cast("bigint")
@@ -222,31 +176,6 @@ def react_actions(response: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.concat(a, b), F.trim), lambda x: x != ""), "; ")
 
 
-#: A written calculation: two numbers, the sign, and the result.
-CALCULATION = r"([0-9]+(?:\.[0-9]+)?) ?([-+*/×:]) ?([0-9]+(?:\.[0-9]+)?) ?= ?([0-9]+(?:\.[0-9]+)?)"
-
-
-def calculations(response: Column) -> Column:
-    """All written calculations of a response with what they should give."""
-    group = lambda k: F.regexp_extract_all(response, F.lit(CALCULATION), F.lit(k))
-    number = lambda x: x.try_cast("double")
-    parts = F.arrays_zip(group(1).alias("a"), group(2).alias("op"), group(3).alias("b"), group(4).alias("given"))
-    a, b = lambda x: number(x["a"]), lambda x: number(x["b"])
-    due = lambda x: F.when(x["op"] == "+", a(x) + b(x)).when(x["op"] == "-", a(x) - b(x)).when(x["op"].isin("*", "×"), a(x) * b(x)).otherwise(F.try_divide(a(x), b(x)))
-    return F.transform(parts, lambda x: F.struct(number(x["given"]).alias("given"), due(x).alias("due")))
-
-
-def calculation_errors(response: Column) -> Column:
-    """How many written calculations are wrong by more than 0.01."""
-    return F.size(F.filter(calculations(response), lambda x: F.abs(x["given"] - x["due"]) > 0.01)).cast("bigint")
-
-
-def complexity(response: Column) -> Column:
-    """0.4 for length, 0.3 for steps, 0.3 for calculations, each up to its cap."""
-    capped = lambda x, top: F.least(F.lit(1.0), x / float(top))
-    return 0.4 * capped(F.size(words(response)), 500) + 0.3 * capped(step_count(response), 5) + 0.3 * capped(F.size(calculations(response)), 5)
-
-
 def bias_correction(prompt: Column, correctness: Column, reasoning: Column, length: Column) -> Column:
     cot = -0.05 * F.least(F.lit(0.1), length / 5000.0) + F.when(reasoning > 0.7, 0.05).otherwise(0.0)
     hybrid = F.when((reasoning > 0.6) & (correctness > 0.7), 0.03).otherwise(0.0)
@@ -265,14 +194,54 @@ def first_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\{[^{}]*\}", 0), F.lit(""))
 
 
-def judge_scores(c: Column, criteria: Sequence[str]) -> Column:
-    """A judge's scores from JSON, else from lines `name: n/5`; `average` of the positive ones where it is missing."""
-    parsed = F.from_json(first_object(c), "map<string,double>")
-    by_text = lambda k: F.nullif(F.regexp_extract(F.lower(c), rf"{k}[^0-9]*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
-    scores = [F.coalesce(F.try_element_at(parsed, F.lit(k)), by_text(k)).alias(k) for k in criteria]
-    positive = F.filter(F.array(*(s for s in scores)), lambda x: x > 0)
-    mean = F.when(F.size(positive) > 0, F.aggregate(positive, F.lit(0.0), lambda a, x: a + x) / F.size(positive))
-    return F.struct(*scores, F.coalesce(F.try_element_at(parsed, F.lit("average")), mean).alias("average"))
+#: Names of a judge's criteria in its lines `name: n/5`, in two sets, and of their average.
+CRITERIA_NAMES = {
+    "accuracy": "Accuracy|Độ chính xác", "reasoning": "Reasoning|Suy luận|Độ suy luận", "completeness": "Completeness|Tính đầy đủ",
+    "explanation": "Explanation|Giải thích", "cultural_context": "Cultural context|Ngữ cảnh văn hóa",
+}
+FIVE_CRITERIA_NAMES = {
+    "logical_flow": "Tính hợp lý|Độ hợp lý|Logical flow|Tính logic", "mathematical_correctness": "Độ chính xác về mặt toán học|Mathematical correctness|Tính toán chính xác",
+    "clarity": "Rõ ràng|Độ rõ ràng|Clarity", "completeness": "Tính đầy đủ|Đầy đủ|Completeness", "relevance": "Mức độ liên quan|Tính liên quan|Relevance",
+}
+AVERAGE_NAMES = "Average|Trung bình|Điểm trung bình|Average score|Avg score"
+
+
+def judge_scores(c: Column, criteria: dict[str, str] | Sequence[str], average: str = AVERAGE_NAMES) -> Column:
+    """A judge's scores: those of its first JSON object, or without one those of lines `name: n/5`; 0 where none is given.
+
+    `average` is the one given, else the mean of the positive scores. Null text gives
+    null scores.
+    """
+    names = criteria if isinstance(criteria, dict) else {k: k for k in criteria}
+    number = lambda text: F.coalesce(text.try_cast("double"), F.lit(0.0))
+    by_line = lambda p: F.nullif(F.regexp_extract(c, rf"(?isu)(?:{p}).*?([0-9]+(?:\.[0-9]+)?)[/\s]*5", 1), F.lit(""))
+
+    def scores(m: Column) -> Column:
+        value = lambda k, p: F.when(m.isNotNull(), number(F.try_element_at(m, F.lit(k)))).otherwise(number(by_line(p)))
+        given = [value(k, p).alias(k) for k, p in names.items()]
+
+        def with_mean(s: Column) -> Column:
+            positive = F.filter(F.array(*(s[k] for k in names)), lambda x: x > 0)
+            mean = F.when(F.size(positive) > 0, F.aggregate(positive, F.lit(0.0), lambda a, x: a + x) / F.size(positive)).otherwise(0.0)
+            return F.struct(*(s[k].alias(k) for k in names), F.when(s["average"] != 0, s["average"]).otherwise(mean).alias("average"))
+
+        return let(with_mean, F.struct(*given, value("average", average).alias("average")))
+
+    return F.when(c.isNotNull(), let(scores, F.from_json(first_object(c), "map<string,string>")))
+
+
+def judge_explanation(c: Column) -> Column:
+    """What follows `explanation:` up to a numbered line, or the JSON's explanation."""
+    by_json = F.get_json_object(first_object(c), "$.explanation")
+    return F.coalesce(by_json, F.nullif(F.trim(F.regexp_extract(c, r"(?isu)(?:Giải thích|Explanation)\s*:(.*?)(?:\z|(?=\n\s*[0-9]))", 1)), F.lit("")))
+
+
+def second_judge(c: Column) -> Column:
+    """quality, correctness (of ten, as 0..1) and feedback of the lines `Reasoning_Quality:`, `Correctness:` and `Feedback:`; null where missing."""
+    line = lambda name: F.nullif(F.trim(F.regexp_extract(c, rf"(?m)^.*{name}:[ \t]*([^:\n]*)", 1)), F.lit(""))
+    tenth = lambda name: line(name).try_cast("double") / 10
+    feedback = F.nullif(F.trim(F.regexp_extract(c, r"(?s)Feedback:(.*)", 1)), F.lit(""))
+    return F.struct(tenth("Reasoning_Quality").alias("quality"), tenth("Correctness").alias("correctness"), feedback.alias("feedback"))
 
 
 def completeness_score(c: Column) -> Column:
@@ -307,8 +276,8 @@ def error_class(c: Column) -> Column:
 
 def error_analysis(c: Column) -> Column:
     """error_type and explanation from a judge's lines; `Unknown` and the whole text without them."""
-    kind = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"(?iu)(?:loại lỗi|error type): *([^\n]*)", r"(?iu)(?:lỗi|error): *([^\n]*)")))
-    why = F.nullif(F.trim(F.regexp_extract(c, r"(?isu)(?:giải thích|explanation): *(.*)", 1)), F.lit(""))
+    kind = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in (r"(?iu)(?:Loại lỗi|Error Type):\s*([^\n]*)", r"(?iu)(?:lỗi|error):\s*([^\n]*)")))
+    why = F.nullif(F.trim(F.regexp_extract(c, r"(?isu)(?:Giải thích|Brief Explanation|explanation):\s*(.*)", 1)), F.lit(""))
     return F.struct(F.when(kind.isNotNull(), error_class(kind)).otherwise("Unknown").alias("error_type"), F.coalesce(why, c).alias("explanation"))
 
 

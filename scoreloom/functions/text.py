@@ -40,12 +40,12 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
-def clean_text(c: Column, lower: bool = True, punctuation: bool = True, numbers: bool = False, spaces: bool = True) -> Column:
+def clean_text(c: Column, lower: bool = True, punctuation: bool = True, numbers: bool = False, spaces: bool = True, unicode: bool = False) -> Column:
     """Lower case, no ASCII punctuation, optionally no digits, single blanks; null is ''.
 
-    Compatibility forms aren't folded; `functions.udfs.nfkc` does that before it.
+    With `unicode`, compatibility forms are folded first, which takes an Arrow pass.
     """
-    out = F.coalesce(c, F.lit(""))
+    out = F.coalesce(folded(c) if unicode else c, F.lit(""))
     if lower:
         out = F.lower(out)
     if punctuation:
@@ -55,6 +55,13 @@ def clean_text(c: Column, lower: bool = True, punctuation: bool = True, numbers:
     return collapse(out) if spaces else out
 
 
+def folded(c: Column) -> Column:
+    """A text in normal form NFKC."""
+    from scoreloom.functions.udfs import nfkc
+
+    return nfkc(c)
+
+
 def remove_diacritics(c: Column) -> Column:
     """Base letters without accents, composed or not; đ isn't an accented d."""
     return F.translate(F.regexp_replace(c, "[\\u0300-\\u036F]", ""), ACCENTED, BASE)
@@ -71,8 +78,9 @@ def words(c: Column) -> Column:
     return F.filter(F.split(collapse(F.coalesce(c, F.lit(""))), " "), lambda t: t != "")
 
 
-def normalize_spacing(c: Column) -> Column:
-    """Blanks around punctuation, brackets and quotes as in print."""
+def normalize_spacing(c: Column, unicode: bool = False) -> Column:
+    """Blanks around punctuation, brackets and quotes as in print; with `unicode`, of the text in normal form NFKC."""
+    c = folded(c) if unicode else c
     rules = (
         (SPACE + r"+([,.!?;:])", "$1"), (r"([,.!?;:])([^ \t\n\r\f\x0B0-9])", "$1 $2"), (r"\(" + SPACE + "+", "("), (SPACE + r"+\)", ")"),
         ('"' + SPACE + "+", '"'), (SPACE + '+"', '"'), ("'" + SPACE + "+", "'"), (SPACE + "+'", "'"),
@@ -101,23 +109,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(share, a, b)
 
 
-def _count(a: Column, x: Column) -> Column:
-    return F.size(F.filter(a, lambda y: y == x))
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    shared = lambda p, r: F.aggregate(F.array_intersect(p, r), F.lit(0), lambda s, x: s + F.least(_count(p, x), _count(r, x)))
-    return let(shared, a, b)
-
-
-def cosine_counts(a: Column, b: Column) -> Column:
-    """Cosine of the counts of two arrays' elements; 0 if one is empty."""
-    norm = lambda p: F.sqrt(F.aggregate(F.array_distinct(p), F.lit(0.0), lambda s, x: s + F.pow(_count(p, x).cast("double"), F.lit(2))))
-    dot = lambda p, r: F.aggregate(F.array_intersect(p, r), F.lit(0.0), lambda s, x: s + _count(p, x).cast("double") * _count(r, x))
-    return let(lambda p, r: F.when((F.size(p) == 0) | (F.size(r) == 0), 0.0).otherwise(dot(p, r) / (norm(p) * norm(r))), a, b)
-
-
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 if both are empty."""
     longest = F.greatest(F.char_length(a), F.char_length(b))

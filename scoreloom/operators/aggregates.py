@@ -124,28 +124,83 @@ def error_distribution(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return joined.select(*keys, "error_type", "n_errors", round6(100.0 * F.col("n_errors") / F.col("total")).alias("percent"))
 
 
+#: Groups are split at so many quantiles of their different values to find exact percentiles.
+SPLITS = 256
+
+
+def _place(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts are below a value, by bisection."""
+    steps = SPLITS.bit_length() + 1
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(cuts, mid) < value
+        open_ = s["low"] < s["high"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~below, mid).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: s["low"])
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], metric: str, points: Sequence[float]) -> DataFrame:
+    """Exact percentiles, interpolated, of a metric in each group: the keys and p0, p1, … in the order of the points.
+
+    No task holds a group: equal values are counted first, each group's different
+    values are split at approximate quantiles, and only the splits that hold a
+    wanted rank are put in order. Null metrics don't count and null keys are a group
+    of their own; a group without values has no row.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(metric).cast("double").alias("v")).where(F.col("v").isNotNull())
+    if not names:
+        names, rows = ["__k0"], rows.withColumn("__k0", F.lit(0))
+    counts = rows.groupBy(*names, "v").agg(F.count("*").alias("c"))
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx("v", F.array(*(F.lit(k / SPLITS) for k in range(1, SPLITS))), F.lit(8 * SPLITS))))
+    groups = counts.groupBy(*names).agg(F.sum("c").alias("n"), cuts.alias("cuts"))
+    same = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in names]
+    split = counts.alias("a").join(groups.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}") for k in names), "v", "c", "n", _place(F.col("cuts"), F.col("v")).alias("split"))
+    before = Window.partitionBy(*names).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = split.groupBy(*names, "split").agg(F.sum("c").alias("held"), F.first("n").alias("n"))
+    sums = sums.withColumn("below", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    ranks = [(F.col("n") - 1) * F.lit(float(p)) for p in points]
+    wanted = F.array(*(r for x in ranks for r in (F.floor(x), F.ceil(x))))
+    sums = sums.where(F.exists(wanted, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("held")))).drop("n", "held")
+    near = split.alias("a").join(sums.alias("b"), [*same("a", "b"), F.col("a.split") == F.col("b.split")]).select(*(F.col(f"a.{k}") for k in names), "v", "c", "n", "a.split", "below")
+    within = Window.partitionBy(*names, "split").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("first", F.col("below") + F.coalesce(F.sum("c").over(within), F.lit(0)))
+    at = lambda r: F.max(F.when((r >= F.col("first")) & (r < F.col("first") + F.col("c")), F.col("v")))
+    out = near.groupBy(*names).agg(F.first("n").alias("n"), *(at(F.floor(x)).alias(f"low{i}") for i, x in enumerate(ranks)), *(at(F.ceil(x)).alias(f"high{i}") for i, x in enumerate(ranks)))
+    mixed = lambda i, x: F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (x - F.floor(x))
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), *(mixed(i, x).alias(f"p{i}") for i, x in enumerate(ranks)))
+
+
+def _with_percentiles(table: DataFrame, df: DataFrame, keys: Sequence[str], metric: str, points: Sequence[float]) -> DataFrame:
+    """A table of one row a group with the group's percentiles p0, p1, …; null where it has no values."""
+    found = exact_percentiles(df, keys, metric, points)
+    if not keys:
+        return table.crossJoin(F.broadcast(found.agg(*(F.first(f"p{i}").alias(f"p{i}") for i in range(len(points))))))
+    return table.alias("t").join(found.alias("f"), [F.col(f"t.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "left").select("t.*", *(f"f.p{i}" for i in range(len(points))))
+
+
 def describe_by(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     """count, mean, std, min, quartiles, max of a metric for each group; quartiles are exact."""
-    q = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = _known(df, keys).groupBy(*keys).agg(
-        F.count(metric).alias("n"), round6(F.avg(metric)).alias("mean"), round6(F.stddev_samp(metric)).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"), q.alias("q")
-    )
-    return out.select(*keys, "n", "mean", "std", "min", *(round6(F.get("q", F.lit(k))).alias(f"p{p}") for k, p in enumerate((25, 50, 75))), "max")
+    known = _known(df, keys)
+    out = known.groupBy(*keys).agg(F.count(metric).alias("n"), round6(F.avg(metric)).alias("mean"), round6(F.stddev_samp(metric)).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max"))
+    out = _with_percentiles(out, known, keys, metric, (0.25, 0.5, 0.75))
+    return out.select(*keys, "n", "mean", "std", "min", *(round6(F.col(f"p{k}")).alias(f"p{p}") for k, p in enumerate((25, 50, 75))), "max")
 
 
 def latency_stats(df: DataFrame, keys: Sequence[str], points: Sequence[int] = (50, 90, 95, 99)) -> DataFrame:
     """Mean, extremes, population deviation and percentiles of positive latencies."""
-    out = _known(df.where(F.col("latency") > 0), keys).groupBy(*keys).agg(
-        F.count("*").alias("n"), round6(F.avg("latency")).alias("mean"), F.min("latency").alias("min"), F.max("latency").alias("max"),
-        round6(F.stddev_pop("latency")).alias("std"), F.percentile("latency", F.array(*(F.lit(p / 100) for p in points))).alias("q"),
-    )
-    return out.select(*keys, "n", "mean", "min", "max", "std", *(round6(F.get("q", F.lit(k))).alias(f"p{p}") for k, p in enumerate(points)))
+    known = _known(df.where(F.col("latency") > 0), keys)
+    out = known.groupBy(*keys).agg(F.count("*").alias("n"), round6(F.avg("latency")).alias("mean"), F.min("latency").alias("min"), F.max("latency").alias("max"), round6(F.stddev_pop("latency")).alias("std"))
+    out = _with_percentiles(out, known, keys, "latency", [p / 100 for p in points])
+    return out.select(*keys, "n", "mean", "min", "max", "std", *(round6(F.col(f"p{k}")).alias(f"p{p}") for k, p in enumerate(points)))
 
 
 def box_stats(df: DataFrame, key: str, metric: str) -> DataFrame:
     """Quartiles, fences at 1.5 times the interquartile range, and the values beyond them."""
-    q = _known(df, [key]).groupBy(key).agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(F.col(key).alias("k"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_percentiles(_known(df, [key]), [key], metric, (0.25, 0.5, 0.75)).select(F.col(key).alias("k"), F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
     q = q.withColumn("low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     inside = F.col(metric).between(F.col("low"), F.col("high"))
     # One row a group: it goes to every executor if its size, which Spark knows at run time, allows it.
@@ -157,6 +212,25 @@ def box_stats(df: DataFrame, key: str, metric: str) -> DataFrame:
     )
 
 
+def median_stats(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
+    """mean, median, min, max and std of a metric for each group; the median is exact."""
+    known = _known(df, keys)
+    m = F.col(metric)
+    out = known.groupBy(*keys).agg(round6(F.avg(m)).alias("mean"), F.min(m).alias("min"), F.max(m).alias("max"), round6(F.stddev_samp(m)).alias("std"))
+    return _with_percentiles(out, known, keys, metric, (0.5,)).select(*keys, "mean", round6(F.col("p0")).alias("median"), "min", "max", "std")
+
+
+def median_ladder(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
+    """`median_stats` overall, for each key, and for all keys together, with the `level` of `ladder`."""
+    known = _known(df, keys)
+    n = len(keys)
+    sets = F.array(*(F.struct(F.lit(level).cast("bigint").alias("level"), *(F.when(F.lit(not level >> (n - 1 - i) & 1), F.col(k)).alias(k) for i, k in enumerate(keys))) for level in range(2**n)))
+    long = known.select(F.explode(sets).alias("g"), F.col(metric)).select("g.*", metric)
+    m, all_keys = F.col(metric), [*keys, "level"]
+    out = long.groupBy(*all_keys).agg(round6(F.avg(m)).alias("mean"), F.min(m).alias("min"), F.max(m).alias("max"), round6(F.stddev_samp(m)).alias("std"))
+    return _with_percentiles(out, long, all_keys, metric, (0.5,)).select(*all_keys, "mean", round6(F.col("p0")).alias("median"), "std", "min", "max")
+
+
 def correlations(df: DataFrame, metrics: Sequence[str], least: int = 5) -> DataFrame:
     """Pearson correlation of every pair of metrics over rows that have both; null if there are at most `least`."""
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
@@ -183,9 +257,9 @@ def complete_correlations(df: DataFrame, metrics: Sequence[str], least: int = 5)
 
 def accuracy_by_quartile(df: DataFrame, metric: str, labels: Sequence[str]) -> DataFrame:
     """Accuracy within the quartiles of a metric, whose exact edges are one row."""
-    edges = df.agg(F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    edges = exact_percentiles(df, [], metric, (0.25, 0.5, 0.75))
     x = F.col(metric)
-    bucket = F.when(x <= F.col("q")[0], labels[0]).when(x <= F.col("q")[1], labels[1]).when(x <= F.col("q")[2], labels[2]).otherwise(labels[3])
+    bucket = F.when(x <= F.col("p0"), labels[0]).when(x <= F.col("p1"), labels[1]).when(x <= F.col("p2"), labels[2]).otherwise(labels[3])
     rows = df.where(x.isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bucket", bucket)
     return rows.groupBy("bucket").agg(F.count("*").alias("n_rows"), round6(rate("is_correct")).alias("accuracy"))
 

@@ -39,6 +39,13 @@ def with_questions(results: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def run_id(models: list[str], prompts: list[str], question_ids: DataFrame) -> DataFrame:
-    """Identity of a run: its settings and a hash of its sorted question ids."""
-    digest = question_ids.agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_set(F.col("question_id").cast("string"))), "-")), 1, 8).alias("h"))
-    return digest.select(F.concat(F.lit("_".join([*sorted(models), *sorted(prompts)]) + "_"), F.col("h")).alias("run_id"))
+    """Identity of a run: its settings and a hash of its different question ids, whatever their order.
+
+    The hash is made of the ids' count, exclusive or and sum of hashes, which are
+    combined where the ids lie.
+    """
+    ids = question_ids.where(F.col("question_id").isNotNull()).select("question_id").distinct()
+    h = F.conv(F.substring(F.md5(F.col("question_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    sums = ids.select(h.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+    digest = F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in ("n", "x", "s"))))
+    return sums.select(F.concat(F.lit("_".join([*sorted(models), *sorted(prompts)]) + "_"), F.substring(digest, 1, 8)).alias("run_id"))

@@ -174,11 +174,7 @@ def a18(spark, folder):
       FROM r WHERE model_name IS NOT NULL AND prompt_type IS NOT NULL GROUP BY CUBE (model_name, prompt_type)""",
 )
 def a19(spark, folder):
-    m = F.col("rouge1_f")
-    return ag.ladder(
-        results(spark, folder), ["model_name", "prompt_type"], round6(F.avg(m)).alias("mean"), round6(F.percentile(m, F.lit(0.5))).alias("median"),
-        round6(F.stddev_samp(m)).alias("std"), F.min(m).alias("min"), F.max(m).alias("max"),
-    )
+    return ag.median_ladder(results(spark, folder), ["model_name", "prompt_type"], "rouge1_f")
 
 
 def _corr_sql(metrics, least: int = 5) -> str:
@@ -540,8 +536,7 @@ def a58(spark, folder):
 
 @query("a59_response_time", f"WITH {PX} SELECT model_name, {r6('avg(elapsed_time)')} AS mean, {r6('quantile_cont(elapsed_time, 0.5)')} AS median, min(elapsed_time) AS min, max(elapsed_time) AS max, {r6('stddev_samp(elapsed_time)')} AS std FROM px WHERE model_name IS NOT NULL GROUP BY model_name")
 def a59(spark, folder):
-    m = F.col("elapsed_time")
-    return ag._known(scored(spark, folder), ["model_name"]).groupBy("model_name").agg(round6(F.avg(m)).alias("mean"), round6(F.percentile(m, F.lit(0.5))).alias("median"), F.min(m).alias("min"), F.max(m).alias("max"), round6(F.stddev_samp(m)).alias("std"))
+    return ag.median_stats(scored(spark, folder), ["model_name"], "elapsed_time")
 
 
 def _describe_sql(source: str, with_: str, key: str, m: str) -> str:

@@ -26,16 +26,18 @@ def w01(spark, folder):
     return windows.rolling(df, "model_name", ["run_timestamp", "result_id"], "latency")
 
 
-@query("w05_error_spacing", f"""WITH {R}, e AS (SELECT model_name, result_id, run_timestamp, lag(run_timestamp) OVER (PARTITION BY model_name ORDER BY run_timestamp, result_id) AS before, row_number() OVER (PARTITION BY model_name ORDER BY run_timestamp DESC, result_id DESC) AS place
-  FROM r WHERE error_type IS NOT NULL AND run_timestamp IS NOT NULL AND model_name IS NOT NULL) SELECT model_name, result_id, (epoch_us(run_timestamp) - epoch_us(before)) / 1000000.0::DOUBLE AS seconds FROM e WHERE place <= 3""")
+@query("w05_error_spacing", f"""WITH {R}, h AS (SELECT model_name, result_id, run_timestamp, row_number() OVER (PARTITION BY model_name ORDER BY run_timestamp DESC, result_id DESC) AS place
+  FROM r WHERE error_type IS NOT NULL AND run_timestamp IS NOT NULL AND model_name IS NOT NULL), e AS (SELECT *, lead(run_timestamp) OVER (PARTITION BY model_name ORDER BY place) AS before FROM h WHERE place <= 10)
+  SELECT model_name, result_id, (epoch_us(run_timestamp) - epoch_us(before)) / 1000000.0::DOUBLE AS seconds FROM e WHERE place <= 3""")
 def w05(spark, folder):
+    """Seconds before each of the last three errors of a model, within a history of ten."""
     from pyspark.sql import Window
 
     df = results(spark, folder).where(F.col("error_type").isNotNull() & F.col("run_timestamp").isNotNull() & F.col("model_name").isNotNull())
-    w = Window.partitionBy("model_name").orderBy("run_timestamp", "result_id")
+    history = windows.last_n(df.select("model_name", "run_timestamp", "result_id"), "model_name", ["run_timestamp", "result_id"], 10)
     last = Window.partitionBy("model_name").orderBy(F.desc("run_timestamp"), F.desc("result_id"))
-    df = df.withColumn("before", F.lag("run_timestamp").over(w)).withColumn("place", F.row_number().over(last)).where(F.col("place") <= 3)
-    return df.select("model_name", "result_id", ((_micros("run_timestamp") - _micros("before")) / 1000000.0).alias("seconds"))
+    spaced = history.withColumn("before", F.lead("run_timestamp").over(last)).withColumn("place", F.row_number().over(last)).where(F.col("place") <= 3)
+    return spaced.select("model_name", "result_id", ((_micros("run_timestamp") - _micros("before")) / 1000000.0).alias("seconds"))
 
 
 _SPREAD = f"""m AS (SELECT question_id, model_name, avg(is_correct::INT::DOUBLE) AS a FROM r WHERE question_id IS NOT NULL AND model_name IS NOT NULL GROUP BY ALL),
@@ -209,9 +211,13 @@ def s14(spark, folder):
     return g.where(F.col("n") == 2).select("run_id", "n_rows")
 
 
-@query("k04_json_report")
+_PART = "SELECT '{k}' AS part, {k} AS name, count(*) FILTER (WHERE is_correct) AS correct, count(*) AS total, {a} AS accuracy FROM r WHERE {k} IS NOT NULL GROUP BY {k}"
+_ACCURACY = r6("count(*) FILTER (WHERE is_correct)::DOUBLE / count(*)")
+
+
+@query("k04_json_report", f"WITH {R} SELECT 'meta' AS part, 'all' AS name, count(*) FILTER (WHERE is_correct) AS correct, count(*) AS total, {_ACCURACY} AS accuracy FROM r UNION ALL " + " UNION ALL ".join(_PART.format(k=k, a=_ACCURACY) for k in ("model_name", "prompt_type")))
 def k04(spark, folder):
-    return sinks.json_report(results(spark, folder))
+    return sinks.report_lines(results(spark, folder)).select("part", "name", "correct", "total", "accuracy")
 
 
 @query("k16_corpus_summary", "SELECT count(*) AS total_problems, count(question) AS n_questions, count(solution) AS n_solutions FROM questions")
@@ -221,10 +227,17 @@ def k16(spark, folder):
 
 @query("i01_delivered_once", f"WITH {R}, u AS (SELECT * EXCLUDE (result_id, ingested_at), min(result_id) AS result_id FROM r GROUP BY ALL) SELECT model_name, count(*) AS n_rows FROM u WHERE model_name IS NOT NULL GROUP BY model_name")
 def i01(spark, folder):
-    """Rows without those delivered again under another id."""
+    """Rows without those delivered again under another id.
+
+    Rows are the same if 128 bits of two hashes of all their other columns are; only
+    those move.
+    """
     df = results(spark, folder)
     same = [c for c in df.columns if c not in ("result_id", "ingested_at")]
-    once = df.groupBy(*same).agg(F.min("result_id").alias("result_id"))
+    # A null and '' hash alike otherwise, as does a null beside its neighbour.
+    marked = [*same, F.array(*(F.col(c).isNull() for c in same))]
+    rows = df.select("model_name", "result_id", F.xxhash64(*marked).alias("h1"), F.xxhash64(F.lit("second"), *marked).alias("h2"))
+    once = rows.groupBy("h1", "h2").agg(F.min("result_id").alias("result_id"), F.first("model_name").alias("model_name"))
     return once.where(F.col("model_name").isNotNull()).groupBy("model_name").agg(F.count("*").alias("n_rows"))
 
 
@@ -234,7 +247,10 @@ def i02(spark, folder):
     return df.groupBy(F.date_trunc("day", "run_timestamp").alias("day")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("ingested_at") > F.col("run_timestamp") + F.expr("INTERVAL 1 DAY")).alias("n_late"))
 
 
-@query("i03_run_id", "SELECT 'llama_qwen_cot_react_' || substring(md5(array_to_string(list_sort(list(DISTINCT question_id::VARCHAR)), '-')), 1, 8) AS run_id FROM questions")
+_ID_HASH = "('0x' || substring(md5(question_id::VARCHAR), 1, 15))::BIGINT"
+
+
+@query("i03_run_id", f"WITH i AS (SELECT DISTINCT question_id FROM questions WHERE question_id IS NOT NULL), h AS (SELECT {_ID_HASH} AS h FROM i) SELECT 'llama_qwen_cot_react_' || substring(md5(count(*) || '-' || bit_xor(h) || '-' || sum(h)::VARCHAR), 1, 8) AS run_id FROM h")
 def i03(spark, folder):
     return grid.run_id(["qwen", "llama"], ["react", "cot"], table(spark, folder, "questions"))
 
@@ -298,12 +314,13 @@ def dt02(spark, folder):
     return df.select("result_id", F.date_format("run_timestamp", "yyyyMMdd_HHmmss").alias("stamp"), delay.alias("delay"), (F.to_date("ingested_at") > F.to_date("run_timestamp")).alias("next_day"))
 
 
-@query("h02_group_map")
+@query("h02_group_map", f"WITH {R}, m AS (SELECT model_name, {', '.join(f'{r6(f'avg({c})')} AS {c}' for c in CRITERIA)} FROM r WHERE model_name IS NOT NULL GROUP BY model_name) SELECT model_name, array_to_string([" + ", ".join(f"'{c}=' || round({c} * 1000)::BIGINT" for c in CRITERIA) + "], ',') AS means FROM m")
 def h02(spark, folder):
-    """Accuracy of each prompt type of a model as one map."""
-    g = ag.group_metrics(results(spark, folder), ["model_name", "prompt_type"])
-    entry = F.struct("prompt_type", "accuracy")
-    return g.groupBy("model_name").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("accuracies"))
+    """Means of the criteria of a model as one map, printed in thousandths; the keys are the criteria, whatever the data."""
+    df = results(spark, folder).where(F.col("model_name").isNotNull()).groupBy("model_name").agg(*(round6(F.avg(c)).alias(c) for c in CRITERIA))
+    means = df.select("model_name", F.map_from_arrays(F.array(*map(F.lit, CRITERIA)), F.array(*(F.col(c) for c in CRITERIA))).alias("m"))
+    printed = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1000).cast("bigint").cast("string")))
+    return means.select("model_name", F.array_join(printed, ",").alias("means"))
 
 
 @query("a10_levels", f"SELECT difficulty, count(*) AS n FROM questions WHERE difficulty IN {LEVELS!r} GROUP BY difficulty")

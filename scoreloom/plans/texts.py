@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scoreloom.functions import answers, reasoning, udfs
 from scoreloom.functions import scoring as sc
 from scoreloom.functions import text as tx
-from scoreloom.functions.numbers import fraction_equal, gcd, number_equal, round6
+from scoreloom.functions.numbers import fraction_equal, gcd, let, number_equal, round6
 from scoreloom.plans.analytics import PX, r6, scored
 from scoreloom.plans.base import R, query
 from scoreloom.plans.base import results as _results
@@ -16,7 +17,7 @@ from scoreloom.sources.tables import table
 
 def results(spark, folder):
     """Result rows for row scores, which cost more than moving the few columns they read."""
-    kept = ("result_id", "model_name", "prompt_type", "question_text", "response", "expected_answer", "is_correct", "rouge1_f", "bleu", "reasoning_scores_str", "error_type", "error_explanation")
+    kept = ("result_id", "model_name", "prompt_type", "question_id", "question_type", "question_text", "response", "expected_answer", "is_correct", "rouge1_f", "bleu", "reasoning_scores_str", "error_type", "error_explanation")
     return spread(_results(spark, folder).select(*kept))
 
 
@@ -61,19 +62,21 @@ def _rows(name: str, column: str, make, sql: str | None = None, source: str = "r
     query(name, text)(run)
 
 
-_rows("f01_clean_text", "cleaned", lambda c: tx.clean_text(c, numbers=True), _clean("response", True))
+_rows("f01_clean_text", "cleaned", lambda c: tx.clean_text(c, numbers=True, unicode=True))
+_rows("f01_clean_text_as_composed", "cleaned", lambda c: tx.clean_text(c, numbers=True), _clean("response", True))
 _rows("f02_remove_diacritics", "plain", lambda c: tx.remove_diacritics(c), f"translate(regexp_replace(question_text, '[̀-ͯ]', '', 'g'), '{tx.ACCENTED}', '{tx.BASE}')", "question_text")
-_rows("f03_token_count", "n_tokens", lambda c: F.size(tx.tokens(c)).cast("bigint"), f"""len({_words("regexp_replace(coalesce(response, ''), '([.,!?();:\"''])', ' \\1 ', 'g')")})""")
+_rows("f03_tokens", "tokens", lambda c: F.array_join(tx.tokens(c), " "), f"""array_to_string({_words("regexp_replace(coalesce(response, ''), '([.,!?();:\"\'\'])', ' \\1 ', 'g')")}, ' ')""")
+_rows("f04_normalize_text", "normalized", lambda c: tx.normalize_spacing(c, unicode=True))
 _rows(
     "f04_normalize_spacing", "normalized", tx.normalize_spacing,
     _collapse("regexp_replace(" * 8 + "coalesce(question_text, ''), '" + _SP + r"+([,.!?;:])', '\1', 'g'), '([,.!?;:])([^ \t\n\r\f\v0-9])', '\1 \2', 'g'), '\(" + _SP + r"+', '(', 'g'), '" + _SP + r"+\)', ')', 'g'), '"
               + '"' + _SP + "+', '\"', 'g'), '" + _SP + "+\"', '\"', 'g'), '''" + _SP + "+', '''', 'g'), '" + _SP + "+''', '''', 'g')"),
     "question_text",
 )
-_rows("f05_numbers", "total", lambda c: round6(F.aggregate(tx.numbers(c), F.lit(0.0), lambda s, x: s + x)), r6(f"coalesce(list_sum({_numbers('expected_answer')}), 0.0)") , "expected_answer", "expected_answer IS NOT NULL")
-_rows("f06_is_vietnamese", "vietnamese", lambda c: tx.is_vietnamese(c, 0.1), f"coalesce(length(response) > 0 AND length(response) - length(translate(response, '{tx.VIETNAMESE}', '')) >= 0.1 * length(response), false)")
-_rows("f12_sentences", "n_sentences", lambda c: F.size(tx.sentences(c)).cast("bigint"), None, "expected_answer", "expected_answer IS NOT NULL")
-_rows("f14_normalize_answer", "answer", tx.normalize_answer, f"""coalesce(nullif(regexp_extract(translate(lower({_collapse('expected_answer')}), '.,;:!?()"''', ''), '[-+]?[0-9]*\\.?[0-9]+'), ''), translate(lower({_collapse('expected_answer')}), '.,;:!?()"''', ''))""", "expected_answer")
+_rows("f05_numbers", "numbers", lambda c: F.array_join(F.transform(tx.numbers(c), lambda x: F.round(x * 1000).cast("bigint").cast("string")), " "), f"array_to_string(list_transform({_numbers('response')}, lambda x: round(x * 1000)::BIGINT::VARCHAR), ' ')", "response", "response IS NOT NULL")
+_rows("f06_is_vietnamese", "vietnamese", tx.is_vietnamese, f"coalesce(length(response) > 0 AND length(response) - length(translate(response, '{tx.VIETNAMESE}', '')) >= 0.3 * length(response), false)")
+_rows("f12_sentences", "sentences", lambda c: F.array_join(tx.sentences(c), "\n"), None, "response", "response IS NOT NULL")
+_rows("f14_normalize_answer", "answer", tx.normalize_answer, f"""coalesce(nullif(regexp_extract(translate(lower({_collapse('response')}), '.,;:!?()"\'\'', ''), '[-+]?[0-9]*\\.?[0-9]+'), ''), translate(lower({_collapse('response')}), '.,;:!?()"\'\'', ''))""", "response")
 _rows("f15_final_answer", "answer", tx.final_answer, None)
 _rows("p27_preview", "preview", tx.preview, "CASE WHEN length(response) > 100 THEN substring(response, 1, 100) || '...' ELSE response END")
 _rows("p24_token_estimate", "n_tokens", lambda c: F.floor(F.char_length(c) / 3), "floor(length(response) / 3)::BIGINT")
@@ -90,17 +93,14 @@ def f07(spark, folder):
     list_transform(list_intersect(a, b), lambda x: len(list_filter(a, lambda y: y = x))::DOUBLE * len(list_filter(b, lambda z: z = x))) AS ab FROM w)
   SELECT result_id, {r6('CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE coalesce(list_sum(ab), 0) / (sqrt(list_sum(list_transform(na, lambda x: x * x))) * sqrt(list_sum(list_transform(nb, lambda x: x * x)))) END')} AS cosine FROM c""")
 def f08(spark, folder):
-    a, b = tx.words(tx.clean_text(F.col("question_text"))), tx.words(tx.clean_text(F.col("expected_answer")))
-    return results(spark, folder).select("result_id", round6(tx.cosine_counts(a, b)).alias("cosine"))
+    return results(spark, folder).select("result_id", round6(udfs.cosine_counts(tx.clean_text(F.col("question_text")), tx.clean_text(F.col("expected_answer")))).alias("cosine"))
 
 
-_ASCII = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9 ]', '', 'g')"
-
-
-@query("f09_levenshtein", f"WITH {R}, w AS (SELECT result_id, {_ASCII.format('question_text')} AS a, {_ASCII.format('expected_answer')} AS b FROM r) SELECT result_id, {r6('CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END')} AS similarity FROM w")
+@query("f09_levenshtein")
 def f09(spark, folder):
-    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9 ]", "")
-    return results(spark, folder).select("result_id", round6(tx.levenshtein_ratio(plain("question_text"), plain("expected_answer"))).alias("similarity"))
+    """Edit-distance similarity of the cleaned question and answer, letters with accents included."""
+    df = results(spark, folder).select("result_id", tx.clean_text(F.col("question_text")).alias("a"), tx.clean_text(F.col("expected_answer")).alias("b"))
+    return df.select("result_id", round6(tx.levenshtein_ratio(F.col("a"), F.col("b"))).alias("similarity"))
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
@@ -166,11 +166,15 @@ def f24(spark, folder):
 
 @query("f16_answer_by_prompt")
 def f16(spark, folder):
-    """The final answer by kind of prompt: for ReAct the last paragraph, else by markers."""
-    c, p = F.col("response"), F.lower("prompt_type")
-    last = F.trim(F.element_at(F.split(c, "\n\n"), -1))
-    answer = F.when(F.contains(p, F.lit("react")), last).otherwise(tx.final_answer(c))
-    return results(spark, folder).select("result_id", tx.normalize_answer(answer).alias("answer"))
+    """The final answer by kind of prompt; '' for a null response."""
+    return results(spark, folder).select("result_id", reasoning.answer_by_prompt(F.col("response"), F.coalesce("prompt_type", F.lit(""))).alias("answer"))
+
+
+@query("f17_structured")
+def f17(spark, folder):
+    """Responses to ReAct prompts in the frame of thinking, acting and observing."""
+    df = results(spark, folder).where(F.contains(F.lower("prompt_type"), F.lit("react")) & F.col("response").isNotNull())
+    return df.select("result_id", reasoning.structured(F.col("response")).alias("structured"))
 
 
 @query("p16_prompt_features", f"""WITH {R} SELECT DISTINCT prompt_type, regexp_replace(prompt_type, '_[0-9]+$', '') AS base, nullif(regexp_extract(prompt_type, '([0-9]+)', 1), '')::INTEGER AS shots,
@@ -254,20 +258,69 @@ def g08(spark, folder):
     return results(spark, folder).select("result_id", round6(sc.meteor_unigram(F.col("response"), F.col("expected_answer"))).alias("meteor"))
 
 
+def _metrics(spark, folder):
+    """Result rows with the struct `m` of all metrics of response against expected answer, from one Arrow pass."""
+    df = results(spark, folder).select("result_id", "model_name", tx.clean_text(F.col("response")).alias("c"), tx.clean_text(F.col("expected_answer")).alias("r"))
+    return df.select("result_id", "model_name", "c", "r", udfs.text_metrics("c", "r").alias("m"))
+
+
 @query("g12_arrow_metrics")
 def g12(spark, folder):
-    """ROUGE-L, BLEU-4 and METEOR, in Arrow batches."""
-    from scoreloom.functions import udfs
+    """All text metrics of each row: F1 (by its fallback where no word is shared), exact match, ROUGE-1, 2 and L, BLEU, METEOR and token similarity."""
+    df = results(spark, folder)
+    c, r = F.col("response"), F.col("expected_answer")
+    df = df.select("result_id", sc.fallback_f1(c, r).alias("fallback"), tx.clean_text(c).alias("c"), tx.clean_text(r).alias("r"))
+    df = df.select("result_id", "fallback", (F.col("c") == F.col("r")).cast("double").alias("exact"), udfs.text_metrics("c", "r").alias("m"), udfs.token_similarity()("c", "r").alias("t"))
+    f1 = F.when(F.col("m.f1") > 0, F.col("m.f1")).otherwise(F.col("fallback"))
+    named = {"f1_score": f1, "exact_match": F.col("exact"), "token_similarity": F.col("t.f")} | {k: F.col(f"m.{k}") for k in ("rouge1_f", "rouge2_f", "rougel_f", "bleu", "bleu1", "bleu2", "bleu4", "meteor")}
+    return df.select("result_id", *(round6(x).alias(k) for k, x in named.items()))
 
+
+@query("g05_fallback_f1")
+def g05(spark, folder):
+    """The fallback F1 of the rows whose texts share no word."""
+    df = results(spark, folder).select("result_id", sc.fallback_f1(F.col("response"), F.col("expected_answer")).alias("f1"), udfs.overlap(1)(tx.clean_text(F.col("response")), tx.clean_text(F.col("expected_answer"))).alias("o"))
+    return df.where(F.col("o.shared") == 0).select("result_id", round6(F.col("f1")).alias("f1"))
+
+
+@query("g11_similarity")
+def g11(spark, folder):
+    """rouge_score, the mean of the three ROUGE F, and bleu_score."""
+    rouge = (F.col("m.rouge1_f") + F.col("m.rouge2_f") + F.col("m.rougel_f")) / 3
+    return _metrics(spark, folder).select("result_id", round6(rouge).alias("rouge_score"), round6(F.col("m.bleu")).alias("bleu_score"))
+
+
+@query("g09_token_similarity")
+def g09(spark, folder):
+    """Greedy token similarity with the offline encoder; a model's encoder can be passed instead."""
     df = results(spark, folder).select("result_id", tx.clean_text(F.col("response")).alias("c"), tx.clean_text(F.col("expected_answer")).alias("r"))
-    return df.select("result_id", *(round6(f("c", "r")).alias(n) for n, f in (("rouge_l", udfs.rouge_l), ("bleu", udfs.bleu), ("meteor", udfs.meteor))))
+    return df.select("result_id", udfs.token_similarity()("c", "r").alias("t")).select("result_id", *(round6(F.col(f"t.{k}")).alias(k) for k in ("precision", "recall", "f")))
+
+
+@query("g10_text_cosine")
+def g10_text(spark, folder):
+    """Cosine of the two texts' vectors by the offline encoder."""
+    df = results(spark, folder).select("result_id", tx.clean_text(F.col("response")).alias("c"), tx.clean_text(F.col("expected_answer")).alias("r"))
+    return df.select("result_id", round6(udfs.text_cosine()("c", "r")).alias("cosine"))
+
+
+def _corpus_means(name: str, metrics: tuple[str, ...]) -> None:
+    @query(name)
+    def run(spark, folder):
+        """Means over all rows of a model; rows without a text count 0."""
+        df = _metrics(spark, folder).where(F.col("model_name").isNotNull())
+        return df.groupBy("model_name").agg(F.count("*").alias("n_rows"), *(round6(F.avg(f"m.{m}")).alias(m) for m in metrics))
+
+
+_corpus_means("a35_rouge", tuple(m for m in udfs.METRICS if m.startswith("rouge")))
+_corpus_means("a36_bleu", ("bleu", "bleu1", "bleu2", "bleu3", "bleu4"))
+_corpus_means("a37_meteor", ("meteor",))
+_corpus_means("a38_text_bundle", udfs.METRICS)
 
 
 @query("g16_legacy_correctness")
 def g16(spark, folder):
     """Legacy correctness: last number, matching-block ratio and keyword ratio decide the class."""
-    from scoreloom.functions import udfs
-
     df = scored(spark, folder).select("processed_id", F.lower(F.trim("response")).alias("c"), F.lower(F.trim("question")).alias("r"))
     nums = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+\.?[0-9]*"), F.lit(0))
     hit = F.coalesce(F.array_contains(nums(F.col("c")), F.try_element_at(nums(F.col("r")), F.lit(-1))), F.lit(False))
@@ -295,24 +348,40 @@ def _number_equal(a: str, b: str, tol: str = "0.02::DOUBLE") -> str:
     return f"CASE WHEN {a} = 0 AND {b} = 0 THEN true WHEN abs({a}) > 1 OR abs({b}) > 1 THEN abs({a} - {b}) <= {tol} * greatest(abs({a}), abs({b})) ELSE abs({a} - {b}) <= {tol} END"
 
 
-@query("g13_number_equal", f"WITH {R} SELECT result_id, {_number_equal('rouge1_f', 'bleu')} AS equal FROM r WHERE rouge1_f IS NOT NULL AND bleu IS NOT NULL")
+_LASTS = f"n AS (SELECT result_id, list_last({_numbers('response')}) AS a, list_last({_numbers('expected_answer')}) AS b FROM r WHERE response IS NOT NULL AND expected_answer IS NOT NULL)"
+
+
+@query("g13_number_equal", f"WITH {R}, {_LASTS} SELECT result_id, {_number_equal('a', 'b')} AS equal FROM n WHERE a IS NOT NULL AND b IS NOT NULL")
 def g13(spark, folder):
-    df = results(spark, folder).where(F.col("rouge1_f").isNotNull() & F.col("bleu").isNotNull())
-    return df.select("result_id", number_equal(F.col("rouge1_f"), F.col("bleu")).alias("equal"))
+    """Whether the last number of the response is that of the expected answer."""
+    last = lambda c: F.try_element_at(tx.numbers(F.col(c)), F.lit(-1))
+    df = results(spark, folder).select("result_id", last("response").alias("a"), last("expected_answer").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    return df.select("result_id", number_equal(F.col("a"), F.col("b")).alias("equal"))
+
 
+_FRACTION = "regexp_extract_all({c}, '([0-9]{{1,9}})/([0-9]{{1,9}})', {k})"
+_PARTS_SQL = ", ".join(f"try_cast({_FRACTION.format(c=c, k=k)}[{i}] AS BIGINT) AS {n}" for c, i, n, k in (("question", 1, "a", 1), ("question", 1, "b", 2), ("solution", -1, "c", 1), ("solution", -1, "d", 2)))
 
-@query("g14_fractions", """WITH f AS (SELECT question_id, try_cast(regexp_extract(question, '([0-9]+)/([0-9]+)', 1) AS BIGINT) AS a, try_cast(regexp_extract(question, '([0-9]+)/([0-9]+)', 2) AS BIGINT) AS b FROM questions)
-  SELECT question_id, gcd(a, b) AS divisor, CASE WHEN b <> 0 THEN a * 2 = b OR abs(a::DOUBLE / b - 0.5) < 1e-4 END AS is_half FROM f WHERE a IS NOT NULL AND b IS NOT NULL""")
+
+@query("g14_fractions", f"WITH f AS (SELECT question_id, {_PARTS_SQL} FROM questions) SELECT question_id, gcd(a, b) AS divisor, CASE WHEN b <> 0 AND d <> 0 THEN a * d = c * b OR abs(a::DOUBLE / b - c::DOUBLE / d) < 1e-4 END AS equal FROM f WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL")
 def g14(spark, folder):
-    part = lambda k: F.nullif(F.regexp_extract("question", "([0-9]+)/([0-9]+)", k), F.lit("")).try_cast("bigint")
-    df = table(spark, folder, "questions").select("question_id", part(1).alias("a"), part(2).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return df.select("question_id", gcd(F.col("a"), F.col("b")).alias("divisor"), fraction_equal(F.col("a"), F.col("b"), F.lit(1), F.lit(2)).alias("is_half"))
+    """The first fraction of a question against the last one of its solution."""
+    part = lambda c, at, k: F.try_element_at(F.regexp_extract_all(F.col(c), F.lit("([0-9]{1,9})/([0-9]{1,9})"), F.lit(k)), F.lit(at)).try_cast("bigint")
+    df = table(spark, folder, "questions").select("question_id", part("question", 1, 1).alias("a"), part("question", 1, 2).alias("b"), part("solution", -1, 1).alias("c"), part("solution", -1, 2).alias("d"))
+    df = df.where(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("c").isNotNull() & F.col("d").isNotNull())
+    return df.select("question_id", gcd(F.col("a"), F.col("b")).alias("divisor"), fraction_equal(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("equal"))
 
 
-@query("g15_answer_check")
-def g15(spark, folder):
-    df = results(spark, folder).where(F.col("response").isNotNull() & F.col("expected_answer").isNotNull())
-    return df.select("result_id", sc.answer_check(F.col("response"), F.col("expected_answer")).alias("found"))
+def _checked(name: str, lenient: bool) -> None:
+    @query(name)
+    def run(spark, folder):
+        """Whether each response holds its expected answer, what decided, and the question's kind."""
+        df = results(spark, folder).select("result_id", answers.checked(F.col("response"), F.col("expected_answer"), F.col("question_type"), lenient).alias("x"))
+        return df.select("result_id", "x.found", "x.by", "x.kind")
+
+
+_checked("g15_answer_check", True)
+_checked("g15_answer_check_strict", False)
 
 
 @query("g15_any_number", f"WITH {R}, n AS (SELECT result_id, {_numbers('response')} AS a, {_numbers('expected_answer')} AS b FROM r WHERE response IS NOT NULL AND expected_answer IS NOT NULL) SELECT result_id, len(list_filter(a, lambda x: len(list_filter(b, lambda y: {_number_equal('x', 'y')})) > 0)) > 0 AS found FROM n")
@@ -321,13 +390,16 @@ def g15_any(spark, folder):
     return df.select("result_id", sc.any_number_match(F.col("response"), F.col("expected_answer")).alias("found"))
 
 
-@query("g15_by_family")
-def g15_family(spark, folder):
-    """Share of responses whose answer agrees, by question family and model."""
-    df = results(spark, folder).where(F.col("model_name").isNotNull())
-    cells = F.array(*(F.struct(F.lit(k).alias("family"), sc.family_match(F.col("response"), F.col("expected_answer"), k).alias("same")) for k in sc.FAMILY_PATTERNS))
-    long = df.select("model_name", F.explode(cells).alias("x")).where(F.col("x.same").isNotNull())
-    return long.groupBy("model_name", "x.family").agg(F.count("*").alias("n"), round6(F.avg(F.col("x.same").cast("double"))).alias("agreement"))
+@query("g15_by_kind")
+def g15_kind(spark, folder):
+    """For the questions of each kind, how many responses agree by its comparison alone, by model."""
+    df = results(spark, folder).where(F.col("model_name").isNotNull() & F.col("response").isNotNull() & F.col("expected_answer").isNotNull())
+    df = df.select("model_name", "response", "expected_answer", answers.question_kind(F.col("question_type"), F.col("expected_answer")).alias("kind")).where(F.col("kind").isNotNull())
+    same = None
+    for k in answers.KINDS:
+        match = answers.kind_match(F.col("response"), F.col("expected_answer"), k)
+        same = F.when(F.col("kind") == k, match) if same is None else same.when(F.col("kind") == k, match)
+    return df.groupBy("model_name", "kind").agg(F.count("*").alias("n"), round6(F.avg(F.coalesce(same, F.lit(False)).cast("double"))).alias("agreement"))
 
 
 def _any_sql(c: str, words) -> str:
@@ -363,11 +435,44 @@ def g25(spark, folder):
     return df.select("result_id", sc.react_cycles(F.col("response")).alias("n_cycles"), sc.react_actions(F.col("response")).alias("actions"))
 
 
-@query("g17_calculations")
+def _asked(spark, folder):
+    """Legacy rows with response and question, null as ''."""
+    return scored(spark, folder).select("processed_id", "model_name", "subject_type", "correctness_score", F.coalesce("response", F.lit("")).alias("response"), F.coalesce("question", F.lit("")).alias("question"))
+
+
+@query("g17_reasoning_quality")
 def g17(spark, folder):
-    df = results(spark, folder).where(F.col("response").isNotNull())
+    """Steps, calculations, consistency and complexity of each response, and the reasoning score they give."""
+    df = results(spark, folder).where(F.col("response").isNotNull()).select("result_id", reasoning.quality(F.col("response")).alias("q"))
+    return df.select("result_id", "q.n_steps", "q.n_wrong", *(round6(F.col(f"q.{k}")).alias(k) for k in ("reasoning", "consistency", "complexity")))
+
+
+@query("g18_enhanced_reasoning")
+def g18(spark, folder):
+    """Relevance, efficiency and illogical statements of each response, and the score they give with its quality."""
+    asked = table(spark, folder, "questions").select("question_id", "solution")
+    df = results(spark, folder).where(F.col("response").isNotNull()).join(asked, "question_id", "left")
     c = F.col("response")
-    return df.select("result_id", F.size(sc.calculations(c)).cast("bigint").alias("n_calculations"), sc.calculation_errors(c).alias("n_wrong"), round6(sc.complexity(c)).alias("complexity"))
+    df = df.select("result_id", reasoning.enhanced(c, F.col("solution"), F.col("question_text")).alias("e"), reasoning.illogical(c).alias("n_illogical"))
+    return df.select("result_id", "n_illogical", *(round6(F.col(f"e.{k}")).alias(k) for k in ("relevance", "efficiency", "enhanced")))
+
+
+@query("g22_subject_score")
+def g22(spark, folder):
+    """Score of each legacy response by the criteria of its question's subject."""
+    df = _asked(spark, folder).withColumn("subject", tx.subject(F.col("question")))
+    return df.select("processed_id", "subject", round6(reasoning.subject_score(F.col("response"), F.col("subject"))).alias("score"))
+
+
+@query("j05_scored_rows")
+def j05(spark, folder):
+    """Legacy rows scored anew, with defaults for questions that aren't known: answer, reasoning and their blend."""
+    known = table(spark, folder, "questions").where(F.col("question").isNotNull()).groupBy("question").agg(F.min_by("solution", "question_id").alias("solution"), F.min_by("question_type", "question_id").alias("question_type"))
+    df = _asked(spark, folder).join(known, "question", "left")
+    c = F.col("response")
+    df = df.select("processed_id", F.coalesce("question_type", F.lit("unknown")).alias("asked_type"), answers.checked(c, F.col("solution"), F.col("question_type")).alias("x"), reasoning.quality(c).alias("q"))
+    right = F.col("x.found").cast("double")
+    return df.select("processed_id", "asked_type", right.alias("correctness"), round6(F.col("q.reasoning")).alias("reasoning"), round6(reasoning.blended(right, F.col("q.reasoning"))).alias("score"))
 
 
 @query("g19_final_score")
@@ -380,18 +485,42 @@ def g19(spark, folder):
 _JUDGE = ("accuracy", "reasoning", "completeness", "explanation", "cultural_context")
 
 
-@query("g27_judge_scores", f"WITH {R}, j AS (SELECT result_id, regexp_extract(reasoning_scores_str, '\\{{[^{{}}]*\\}}') AS j FROM r) SELECT result_id, " + ", ".join(f"try_cast(json_extract_string(j, '$.{k}') AS DOUBLE) AS {k}" for k in _JUDGE) + " FROM j WHERE j <> '' AND json_valid(j)")
+@query("g27_judge_scores", f"WITH {R}, j AS (SELECT result_id, regexp_extract(reasoning_scores_str, '\\{{[^{{}}]*\\}}') AS j FROM r) SELECT result_id, " + ", ".join(f"coalesce(try_cast(json_extract_string(j, '$.{k}') AS DOUBLE), 0.0) AS {k}" for k in _JUDGE) + " FROM j WHERE j <> '' AND json_valid(j)")
 def g27(spark, folder):
+    """Scores of all rows whose judge's reply holds JSON; the other forms are in g27_judge_replies."""
     df = results(spark, folder).select("result_id", sc.first_object(F.col("reasoning_scores_str")).alias("j")).where(F.col("j").isNotNull())
-    parsed = df.select("result_id", F.from_json("j", "map<string,double>").alias("m")).where(F.col("m").isNotNull())
-    return parsed.select("result_id", *(F.try_element_at("m", F.lit(k)).alias(k) for k in _JUDGE))
+    parsed = df.select("result_id", F.from_json("j", "map<string,string>").alias("m"), sc.judge_scores(F.col("j"), sc.CRITERIA_NAMES).alias("s")).where(F.col("m").isNotNull())
+    return parsed.select("result_id", *(F.col(f"s.{k}") for k in _JUDGE))
+
+
+@query("g27_judge_replies")
+def g27_all(spark, folder):
+    """Scores and average of every judge's reply, as JSON or as lines."""
+    df = results(spark, folder).where(F.col("reasoning_scores_str").isNotNull())
+    s = df.select("result_id", sc.judge_scores(F.col("reasoning_scores_str"), sc.CRITERIA_NAMES).alias("s"))
+    return s.select("result_id", *(F.col(f"s.{k}") for k in _JUDGE), round6(F.col("s.average")).alias("average"))
 
 
 @query("g28_judge_summary")
 def g28(spark, folder):
+    """Means of the judges' scores by model, and how many replies explain them."""
     df = results(spark, folder).where(F.col("model_name").isNotNull())
-    s = df.select("model_name", sc.judge_scores(F.col("reasoning_scores_str"), _JUDGE).alias("s"))
-    return s.groupBy("model_name").agg(F.count("s.average").alias("n"), *(round6(F.avg(f"s.{k}")).alias(k) for k in (*_JUDGE, "average")))
+    s = df.select("model_name", sc.judge_scores(F.col("reasoning_scores_str"), sc.CRITERIA_NAMES).alias("s"), sc.judge_explanation(F.col("reasoning_scores_str")).alias("why"))
+    return s.groupBy("model_name").agg(F.count("s.average").alias("n"), F.count("why").alias("n_explained"), *(round6(F.avg(f"s.{k}")).alias(k) for k in (*_JUDGE, "average")))
+
+
+@query("g30_completeness_scores")
+def g30(spark, folder):
+    """A completeness score read from every explanation of an error, 5.0 where none is given."""
+    df = results(spark, folder).where(F.col("error_explanation").isNotNull())
+    return df.select("result_id", round6(sc.completeness_score(F.col("error_explanation"))).alias("score"))
+
+
+@query("g31_error_analysis")
+def g31(spark, folder):
+    """Error class and explanation read from every explanation of an error."""
+    df = results(spark, folder).where(F.col("error_explanation").isNotNull()).select("result_id", sc.error_analysis(F.col("error_explanation")).alias("x"))
+    return df.select("result_id", "x.error_type", "x.explanation")
 
 
 @query("g32_error_class", f"WITH {R}, x AS (SELECT lower(coalesce(error_type, error_explanation)) AS l FROM r WHERE coalesce(error_type, error_explanation) IS NOT NULL), c AS (SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(l, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in sc.ERROR_WORDS.items()) + " " + " ".join(f"WHEN starts_with(l, '{i}') THEN '{k}'" for i, k in enumerate(sc.ERROR_WORDS, 1)) + " ELSE 'Other' END AS class FROM x) SELECT class, count(*) AS n FROM c GROUP BY class")

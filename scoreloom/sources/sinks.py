@@ -40,16 +40,15 @@ def expired(files: DataFrame, keep: int = 5) -> DataFrame:
     return files.withColumn("place", F.row_number().over(w)).where(F.col("place") > keep).drop("place")
 
 
-def json_report(df: DataFrame) -> DataFrame:
-    """One row `report`: totals, and accuracy by model and by prompt, as JSON."""
-    def part(key: str) -> DataFrame:
-        g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if("is_correct").alias("correct"), F.count("*").alias("total"))
-        entry = F.struct(F.col(key).alias("k"), F.struct("correct", "total", F.round(F.col("correct") / F.col("total"), 6).alias("accuracy")).alias("v"))
-        return g.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(f"by_{key}"))
-
-    meta = df.agg(F.struct(F.count("*").alias("total"), F.count_if("is_correct").alias("correct")).alias("meta"))
-    one = meta.crossJoin(F.broadcast(part("model_name"))).crossJoin(F.broadcast(part("prompt_type")))
-    return one.select(F.to_json(F.struct("meta", F.col("by_model_name").alias("models"), F.col("by_prompt_type").alias("prompts"))).alias("report"))
+def report_lines(df: DataFrame) -> DataFrame:
+    """Totals, and accuracy by model and by prompt, one line each: part, name, correct, total, accuracy and the line as JSON."""
+    correct = F.count_if("is_correct")
+    accuracy = F.round(correct / F.count("*") + 1e-10, 6) + 0.0
+    numbers = [correct.alias("correct"), F.count("*").alias("total"), accuracy.alias("accuracy")]
+    out = df.agg(*numbers).select(F.lit("meta").alias("part"), F.lit("all").alias("name"), "correct", "total", "accuracy")
+    for key in ("model_name", "prompt_type"):
+        out = out.unionByName(df.where(F.col(key).isNotNull()).groupBy(F.lit(key).alias("part"), F.col(key).alias("name")).agg(*numbers))
+    return out.withColumn("line", F.to_json(F.struct("part", "name", "correct", "total", "accuracy")))
 
 
 def markdown_report(df: DataFrame) -> str:

@@ -83,7 +83,6 @@ def test_scores(spark):
     assert one(spark, sc.relaxed_match(F.lit("đáp số là 5"), F.lit("đáp số 5")))
     assert one(spark, sc.rouge_n(F.lit("a b c"), F.lit("a b c"), 2)).f == 1.0
     assert one(spark, sc.any_number_match(F.lit("có 100"), F.lit("101")))
-    assert one(spark, sc.calculation_errors(F.lit("2 + 2 = 4 và 3 × 3 = 8"))) == 1
     assert one(spark, sc.react_cycles(F.lit("Think: a Act: b Observe: c Think: d Act: e"))) == 1
     assert one(spark, sc.error_class(F.lit("3. Lỗi"))) == "Calculation Error"
     assert one(spark, sc.judge_scores(F.lit('{"accuracy": 4, "reasoning": 2}{"x": 1}'), ("accuracy", "reasoning"))).average == 3.0
