@@ -20,7 +20,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """The value within 0 and 1; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def row_mean(*columns: str) -> Column:
@@ -57,3 +58,10 @@ def let(f, *values: Column) -> Column:
     """
     bound = F.array(F.struct(*(v.alias(f"v{k}") for k, v in enumerate(values))))
     return F.get(F.transform(bound, lambda s: f(*(s[f"v{k}"] for k in range(len(values))))), F.lit(0))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows that have both values; null where one of them doesn't vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.functions.numbers import ratio, round6
+from scoreloom.functions.numbers import correlation, ratio, round6
 
 
 def rate(c: str) -> Column:
@@ -237,7 +237,7 @@ def correlations(df: DataFrame, metrics: Sequence[str], least: int = 5) -> DataF
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     one = df.agg(
         *(F.count_if(both(a, b)).alias(f"n_{a}_{b}") for a, b in pairs),
-        *(F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c_{a}_{b}") for a, b in pairs),
+        *(correlation(F.col(a), F.col(b)).alias(f"c_{a}_{b}") for a, b in pairs),
     )
     rows = F.array(
         *(
@@ -423,3 +423,9 @@ def positive_means(df: DataFrame, key: str, criteria: Sequence[str]) -> DataFram
 def histogram(df: DataFrame, metric: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts in bins of equal width; 0 and bins + 1 hold what lies outside."""
     return df.where(F.col(metric).isNotNull()).groupBy(F.width_bucket(metric, F.lit(low), F.lit(high), F.lit(bins)).cast("bigint").alias("bin")).agg(F.count("*").alias("n_rows"))
+
+
+def corpus_score(df: DataFrame, keys: Sequence[str], candidate: Column, reference: Column, scorer) -> DataFrame:
+    """Mean by group of a score of (candidate, reference) Columns that is passed in; rows without one of the texts don't count."""
+    rows = _known(df, keys).where(candidate.isNotNull() & reference.isNotNull())
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), round6(F.avg(scorer(candidate, reference))).alias("score"))

@@ -23,6 +23,24 @@ def full_grid(models: DataFrame, prompts: DataFrame, questions: DataFrame) -> Da
     return questions.crossJoin(F.broadcast(pairs)).select(F.explode("pairs").alias("p"), "question_id").select("p.*", "question_id")
 
 
+def filtered(questions: DataFrame, ids=None, tags=None, types=None, difficulties=None, first: int | None = None) -> DataFrame:
+    """Questions with one of the ids, a tag (in any case), a type (in any case) and a difficulty of those given, and of these the first by id.
+
+    A question without tags has none of them; what isn't given doesn't filter.
+    """
+    q = questions
+    if ids is not None:
+        q = q.where(F.col("question_id").isin(*ids))
+    if tags is not None:
+        low = [t.lower() for t in tags]
+        q = q.where(F.exists("tags", lambda t: F.coalesce(F.lower(t).isin(*low), F.lit(False))))
+    if types is not None:
+        q = q.where(F.lower("question_type").isin(*(t.lower() for t in types)))
+    if difficulties is not None:
+        q = q.where(F.col("difficulty").isin(*difficulties))
+    return q if first is None else q.orderBy("question_id").limit(first)
+
+
 def pending(grid: DataFrame, done: DataFrame) -> DataFrame:
     """The combinations that no done row has."""
     return grid.join(done.select(*KEYS).distinct(), list(KEYS), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import text as tx
-from scoreloom.functions.numbers import round6
+from scoreloom.functions.numbers import correlation, round6
 from scoreloom.operators import aggregates as ag
 from scoreloom.plans.base import LEGACY_SCORES, SCORES, P, R, legacy, query, results
 from scoreloom.sources.tables import table
@@ -642,7 +642,7 @@ _grouped_scores("a68_by_category_model", {"category": _kind, "model": _by("model
 @query("a66_reasoning_correlation", f"WITH {PX} SELECT model_name, count(*) AS n_rows, {r6('corr(reasoning_score, correctness_score)')} AS correlation FROM px WHERE model_name IS NOT NULL AND reasoning_score IS NOT NULL AND correctness_score IS NOT NULL GROUP BY model_name")
 def a66_corr(spark, folder):
     df = ag._known(scored(spark, folder), ["model_name", "reasoning_score", "correctness_score"])
-    return df.groupBy("model_name").agg(F.count("*").alias("n_rows"), round6(F.corr("reasoning_score", "correctness_score")).alias("correlation"))
+    return df.groupBy("model_name").agg(F.count("*").alias("n_rows"), round6(correlation(F.col("reasoning_score"), F.col("correctness_score"))).alias("correlation"))
 
 
 @query("a07_type_details", f"WITH {PX} SELECT question_type, count(*) AS n_rows, {r6('avg(is_correct::INT::DOUBLE)')} AS accuracy, {r6('avg(elapsed_time)')} AS average_latency, {r6('avg(token_count::DOUBLE)')} AS average_tokens FROM px WHERE question_type IS NOT NULL GROUP BY question_type")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scoreloom.operators import drift
-from scoreloom.plans import analytics, relations, texts  # noqa: F401
+from scoreloom.plans import analytics, judging, relations, reports, texts  # noqa: F401
 from scoreloom.plans.base import QUERIES, SQL, Query, query
 from scoreloom.sources.tables import table
 

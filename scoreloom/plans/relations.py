@@ -299,11 +299,10 @@ def n02(spark, folder):
     return q.select("question_id", F.get(fits, F.lit(0)).cast("bigint").alias("number")).where(F.col("number").isNotNull())
 
 
-@query("n06_row_arithmetic", f"WITH {PX} SELECT processed_id, {r6('greatest(0.0::DOUBLE, least(1.0::DOUBLE, correctness_score + bias_correction))')} AS clamped, {r6('CASE WHEN response_length = 0 THEN 0.0::DOUBLE ELSE token_count::DOUBLE / response_length END')} AS density FROM px")
+@query("n06_row_arithmetic", f"WITH {PX} SELECT processed_id, {r6('CASE WHEN correctness_score + bias_correction IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, correctness_score + bias_correction)) END')} AS clamped, {r6('CASE WHEN response_length = 0 THEN 0.0::DOUBLE ELSE token_count::DOUBLE / response_length END')} AS density FROM px")
 def n06(spark, folder):
     df = scored(spark, folder)
     total = F.col("correctness_score") + F.col("bias_correction")
-    # SQL's greatest and least skip nulls; so do Spark's.
     return df.select("processed_id", round6(clamp01(total)).alias("clamped"), round6(ratio(F.col("token_count"), F.col("response_length"))).alias("density"))
 
 

@@ -126,3 +126,88 @@ def latest_checkpoint(files: DataFrame, pattern: str = "checkpoint_|emergency_")
     """The newest file whose name matches."""
     named = files.where(F.element_at(F.split("path", "/"), -1).rlike(pattern))
     return named.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.max("modificationTime").alias("modificationTime"))
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header; all columns are text, quoted line breaks stay inside their cell."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+
+
+def read_json(spark: SparkSession, path: str, default: DataFrame | None = None, schema: str | None = None) -> DataFrame:
+    """A JSON document or JSON lines; `default` where the file is missing or holds no JSON."""
+    try:
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        if first is None:
+            raise ValueError("empty")
+        whole = first.value.lstrip().startswith("[") or not first.value.rstrip().endswith("}")
+        reader = spark.read.schema(schema) if schema else spark.read
+        df = reader.json(path, multiLine=whole, mode="PERMISSIVE")
+        if df.columns == ["_corrupt_record"]:
+            raise ValueError("no JSON")
+        return df
+    except Exception:
+        if default is None:
+            raise
+        return default
+
+
+def read_yaml(path: str, default=None):
+    """A configuration in YAML, read on the driver; needs the yaml package. `default` where it is missing or broken."""
+    try:
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            return yaml.safe_load(f)
+    except Exception:
+        if default is None:
+            raise
+        return default
+
+
+#: Other names of the columns with the response and the expected answer; the first that exists counts.
+RESPONSE_NAMES = ("response", "answer", "model_answer", "output", "generation", "predicted_answer", "model_response", "prediction", "model_output")
+ANSWER_NAMES = ("correct_answer", "expected_answer", "ground_truth", "reference", "true_answer", "human_answer", "gold_answer", "gold_standard", "reference_answer")
+
+
+def resolve_texts(df: DataFrame) -> DataFrame:
+    """Result rows with `response` and `expected_answer`, whatever they are called (in any case)."""
+    for name, others in (("response", RESPONSE_NAMES), ("expected_answer", ANSWER_NAMES)):
+        if name not in df.columns:
+            found = next((c for c in df.columns if c.lower() in others), None)
+            df = df.withColumnRenamed(found, name) if found else df.withColumn(name, F.lit(None).cast("string"))
+    return df
+
+
+def require(df: DataFrame, *columns: str) -> DataFrame:
+    """The table, if it has all the columns; an error that names the missing ones otherwise."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def section_documents(lines: DataFrame) -> DataFrame:
+    """Questions of exercise texts as written to one file a section: normalised texts, difficulty and tags."""
+    from scoreloom.functions.text import length_difficulty, normalize_extracted, short_tags
+
+    rows = sections(lines)
+    q, s = normalize_extracted(F.col("question")), normalize_extracted(F.col("solution"))
+    return rows.select("doc_id", "question_no", F.coalesce("section", F.lit("general")).alias("section"), q.alias("question"), s.alias("solution"), length_difficulty(q, s).alias("difficulty"), F.array_join(short_tags(q), ",").alias("tags"))
+
+
+def latest_run(rows: DataFrame, models: list[str], prompts: list[str]) -> DataFrame:
+    """The id of the newest run that has all the models and prompts; null if there is none."""
+    has = lambda c, values: F.count_distinct(F.when(F.col(c).isin(*values), F.col(c))) == len(set(values))
+    g = rows.groupBy("run_id").agg(F.max("run_timestamp").alias("t"), (has("model_name", models) & has("prompt_type", prompts)).alias("whole"))
+    return g.where(F.col("whole") & F.col("t").isNotNull()).agg(F.max_by("run_id", F.struct("t", "run_id")).alias("run_id"))
+
+
+def merged(base: Column, override: Column) -> Column:
+    """Two maps as one; the second wins."""
+    return F.map_zip_with(base, override, lambda k, a, b: F.coalesce(b, a))
+
+
+def http_wait(date: Column, now: Column) -> Column:
+    """Seconds from now to an HTTP date, at least 0; null for what is no such date."""
+    at = F.try_to_timestamp(F.regexp_replace(date, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    return F.when(at.isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.unix_timestamp(at) - F.unix_timestamp(now)))
