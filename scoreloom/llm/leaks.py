@@ -161,10 +161,33 @@ class ItemIndex:
         pair = (doc * len(self.ids) + item) * (len(codes) + 2 * len(self.codes) + 2 * width)
         kept = np.zeros(len(doc_at), bool)
         for shift in (0, width // 2):
-            _, band, count = np.unique(pair + (diagonal + shift) // width, return_inverse=True, return_counts=True)
-            kept |= count[band] >= self.needed_of[item]
+            bands, band, count = np.unique(pair + (diagonal + shift) // width, return_inverse=True, return_counts=True)
+            some = np.flatnonzero(count[band] >= self.needed_of[item])
+            if self.edits and len(some):
+                some = some[self._dense(band[some], item[some], item_at[some])]
+            kept[some] = True
         return doc[kept], item[kept], diagonal[kept] - len(self.codes), doc_at[kept]
 
+    def _dense(self, band: np.ndarray, item: np.ndarray, item_at: np.ndarray) -> np.ndarray:
+        """Which shared q-grams of a band lie close enough together: as many as an item's shortest run needs, within its length.
+
+        A longer run misses no more q-grams by its edits than the shortest, so every
+        stretch of it that is as long as the shortest holds enough of them.
+        """
+        order = np.lexsort((item_at, band))
+        band, item, item_at = band[order], item[order], item_at[order]
+        need = self.needed_of[item]
+        last = np.arange(len(order)) + need - 1
+        inside = np.minimum(last, len(order) - 1)
+        # The shortest run has need - 1 + q * (1 + edits) characters, q - 1 of them after its last q-gram.
+        close = (last < len(order)) & (band[inside] == band) & (item_at[inside] - item_at <= need - 1 + self.q * self.edits)
+        edges = np.zeros(len(order) + 1, np.int64)
+        np.add.at(edges, np.flatnonzero(close), 1)
+        np.add.at(edges, last[close] + 1, -1)
+        out = np.zeros(len(order), bool)
+        out[order] = np.cumsum(edges[:-1]) > 0
+        return out
+
     def _aligned(self, codes: np.ndarray, doc, item, diagonal, at) -> set[tuple[int, int]]:
         """Pairs with min_words words in a row that agree character by character on one diagonal."""
         order = np.lexsort((at, diagonal, item, doc))
