@@ -418,7 +418,7 @@ def s15(spark, folder):
     return generate(spark, 2000).groupBy("question_type", "difficulty").agg(F.count("*").alias("n"))
 
 
-@query("n03_josephus", "WITH RECURSIVE j AS (SELECT k, 1 AS n, 0 AS at FROM range(2, 8) AS t(k) UNION ALL SELECT k, n + 1, (at + k) % (n + 1) FROM j WHERE n < 30) SELECT n::BIGINT AS n, k::BIGINT AS k, (at + 1)::BIGINT AS survivor FROM j WHERE n >= 2")
+@query("n03_josephus", "WITH RECURSIVE j AS (SELECT k, 1 AS n, 0 AS spot FROM range(2, 8) AS t(k) UNION ALL SELECT k, n + 1, (spot + k) % (n + 1) FROM j WHERE n < 30) SELECT n::BIGINT AS n, k::BIGINT AS k, (spot + 1)::BIGINT AS survivor FROM j WHERE n >= 2")
 def n03(spark, folder):
     from scoreloom.sources.generate import survivor
 
