@@ -151,7 +151,7 @@ ANSWER_MARKERS = ("final answer:", "therefore, the answer is", "thus, the answer
 
 def final_answer(c: Column) -> Column:
     """What follows the first marker that occurs, up to the paragraph's end; else the last paragraph."""
-    found = [F.trim(F.regexp_extract(c, rf"(?isu){m}(.+?)(?:$|\n\n)", 1)) for m in ANSWER_MARKERS]
+    found = [F.trim(F.regexp_extract(c, rf"(?isu){m}(.+?)(?:\z|\n\n)", 1)) for m in ANSWER_MARKERS]
     last = F.trim(F.element_at(F.split(c, "\n\n"), -1))
     return F.coalesce(*(F.nullif(f, F.lit("")) for f in found), F.nullif(last, F.lit("")), c)
 

@@ -77,7 +77,8 @@ _rows("f05_numbers", "numbers", lambda c: F.array_join(F.transform(tx.numbers(c)
 _rows("f06_is_vietnamese", "vietnamese", tx.is_vietnamese, f"coalesce(length(response) > 0 AND length(response) - length(translate(response, '{tx.VIETNAMESE}', '')) >= 0.3 * length(response), false)")
 _rows("f12_sentences", "sentences", lambda c: F.array_join(tx.sentences(c), "\n"), None, "response", "response IS NOT NULL")
 _rows("f14_normalize_answer", "answer", tx.normalize_answer, f"""coalesce(nullif(regexp_extract(translate(lower({_collapse('response')}), '.,;:!?()"\'\'', ''), '[-+]?[0-9]*\\.?[0-9]+'), ''), translate(lower({_collapse('response')}), '.,;:!?()"\'\'', ''))""", "response")
-_rows("f15_final_answer", "answer", tx.final_answer, None)
+_MARKED = ", ".join(f"nullif(trim(regexp_extract(response, '(?is){m}(.+?)(?:\\z|\n\n)', 1), ' '), '')" for m in tx.ANSWER_MARKERS)
+_rows("f15_final_answer", "answer", tx.final_answer, f"coalesce({_MARKED}, nullif(trim(list_last(string_split(response, '\n\n')), ' '), ''), response)")
 _rows("p27_preview", "preview", tx.preview, "CASE WHEN length(response) > 100 THEN substring(response, 1, 100) || '...' ELSE response END")
 _rows("p24_token_estimate", "n_tokens", lambda c: F.floor(F.char_length(c) / 3), "floor(length(response) / 3)::BIGINT")
 
@@ -418,7 +419,25 @@ def g20(spark, folder):
     return df.select("result_id", round6(sc.confidence(F.col("response"))).alias("confidence"))
 
 
-@query("g23_prompt_reasoning")
+def _share_sql(c: str, markers, least: int = 1) -> str:
+    return f"({_any_sql(c, markers)})::DOUBLE / {float(max(least, len(markers)))!r}::DOUBLE"
+
+
+def _or_sql(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
+
+
+_COT_SQL = f"""0.4::DOUBLE * least({_share_sql('l', sc.STEP_MARKERS, 4)}, 1.0::DOUBLE) + 0.3::DOUBLE * {_share_sql('response', sc.MATH_MARKERS, 3)} + 0.3::DOUBLE * {_share_sql('l', sc.REASON_MARKERS, 3)}
+  + 0.1::DOUBLE * ((contains(l, 'bước 1') AND contains(l, 'bước 2')) OR (contains(l, 'thứ nhất') AND contains(l, 'thứ hai')))::INT + 0.1::DOUBLE * {_or_sql('kết luận', 'vậy', 'do đó', 'conclusion')}::INT"""
+_THINK, _ACT, _SEE = _or_sql("think:", "suy nghĩ:", "suy nghĩ rằng", "tôi cần"), _or_sql("act:", "hành động:", "tôi sẽ", "tiến hành"), _or_sql("observe:", "quan sát:", "kết quả là", "nhận thấy")
+_TURNS = "least(" + ", ".join(f"(length(l) - length(replace(l, '{m}', ''))) / {len(m)}" for m in ("think:", "act:")) + ")"
+_REACT_SQL = f"CASE WHEN {_THINK} AND {_ACT} AND {_SEE} THEN 0.9::DOUBLE WHEN {_THINK} AND {_ACT} THEN 0.7::DOUBLE WHEN {_THINK} THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END + 0.1::DOUBLE * ({_TURNS} >= 2)::INT"
+_FEW_SQL = f"0.5::DOUBLE + 0.3::DOUBLE * {_share_sql('l', sc.EXAMPLE_MARKERS)} + 0.2::DOUBLE * {_or_sql('đáp án', 'kết quả')}::INT"
+_REASONING_SQL = f"""CASE WHEN contains(p, 'cot') THEN {_COT_SQL} WHEN contains(p, 'react') THEN {_REACT_SQL} WHEN contains(p, 'self_consistency') THEN 0.6::DOUBLE + 0.4::DOUBLE * {_share_sql('l', sc.CONSISTENT_MARKERS)}
+  WHEN contains(p, 'few_shot') THEN {_FEW_SQL} WHEN contains(p, 'zero_shot') THEN 0.5::DOUBLE + 0.5::DOUBLE * {_share_sql('l', sc.STRUCTURE_MARKERS)} ELSE 0.5::DOUBLE END"""
+
+
+@query("g23_prompt_reasoning", f"WITH {R}, x AS (SELECT result_id, response, lower(response) AS l, lower(prompt_type) AS p FROM r WHERE response IS NOT NULL AND prompt_type IS NOT NULL) SELECT result_id, {r6(f'greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_REASONING_SQL}))')} AS reasoning FROM x")
 def g23(spark, folder):
     df = results(spark, folder).where(F.col("response").isNotNull() & F.col("prompt_type").isNotNull())
     return df.select("result_id", round6(sc.prompt_reasoning(F.col("response"), F.col("prompt_type"))).alias("reasoning"))
@@ -475,7 +494,17 @@ def j05(spark, folder):
     return df.select("processed_id", "asked_type", right.alias("correctness"), round6(F.col("q.reasoning")).alias("reasoning"), round6(reasoning.blended(right, F.col("q.reasoning"))).alias("score"))
 
 
-@query("g19_final_score")
+def _blend_sql(*weights: float) -> str:
+    names = ("correctness_score", "reasoning_score", "consistency_score", "efficiency_score", "confidence_score")
+    return " + ".join(f"coalesce({n}, 0.0::DOUBLE) * {w!r}::DOUBLE" for n, w in zip(names, weights))
+
+
+_BIAS_SQL = """CASE WHEN prompt_type = 'standard' THEN 0.05::DOUBLE WHEN prompt_type = 'cot' THEN -0.05::DOUBLE * least(0.1::DOUBLE, response_length / 5000.0::DOUBLE) + CASE WHEN reasoning_score > 0.7::DOUBLE THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END
+  WHEN prompt_type = 'hybrid_cot' THEN CASE WHEN reasoning_score > 0.6::DOUBLE AND correctness_score > 0.7::DOUBLE THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END"""
+_MIXED_SQL = f"CASE WHEN prompt_type = 'cot' THEN {_blend_sql(0.45, 0.25, 0.15, 0.10, 0.05)} WHEN prompt_type = 'hybrid_cot' THEN {_blend_sql(0.35, 0.25, 0.15, 0.15, 0.10)} ELSE {_blend_sql(0.9, 0.1, 0.0, 0.0, 0.0)} END"
+
+
+@query("g19_final_score", f"WITH {PX}, b AS (SELECT processed_id, {_BIAS_SQL} AS bias, {_MIXED_SQL} AS mixed FROM px) SELECT processed_id, {r6('bias')} AS bias, {r6('greatest(0.0::DOUBLE, least(1.0::DOUBLE, mixed + coalesce(bias, 0.0::DOUBLE)))')} AS score FROM b")
 def g19(spark, folder):
     c = [F.col(x) for x in ("prompt_type", "correctness_score", "reasoning_score", "consistency_score", "efficiency_score", "confidence_score")]
     bias = sc.bias_correction(c[0], c[1], c[2], F.col("response_length"))
@@ -493,7 +522,17 @@ def g27(spark, folder):
     return parsed.select("result_id", *(F.col(f"s.{k}") for k in _JUDGE))
 
 
-@query("g27_judge_replies")
+def _judged_sql() -> str:
+    by_json = lambda k: f"try_cast(json_extract_string(j, '$.{k}') AS DOUBLE)"
+    by_line = lambda p: f"try_cast(nullif(regexp_extract(t, '(?is)(?:{p}).*?([0-9]+(?:\\.[0-9]+)?)[/\\s]*5', 1), '') AS DOUBLE)"
+    value = lambda k, p: f"coalesce(CASE WHEN j <> '' AND json_valid(j) THEN {by_json(k)} ELSE {by_line(p)} END, 0.0::DOUBLE)"
+    given = ", ".join(f"{value(k, p)} AS {k}" for k, p in (*sc.CRITERIA_NAMES.items(), ("average_", sc.AVERAGE_NAMES))).replace("$.average_", "$.average")
+    positive = f"list_filter([{', '.join(_JUDGE)}], lambda x: x > 0)"
+    return f"""j AS (SELECT result_id, model_name, reasoning_scores_str AS t, regexp_extract(reasoning_scores_str, '\\{{[^{{}}]*\\}}') AS j FROM r WHERE reasoning_scores_str IS NOT NULL),
+      g AS (SELECT result_id, model_name, t, j, {given} FROM j), s AS (SELECT *, CASE WHEN average_ <> 0 THEN average_ ELSE coalesce(list_avg({positive}), 0.0::DOUBLE) END AS average FROM g)"""
+
+
+@query("g27_judge_replies", f"WITH {R}, {_judged_sql()} SELECT result_id, {', '.join(_JUDGE)}, {r6('average')} AS average FROM s")
 def g27_all(spark, folder):
     """Scores and average of every judge's reply, as JSON or as lines."""
     df = results(spark, folder).where(F.col("reasoning_scores_str").isNotNull())
@@ -501,7 +540,10 @@ def g27_all(spark, folder):
     return s.select("result_id", *(F.col(f"s.{k}") for k in _JUDGE), round6(F.col("s.average")).alias("average"))
 
 
-@query("g28_judge_summary")
+_WHY = "coalesce(CASE WHEN j <> '' AND json_valid(j) THEN json_extract_string(j, '$.explanation') END, nullif(trim(regexp_extract(t, '(?is)(?:Giải thích|Explanation)\\s*:(.*)', 1), ' '), ''))"
+
+
+@query("g28_judge_summary", f"WITH {R}, {_judged_sql()} SELECT r.model_name, count(s.average) AS n, count({_WHY}) AS n_explained, {', '.join(f'{r6(f'avg({k})')} AS {k}' for k in (*_JUDGE, 'average'))} FROM r LEFT JOIN s USING (result_id) WHERE r.model_name IS NOT NULL GROUP BY r.model_name")
 def g28(spark, folder):
     """Means of the judges' scores by model, and how many replies explain them."""
     df = results(spark, folder).where(F.col("model_name").isNotNull())
@@ -509,14 +551,26 @@ def g28(spark, folder):
     return s.groupBy("model_name").agg(F.count("s.average").alias("n"), F.count("why").alias("n_explained"), *(round6(F.avg(f"s.{k}")).alias(k) for k in (*_JUDGE, "average")))
 
 
-@query("g30_completeness_scores")
+_POINTS = [f"try_cast(nullif(regexp_extract(lower(error_explanation), '(?:điểm|score)[^0-9]*([0-9]+(?:\\.[0-9]+)?){end}', 1), '') AS DOUBLE)" for end in ("/10", "")]
+
+
+@query("g30_completeness_scores", f"WITH {R}, x AS (SELECT result_id, coalesce({', '.join(_POINTS)}) AS n FROM r WHERE error_explanation IS NOT NULL) SELECT result_id, {r6('CASE WHEN n IS NULL THEN 5.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, n / 10)) END')} AS score FROM x")
 def g30(spark, folder):
     """A completeness score read from every explanation of an error, 5.0 where none is given."""
     df = results(spark, folder).where(F.col("error_explanation").isNotNull())
     return df.select("result_id", round6(sc.completeness_score(F.col("error_explanation"))).alias("score"))
 
 
-@query("g31_error_analysis")
+def _class_sql(c: str) -> str:
+    words = " ".join("WHEN " + " OR ".join(f"contains({c}, '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in sc.ERROR_WORDS.items())
+    return f"CASE {words} " + " ".join(f"WHEN starts_with({c}, '{i}') THEN '{k}'" for i, k in enumerate(sc.ERROR_WORDS, 1)) + " ELSE 'Other' END"
+
+
+_KIND_SQL = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(error_explanation, '(?i){p}:\\s*([^\n]*)', 1), ' '), '')" for p in ("(?:Loại lỗi|Error Type)", "(?:lỗi|error)")) + ")"
+_REASON_SQL = "nullif(trim(regexp_extract(error_explanation, '(?is)(?:Giải thích|Brief Explanation|explanation):\\s*(.*)', 1), ' '), '')"
+
+
+@query("g31_error_analysis", f"WITH {R}, x AS (SELECT result_id, error_explanation, lower({_KIND_SQL}) AS k, {_REASON_SQL} AS w FROM r WHERE error_explanation IS NOT NULL) SELECT result_id, CASE WHEN k IS NULL THEN 'Unknown' ELSE {_class_sql('k')} END AS error_type, coalesce(w, error_explanation) AS explanation FROM x")
 def g31(spark, folder):
     """Error class and explanation read from every explanation of an error."""
     df = results(spark, folder).where(F.col("error_explanation").isNotNull()).select("result_id", sc.error_analysis(F.col("error_explanation")).alias("x"))
