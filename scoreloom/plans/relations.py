@@ -188,7 +188,16 @@ def s09(spark, folder):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"), readers.human_size(F.col("length")).alias("size"))
 
 
-@query("s11_sections")
+#: Questions of exercise texts in SQL: table `e` with doc_id, question_no, section, question and solution.
+SECTIONS = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+  m AS (SELECT *, lower(trim(line, ' ')) AS low FROM l),
+  f AS (SELECT *, (starts_with(low, 'bài ') OR starts_with(low, 'câu '))::INT AS q, (starts_with(low, 'lời giải') OR starts_with(low, 'hướng dẫn giải'))::INT AS s, CASE WHEN starts_with(low, 'phần ') THEN trim(line, ' ') END AS sec FROM m),
+  n AS (SELECT *, sum(q) OVER w AS question_no, last_value(sec IGNORE NULLS) OVER w AS section FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+  p AS (SELECT *, max(s) OVER (PARTITION BY doc_id, question_no ORDER BY line_no ROWS UNBOUNDED PRECEDING) = 1 AS sol FROM n WHERE question_no > 0),
+  e AS (SELECT doc_id, question_no::BIGINT AS question_no, arg_min_null(section, line_no) AS section, coalesce(trim(string_agg(line, ' ' ORDER BY line_no) FILTER (WHERE NOT sol), ' '), '') AS question, coalesce(trim(string_agg(line, ' ' ORDER BY line_no) FILTER (WHERE sol), ' '), '') AS solution FROM p GROUP BY doc_id, question_no)"""
+
+
+@query("s11_sections", f"WITH {SECTIONS} SELECT * FROM e")
 def s11(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return readers.sections(docs)
@@ -283,9 +292,23 @@ def u05(spark, folder):
     return inference.generate(df, "prompt", _echo).select("question_id", "response")
 
 
-@query("u07_vote")
+def _vote_sql(where: str) -> str:
+    """Votes over the final answers of the rows that a condition picks."""
+    from scoreloom.plans.texts import _MARKED, _collapse
+
+    final = f"coalesce({_MARKED}, nullif(trim(list_last(string_split(response, '\n\n')), ' '), ''), response)"
+    plain = f"translate(lower({_collapse('final')}), '.,;:!?()\"\'\'', '')"
+    answer = f"coalesce(nullif(regexp_extract({plain}, '[-+]?[0-9]*\\.?[0-9]+'), ''), {plain})"
+    return f"""WITH {R}, a AS (SELECT result_id, model_name, question_id, {final} AS final FROM r WHERE {where} AND model_name IS NOT NULL AND question_id IS NOT NULL), c AS (SELECT *, {answer} AS answer FROM a),
+      n AS (SELECT model_name, question_id, answer, count(*) AS n, min(result_id) AS first FROM c WHERE answer IS NOT NULL GROUP BY ALL),
+      g AS (SELECT model_name, question_id, sum(n)::BIGINT AS n_answers, count(*) AS unique_answers, arg_max(answer, (n, -first)) AS most_common, max(n) AS top FROM n GROUP BY ALL)
+      SELECT model_name, question_id, n_answers, unique_answers, most_common, {r6('top / n_answers')} AS agreement_rate, {r6('CASE WHEN unique_answers = 1 THEN 1.0::DOUBLE ELSE top / n_answers END')} AS consistency_score FROM g WHERE n_answers > 1"""
+
+
+@query("u07_vote", _vote_sql("regexp_matches(prompt_type, '^(?:cot_)?self_consistency')"))
 def u07(spark, folder):
-    df = results(spark, folder).where(F.col("prompt_type").startswith("cot_self_consistency"))
+    """Votes over the samples of both families of self-consistency."""
+    df = results(spark, folder).where(F.col("prompt_type").rlike("^(?:cot_)?self_consistency"))
     return inference.vote(df, ["model_name", "question_id"], "response", "result_id")
 
 

@@ -12,7 +12,7 @@ from scoreloom.operators import grid, windows
 from scoreloom.plans import inference
 from scoreloom.plans.analytics import CRITERIA, PX, r6, scored
 from scoreloom.plans.base import R, query, results
-from scoreloom.plans.relations import _SPREAD, _spread
+from scoreloom.plans.relations import SECTIONS, _SPREAD, _spread
 from scoreloom.sources import readers, sinks
 from scoreloom.sources.tables import table
 
@@ -133,7 +133,7 @@ def a90(spark, folder):
     return p.select("model_name", "prompt_type", "done", F.col("left").cast("bigint").alias("left"), round6(F.col("accuracy")).alias("accuracy"), round6(F.col("seconds_left")).alias("seconds_left"))
 
 
-@query("a89_section_statistics")
+@query("a89_section_statistics", f"WITH {SECTIONS} SELECT coalesce(section, 'general') AS section, count(*) AS n_questions, count(*) FILTER (WHERE solution <> '') AS n_solutions FROM e GROUP BY 1")
 def a89(spark, folder):
     """Questions and solutions of each section of the exercise texts."""
     docs = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -328,13 +328,6 @@ def u16(spark, folder):
     return out.select("model_name", "n_requests", "input_words", "output_words", round6(F.col("words_per_second")).alias("words_per_second"))
 
 
-@query("u07_votes_of_all_samples")
-def u07_all(spark, folder):
-    """Votes over the samples of both families of self-consistency."""
-    df = results(spark, folder).where(F.col("prompt_type").rlike("^(?:cot_)?self_consistency"))
-    return inference.vote(df, ["model_name", "question_id"], "response", "result_id")
-
-
 @query("u14_ngrams", "WITH w AS (SELECT question_id, list_filter(string_split(trim(regexp_replace(coalesce(question, ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' '), ' '), lambda t: t <> '') AS w FROM questions), g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 0) + 1), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) > 1")
 def u14(spark, folder):
     """Pairs of neighbouring words that questions have more than once."""

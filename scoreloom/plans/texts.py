@@ -448,6 +448,12 @@ def g24(spark, folder):
     return results(spark, folder).where(F.col("response").isNotNull()).select("result_id", sc.step_count(F.col("response")).alias("n_steps"))
 
 
+@query("g25_react_cycles", f"WITH {R} SELECT result_id, least(" + ", ".join(" + ".join(f"((length(lower(response)) - length(replace(lower(response), '{m}', ''))) / {len(m)})::BIGINT" for m in pair) for pair in (("think:", "suy nghĩ:"), ("act:", "hành động:"), ("observe:", "quan sát:"))) + ") AS n_cycles FROM r WHERE contains(lower(prompt_type), 'react') AND response IS NOT NULL")
+def g25_cycles(spark, folder):
+    df = results(spark, folder).where(F.contains(F.lower("prompt_type"), F.lit("react")) & F.col("response").isNotNull())
+    return df.select("result_id", sc.react_cycles(F.col("response")).alias("n_cycles"))
+
+
 @query("g25_react")
 def g25(spark, folder):
     df = results(spark, folder).where(F.contains(F.lower("prompt_type"), F.lit("react")))
@@ -476,7 +482,20 @@ def g18(spark, folder):
     return df.select("result_id", "n_illogical", *(round6(F.col(f"e.{k}")).alias(k) for k in ("relevance", "efficiency", "enhanced")))
 
 
-@query("g22_subject_score")
+def _notions_sql(words, enough: int) -> str:
+    return f"least(1.0::DOUBLE, ({_any_sql('l', words)}) / {float(enough)!r}::DOUBLE)"
+
+
+_CALC = r"([0-9]+\.?[0-9]*)\s*([-+*/])\s*([0-9]+\.?[0-9]*)\s*=\s*([0-9]+\.?[0-9]*)"
+_RIGHT = "list_filter(range(1, len(a) + 1), lambda i: abs(d[i]::DOUBLE - CASE o[i] WHEN '+' THEN a[i]::DOUBLE + b[i]::DOUBLE WHEN '-' THEN a[i]::DOUBLE - b[i]::DOUBLE WHEN '*' THEN a[i]::DOUBLE * b[i]::DOUBLE ELSE a[i]::DOUBLE / nullif(b[i]::DOUBLE, 0) END) <= 0.01)"
+_SUBJECT_SQL = f"""CASE subject WHEN 'arithmetic' THEN CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE len({_RIGHT})::DOUBLE / len(a) END
+  WHEN 'algebra' THEN 0.6::DOUBLE * {_notions_sql(reasoning.ALGEBRA, 3)} + 0.4::DOUBLE * least(1.0::DOUBLE, len(regexp_extract_all(c, '=>|⟹|→|=|⟺')) / 5.0::DOUBLE)
+  WHEN 'geometry' THEN 0.7::DOUBLE * {_notions_sql(reasoning.GEOMETRY, 3)} + 0.3::DOUBLE * contains(l, 'công thức')::INT
+  WHEN 'logic' THEN 0.5::DOUBLE * {_notions_sql(reasoning.LOGIC, 4)} + 0.5::DOUBLE * least(1.0::DOUBLE, len(regexp_extract_all(c, '{reasoning.ORDER}')) / 3.0::DOUBLE) ELSE 0.5::DOUBLE END"""
+_SUBJECT_OF = "CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{p}') THEN '{k}'" for k, p in tx.SUBJECT_PATTERNS) + " ELSE 'general' END"
+
+
+@query("g22_subject_score", f"WITH {PX}, x AS (SELECT processed_id, coalesce(response, '') AS c, lower(coalesce(response, '')) AS l, {_SUBJECT_OF.replace('lower(question)', "lower(coalesce(question, ''))")} AS subject FROM px), y AS (SELECT *, " + ", ".join(f"regexp_extract_all(c, '{_CALC}', {k}) AS {n}" for k, n in ((1, "a"), (2, "o"), (3, "b"), (4, "d"))) + f") SELECT processed_id, subject, {r6(_SUBJECT_SQL)} AS score FROM y".replace(") SELECT", " FROM x) SELECT", 1))
 def g22(spark, folder):
     """Score of each legacy response by the criteria of its question's subject."""
     df = _asked(spark, folder).withColumn("subject", tx.subject(F.col("question")))

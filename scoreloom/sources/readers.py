@@ -119,7 +119,7 @@ def sections(lines: DataFrame) -> DataFrame:
     part = Window.partitionBy("doc_id", "question_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.where(F.col("question_no") > 0).withColumn("in_solution", F.max(F.col("s").cast("int")).over(part) == 1)
     texts = lambda inside: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("in_solution") == inside, F.struct("line_no", "line")))), lambda x: x["line"]), " ")
-    return rows.groupBy("doc_id", "question_no").agg(F.first("section").alias("section"), F.trim(texts(False)).alias("question"), F.trim(texts(True)).alias("solution"))
+    return rows.groupBy("doc_id", "question_no").agg(F.min_by("section", "line_no").alias("section"), F.trim(texts(False)).alias("question"), F.trim(texts(True)).alias("solution"))
 
 
 def latest_checkpoint(files: DataFrame, pattern: str = "checkpoint_|emergency_") -> DataFrame:
