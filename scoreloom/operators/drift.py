@@ -55,19 +55,19 @@ def fields(records: DataFrame, *keep: str) -> DataFrame:
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
-    """The type of each field of each file, the most frequent of its non-null values: file_id, name, type, n.
+    """The type of each field of each file, the most frequent of its non-null values: file_id, name, type, n, whole.
 
     Of types that are equally frequent the first of the alphabet counts; a field
     that is null throughout has a null type. n is the number of records that hold
     the field. Counts are combined before the shuffle.
     """
-    typed = fields(records, "file_id").select("file_id", "name", json_type(F.col("value")).alias("t"))
-    counts = typed.groupBy("file_id", "name").agg(F.count("*").alias("n"), *(F.count_if(F.col("t") == t).alias(t) for t in TYPES))
+    typed = fields(records, "file_id").select("file_id", "name", json_type(F.col("value")).alias("t"), F.when(json_type(F.col("value")) == "number", F.schema_of_variant("value") == "BIGINT").alias("w"))
+    counts = typed.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.coalesce(F.bool_and("w"), F.lit(False)).alias("whole"), *(F.count_if(F.col("t") == t).alias(t) for t in TYPES))
     most = F.greatest(*TYPES)
     chosen = F.when(most == 0, F.lit(None).cast("string"))
     for t in TYPES:
         chosen = chosen.when(F.col(t) == most, t)
-    return counts.select("file_id", "name", chosen.alias("type"), "n")
+    return counts.select("file_id", "name", chosen.alias("type"), "n", "whole")
 
 
 def _transitions(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def _transitions(files: DataFrame, records: DataFrame) -> DataFrame:
     in_order = Window.partitionBy(*series).orderBy("no", "file_id")
     one = one.withColumn("before_id", F.when(F.lag("no").over(in_order) == F.col("no") - 1, F.lag("file_id").over(in_order)))
     one = one.withColumn("after_id", F.when(F.lead("no").over(in_order) == F.col("no") + 1, F.lead("file_id").over(in_order)))
-    held = file_schemas(records).drop("n").join(one, "file_id")
+    held = file_schemas(records).drop("n", "whole").join(one, "file_id")
     of_field = Window.partitionBy(*series, "name").orderBy("no", "file_id")
     held = held.select(
         "*",
@@ -174,21 +174,26 @@ def changes(files: DataFrame, records: DataFrame) -> DataFrame:
     return first.unionByName(kept)
 
 
+#: The lattice of types: what is next above each. Null is below every type; text, which holds any value as JSON, is above all.
+ABOVE = {"integer": "number", "number": "string", "boolean": "string", "array": "string", "object": "string", "string": None}
+
+
 def promote(types: set[str | None]) -> str:
-    """The least type that holds all given types: one type itself, else text.
+    """The least type that holds all given types: the first of the chain above one that lies above each of the others too; text for none."""
 
-    Null is below every type; text, which holds any value as JSON, is above all.
-    """
-    known = {t for t in types if t}
-    return known.pop() if len(known) == 1 else "string"
+    def chain(t: str | None) -> list[str]:
+        return [] if t is None else [t, *chain(ABOVE[t])]
+
+    chains = [chain(t) for t in types if t]
+    return next((t for t in chains[0] if all(t in c for c in chains)), "string") if chains else "string"
 
 
 #: How each type of the lattice is stored in the consistent table.
-COLUMN_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
+COLUMN_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
 
 
 #: A text that is a number.
-NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
+NUMBER, INTEGER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$", r"^\s*[-+]?[0-9]+\s*$"
 
 
 def stored(value: Column, kind: str) -> Column:
@@ -199,8 +204,12 @@ def stored(value: Column, kind: str) -> Column:
     t, text = json_type(value), F.try_variant_get(value, "$", "string")
     if COLUMN_TYPES[kind] == "string":
         return text
-    as_text = text.rlike(NUMBER) if kind == "number" else F.lower(text).isin("true", "false")
-    return F.when((t == kind) | ((t == "string") & as_text), F.try_variant_get(value, "$", COLUMN_TYPES[kind]))
+    if kind == "boolean":
+        fits = (t == "boolean") | ((t == "string") & F.lower(text).isin("true", "false"))
+    else:
+        # What doesn't fit whole numbers, as 7.5 among them, is a stray.
+        fits = F.when(t == "number", F.schema_of_variant(value) == "BIGINT" if kind == "integer" else F.lit(True)).otherwise((t == "string") & text.rlike(INTEGER if kind == "integer" else NUMBER))
+    return F.when(fits, F.try_variant_get(value, "$", COLUMN_TYPES[kind]))
 
 
 def one_table(files: DataFrame, records: DataFrame, dataset: str, strays: str | None = None) -> DataFrame:
@@ -208,8 +217,8 @@ def one_table(files: DataFrame, records: DataFrame, dataset: str, strays: str |
 
     Names that a rename links are one field, called by its most frequent name (of
     equally frequent ones the first). A field's type is that of all its files
-    folded through the lattice: the one type they have, else text, which holds
-    lists, objects and all other values as JSON text. A value that differs from the
+    folded through the lattice: whole numbers are below numbers, and these, truth
+    values, lists and objects below text, which holds all values as JSON text. A value that differs from the
     type of all its field's files and can't be cast is a stray and null there, and
     of a record that holds two names of a field the first with a value counts. Both
     are kept as JSON text by name in the column that `strays` names, a map that is
@@ -220,7 +229,7 @@ def one_table(files: DataFrame, records: DataFrame, dataset: str, strays: str |
     """
     own = files.where(F.col("dataset") == dataset)
     rows = records.join(own.select("file_id"), "file_id")
-    counts = file_schemas(rows).groupBy("name").agg(F.sum("n").alias("n"), F.collect_set("type").alias("types"))
+    counts = file_schemas(rows).groupBy("name").agg(F.sum("n").alias("n"), F.collect_set(F.when((F.col("type") == "number") & F.col("whole"), "integer").otherwise(F.col("type"))).alias("types"))
     seen = {r.name: r for r in counts.collect()}
     log = changes(own, rows)
     links = log.where(F.col("change_kind") == "renamed").select("field_name", "old_name").distinct().collect()

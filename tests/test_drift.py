@@ -60,12 +60,12 @@ def test_one_table_unites_names_and_types(spark):
     second = [(k, {"model_name": f"m{k}", "n": "stray" if k == 29 else k, "tags": ["a"]}) for k in range(20, 60)]
     out = drift.one_table(*tables(spark, {("a", 1): first, ("a", 2): second}), "results")
     assert out.columns == ["file_id", "line_no", "record_key", "file_id_", "model_name", "n", "tags"]
-    assert dict(out.dtypes)["n"] == "double"
+    assert dict(out.dtypes)["n"] == "bigint"
     assert out.where("model_name IS NULL").count() == 0 and out.count() == 70
 
 
 def test_one_table_keeps_files_of_other_types_and_strays(spark):
-    first = [(k, {"n": k + 0.5, "ok": True, "f": 1}) for k in range(100)]
+    first = [(k, {"n": k + 0.5, "ok": True, "f": 0.25}) for k in range(100)]
     second = [(k, {"n": {"value": k + 0.5}, "ok": k, "f": True if k == 1 else "x" if k == 2 else "nan" if k == 3 else "7.5"}) for k in range(4)]
     second += [(k, {"f": k}) for k in range(100, 110)]
     out = drift.one_table(*tables(spark, {("a", 1): first, ("a", 2): second}), "results", "strays")
@@ -96,6 +96,27 @@ def test_one_table_keeps_names_of_any_letters(spark):
 
 
 def test_promotion():
-    assert drift.promote({"number", None}) == "number"
-    assert drift.promote({"number", "string"}) == "string"
-    assert drift.promote(set()) == "string"
+    assert drift.promote({"number", None}) == "number" and drift.promote({"integer"}) == "integer"
+    assert drift.promote({"integer", "number"}) == "number" and drift.promote({"number", "integer", None}) == "number"
+    assert drift.promote({"number", "string"}) == drift.promote({"integer", "boolean"}) == drift.promote({"array", "object"}) == "string"
+    assert drift.promote({"boolean"}) == "boolean" and drift.promote(set()) == drift.promote({None}) == "string"
+
+
+def test_whole_numbers_become_numbers_where_a_file_has_others(spark):
+    first = [(k, {"n": k, "w": k}) for k in range(6)]
+    second = [(k, {"n": k + 0.5, "w": "12" if k == 1 else "7.5" if k == 2 else k}) for k in range(6)]
+    out = drift.one_table(*tables(spark, {("a", 1): first, ("a", 2): second}), "results", "strays")
+    assert dict(out.dtypes[3:]) == {"n": "double", "w": "bigint", "strays": "map<string,string>"}
+    rows = {r.record_key: r for r in out.where("file_id = 2").collect()}
+    assert (rows[0].n, rows[1].w, rows[2].w, rows[2].strays) == (0.5, 12, None, {"w": '"7.5"'})
+
+
+def test_no_shared_folder_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from scoreloom import session
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)), getConf=lambda: {}, master="spark://host:7077")
+    with __import__("pytest").raises(ValueError, match="spark.checkpoint.dir"):
+        session.written(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
