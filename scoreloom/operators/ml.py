@@ -25,18 +25,22 @@ def _vectors(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
 
 
 def components(df: DataFrame, key: str, metrics: Sequence[str], k: int = 2) -> DataFrame:
-    """The first k principal components of each row."""
+    """The first k principal components of each row; an empty table has none."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
 
+    if df.isEmpty():
+        return df.select(key, *(F.lit(0.0).alias(f"pc{i + 1}") for i in range(k)))
     rows = _vectors(df, key, metrics)
     out = PCA(k=k, inputCol="features", outputCol="pc").fit(rows).transform(rows)
     return out.select(key, *(round6(vector_to_array("pc")[i]).alias(f"pc{i + 1}") for i in range(k)))
 
 
 def clusters(df: DataFrame, key: str, metrics: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
-    """The k-means cluster of each row."""
+    """The k-means cluster of each row; an empty table has none."""
     from pyspark.ml.clustering import KMeans
 
+    if df.isEmpty():
+        return df.select(key, F.lit(0).cast("bigint").alias("cluster"))
     rows = _vectors(df, key, metrics)
     return KMeans(k=k, seed=seed, featuresCol="features").fit(rows).transform(rows).select(key, F.col("prediction").cast("bigint").alias("cluster"))
