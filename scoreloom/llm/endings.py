@@ -23,7 +23,11 @@ NO_END, NO_END_CONTEXT = 0.02, 3
 #: Below this share of texts that finish with such a sentence, one without a stop was cut.
 IS_LAST = 0.02
 
+#: Characters at the end of a text in which dots after it are looked for.
+DOTTED = 20
+
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|\S")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 _STOP = ".!?。！？।"
 #: Marks that may follow a finished sentence.
 _CLOSERS = "*_\"'`)]}»”’~ \t\r\n​﻿"
@@ -52,31 +56,88 @@ def tokens(line: str) -> list[str]:
     return out
 
 
-@lru_cache(20_000)
-def _tokens_of_line(line: str) -> tuple[str, ...]:
-    return tuple(tokens(line.strip().strip("*")))
+@lru_cache(50_000)
+def _of_line(line: str) -> tuple[tuple[str, ...], str]:
+    """Sentences of a line that a stop follows, and what none follows, as tokens with blanks between."""
+    out, start = [], 0
+    ts = tokens(line)
+    for i, t in enumerate(ts):
+        if t in _STOP:
+            if i > start:
+                out.append(" ".join(ts[start:i]))
+            start = i + 1
+    return tuple(out), " ".join(ts[start:])
 
 
-def _sentences(text: str) -> Iterable[tuple[tuple[str, ...], bool, bool]]:
+def _sentences(text: str) -> Iterable[tuple[str, bool, bool]]:
     """(tokens, whether they end there, whether the text does too) of each sentence or line.
 
-    What no stop and no line break follows may have been cut, so it is no ending.
+    What no stop and no line break follows may have been cut, as may what dots
+    follow at the end of the text, so it is no ending.
     """
-    out: list[list] = []
-    lines = trimmed(text).split("\n")
+    out: list[tuple[str, bool, bool]] = []
+    core = trimmed(text)
+    # Numbers are one token each, so that lines that differ in them are read once.
+    lines = _NUMBER.sub("0", core).split("\n")
     for n, line in enumerate(lines, 1):
-        ts = _tokens_of_line(line)
-        start = 0
-        for i, t in enumerate(ts):
-            if t in _STOP:
-                if i > start:
-                    out.append([ts[start:i], True, False])
-                start = i + 1
-        if start < len(ts):
-            out.append([ts[start:], n < len(lines), False])
+        ended, rest = _of_line(line.strip().strip("*"))
+        out += [(s, True, False) for s in ended]
+        if rest:
+            out.append((rest, n < len(lines), False))
     if out:
-        out[-1][2] = out[-1][1]
-    return map(tuple, out)
+        s, ended, _ = out[-1]
+        ended = ended and not (core[-1] in ".…])" and _DOTS.search(core[-DOTTED:]))
+        out[-1] = s, ended, ended
+    return out
+
+
+def sentence_counts(texts: Iterable[str]) -> Counter[tuple[str, bool, bool]]:
+    """How many times each of `_sentences` occurs in the texts."""
+    return Counter(s for text in texts for s in _sentences(text))
+
+
+def context_counts(sentences: Iterable[tuple[str, bool, bool, int]], counts: dict[str, list[int]] | None = None) -> dict[str, list[int]]:
+    """For each context how often it was seen, a sentence ended after it, and the text did too; added to `counts`."""
+    counts = {} if counts is None else counts
+    for s, ended, finished, n in sentences:
+        padded = ["^", *s.split(" ")]
+        last = len(padded) - 1
+        for i in range(1, last + ended):
+            ctx = ""
+            for k in range(i, max(-1, i - CONTEXT), -1):
+                ctx = padded[k] + " " + ctx
+                c = counts.get(ctx)
+                if c is None:
+                    c = counts[ctx] = [0, 0, 0]
+                c[0] += n
+                if i == last:
+                    c[1] += n
+                    c[2] += n * finished
+    return counts
+
+
+def is_decided(seen: int, ends: int, lasts: int) -> bool:
+    """Whether no longer context can tell more than this one."""
+    return ends == 0 or ends == seen and lasts in (0, ends)
+
+
+def begun(line: str) -> str:
+    """The line with a name in place of its last letter, which a single capital may have begun."""
+    before, _, last = line.rpartition(" ")
+    return f"{before} N".lstrip() if len(last) == 1 and last.isalpha() else line
+
+
+def start_counts(sentences: Iterable[tuple[str, int]], lines: set[str]) -> Counter[str]:
+    """How many sentences begin as each of the lines does, the whole line and the beginning of a word included."""
+    sizes = sorted({len(x) for x in lines})
+    out: Counter[str] = Counter()
+    for s, n in sentences:
+        for k in sizes:
+            if k > len(s):
+                break
+            if s[:k] in lines:
+                out[s[:k]] += n
+    return out
 
 
 def trimmed(text: str) -> str:
@@ -95,41 +156,37 @@ class EndingModel:
 
     @classmethod
     def fit(cls, texts: Iterable[str]) -> EndingModel:
-        ends: dict[str, int] = {}
-        seen: dict[str, int] = {}
-        finals: dict[str, int] = {}
-        lasts: dict[str, int] = {}
+        """The model of texts that fit in memory; equal ones count once."""
         # Sentences are counted before their contexts are, as many texts share them.
-        sentences = Counter((ts, ended, finished) for text in dict.fromkeys(texts) for ts, ended, finished in _sentences(text))
-        for (ts, ended, finished), n in sentences.items():
-            padded = ["^", *ts]
-            last = len(padded) - 1
-            if not ended:
-                line = " ".join(ts)
-                finals[line] = finals.get(line, 0) + n
-            for i in range(1, len(padded) if ended else last):
-                ctx = ""
-                for k in range(i, max(-1, i - CONTEXT), -1):
-                    ctx = padded[k] + " " + ctx
-                    seen[ctx] = seen.get(ctx, 0) + n
-                    if i == last and ended:
-                        ends[ctx] = ends.get(ctx, 0) + n
-                        if finished:
-                            lasts[ctx] = lasts.get(ctx, 0) + n
-        kept: dict[str, tuple[int, int, int]] = {}
-        for ctx, n in seen.items():
-            if n < SEEN:
-                continue
+        sentences = sentence_counts(dict.fromkeys(texts))
+        counts = context_counts((*s, n) for s, n in sentences.items())
+        known = {}
+        for ctx, c in counts.items():
             # A longer context is kept only where the shorter one is undecided.
             shorter = ctx.split(" ", 1)[1]
-            if shorter:
-                e, o = ends.get(shorter, 0), lasts.get(shorter, 0)
-                if e == 0 or e == seen[shorter] and (o == 0 or o == e):
-                    continue
-            kept[ctx] = (ends.get(ctx, 0), n, lasts.get(ctx, 0))
-        # Lines that many texts have at their very end, such as a closing remark of whole words.
-        usual = frozenset(x for x, n in finals.items() if n >= 2 * SEEN and seen.get(x.rsplit(" ", 1)[-1] + " ", 0) >= SEEN)
-        return cls(kept, usual)
+            if c[0] >= SEEN and not (shorter and is_decided(*counts[shorter])):
+                known[ctx] = (c[1], c[0], c[2])
+        whole, finals = Counter(), Counter()
+        for (s, ended, _), n in sentences.items():
+            whole[s] += n
+            finals[s] += 0 if ended else n
+        lines = cls.candidates((x for x, n in finals.items() if n >= 2 * SEEN), known)
+        starts = start_counts(whole.items(), lines | {begun(x) for x in lines})
+        return cls(known, cls.usual({x: whole[x] for x in lines}, starts))
+
+    @staticmethod
+    def candidates(lines: Iterable[str], known: dict[str, tuple[int, int, int]]) -> set[str]:
+        """The lines whose last word is a known one."""
+        return {x for x in lines if x.rsplit(" ", 1)[-1] + " " in known}
+
+    @staticmethod
+    def usual(whole: dict[str, int], starts: dict[str, int]) -> frozenset[str]:
+        """Lines that many texts have at their very end, such as a closing remark of whole words.
+
+        However many texts were cut at one place, most that begin so go on. A number
+        alone is a result, however many lines begin with one.
+        """
+        return frozenset(x for x, n in whole.items() if x == "0" or n >= IS_END * (starts[x] + (starts.get(begun(x), 0) if begun(x) != x else 0)))
 
     def end_share(self, text: str) -> tuple[float, float, int] | None:
         """How often sentences end where this text does, how often texts end with

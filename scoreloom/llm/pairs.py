@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -11,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.endings import EndingModel, is_cut
+from scoreloom.llm.endings import SEEN, EndingModel, begun, context_counts, is_cut, sentence_counts, start_counts
 from scoreloom.llm.languages import language, same_at_once
 from scoreloom.llm.phrases import automaton, bare, spans
 from scoreloom.llm.residue import kind_of
 from scoreloom.llm.suffix_automaton import SuffixAutomaton, covered
 from scoreloom.llm.truncation import at_limit, limit_map, source_key, storage_limits
-from scoreloom.session import spread
+from scoreloom.session import spread, written
 
-#: Rows that the model of endings is fitted on, at most about so many; documented bound.
-FIT_ROWS = 8000
+#: Contexts that a worker adds up before it passes them on.
+HELD = 200_000
 
 #: Phrases of refusals.
 REFUSAL = """
@@ -176,18 +177,81 @@ def defect_of(
     return "truncated" if is_cut(text, model, whole, limited) else None
 
 
-def fit_endings(df: DataFrame, id_col: str, text_cols: list[str], rows: int = FIT_ROWS) -> EndingModel:
-    """The model of sentence endings, fitted on about `rows` rows chosen by a hash of their id.
+def _sentences_of(batches: Iterable) -> Iterator:
+    """Sentences of distinct texts with their counts, by batch."""
+    import pyarrow as pa
 
-    Sentences and lines are the labelled cases: stops and line breaks label them.
-    Everything else covers all rows. An empty table gives an empty model, by which
-    only texts that end inside a delimiter, or without a stop, are cut.
+    for batch in batches:
+        rows = [(*s, n) for s, n in sentence_counts(batch.column(0).to_pylist()).items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.bool_(), pa.bool_(), pa.int64()))], ["s", "ended", "finished", "n"])
+
+
+def _contexts_of(batches: Iterable) -> Iterator:
+    """Contexts of distinct sentences with their counts, added up over many sentences."""
+    import pyarrow as pa
+
+    def out(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = zip(*counts.values()) if counts else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["ctx", "seen", "ends", "lasts"])
+
+    counts: dict[str, list[int]] = {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            context_counts((row,), counts)
+            if len(counts) >= HELD:
+                yield out(counts)
+                counts.clear()
+    yield out(counts)
+
+
+def fit_endings(df: DataFrame, id_col: str, text_cols: list[str], rows: int | None = None) -> EndingModel:
+    """The model of sentence endings of all texts, each different text once.
+
+    Stops and line breaks label sentences and lines. Whole texts are moved once, to
+    tell different ones; what is counted is added up by the executors, and only the
+    contexts and lines of the model itself come to the driver. An empty table gives
+    an empty model, by which only texts that end inside a delimiter, or without a
+    stop, are cut. `rows` asks for about so many rows instead, chosen by a hash of
+    their id; no query does.
     """
-    total = max(1, df.count())
-    # The first 60 bits of the hash, so that the share stays exact for any number of rows.
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`")), 4)
-    chosen = df.where(draw < F.lit(int((1 << 60) * rows / total))) if total > rows else df
-    return EndingModel.fit(t for r in chosen.select(*(f"`{c}`" for c in text_cols)).toLocalIterator() for t in r if t)
+    if rows is not None and (total := df.count()) > rows:
+        # The first 60 bits of the hash, so that the share stays exact for any number of rows.
+        df = df.where(F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`")), 4) < F.lit(int((1 << 60) * rows / total)))
+    texts = df.select(F.explode(F.array(*(F.col(f"`{c}`") for c in text_cols))).alias("t")).where("t <> ''").distinct()
+    found = texts.mapInArrow(_sentences_of, "s string, ended boolean, finished boolean, n bigint")
+    sentences = written(found.groupBy("s", "ended", "finished").agg(F.sum("n").alias("n")))
+
+    sums = [F.sum(c).alias(c) for c in ("seen", "ends", "lasts")]
+    contexts = spread(sentences).mapInArrow(_contexts_of, "ctx string, seen bigint, ends bigint, lasts bigint").groupBy("ctx").agg(*sums)
+    contexts = written(contexts.where(F.col("seen") >= SEEN))
+    # A longer context is kept only where the shorter one is undecided.
+    undecided = contexts.where("ends > 0 AND (ends < seen OR lasts NOT IN (0, ends))").select(F.col("ctx").alias("shorter"))
+    shorter = F.expr("substring(ctx, instr(ctx, ' ') + 1)")
+    kept = contexts.withColumn("shorter", shorter)
+    kept = kept.where("shorter = ''").unionByName(kept.join(undecided, "shorter", "left_semi"))
+    known = {r.ctx: (r.ends, r.seen, r.lasts) for r in kept.toLocalIterator()}
+
+    finals = sentences.where("NOT ended").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * SEEN)
+    lines = EndingModel.candidates((r.s for r in finals.toLocalIterator()), known)
+    if not lines:
+        return EndingModel(known, frozenset())
+    looked_for = df.sparkSession.sparkContext.broadcast(lines | {begun(x) for x in lines})
+
+    def starts_of(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            starts, whole = start_counts(rows, looked_for.value), Counter()
+            for s, n in rows:
+                if s in looked_for.value:
+                    whole[s] += n
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.string()), pa.array(starts.values(), pa.int64()), pa.array([whole[x] for x in starts], pa.int64())], ["line", "starts", "whole"])
+
+    counts = sentences.select("s", "n").mapInArrow(starts_of, "line string, starts bigint, whole bigint").groupBy("line").agg(F.sum("starts").alias("starts"), F.sum("whole").alias("whole"))
+    found = {r.line: r for r in counts.toLocalIterator()}
+    looked_for.destroy()
+    return EndingModel(known, EndingModel.usual({x: found[x].whole for x in lines}, {x: r.starts for x, r in found.items()}))
 
 
 def pair_defects(
@@ -198,7 +262,6 @@ def pair_defects(
     residue_col: str | None = None,
     source_col: str | None = None,
     out_id: str = "result_id",
-    fit_rows: int = FIT_ROWS,
     only: tuple[str, str] | None = None,
 ) -> DataFrame:
     """One row (id, pair_field, defect) for each defective pair of the question with a text.
@@ -209,14 +272,15 @@ def pair_defects(
     limits of each source in the first text column count as evidence of a cut.
     `only`, a (column, defect), keeps one kind of case.
 
-    The limits are one aggregation of counts; the pairs are one pass without a
+    The endings are learned from all texts, which are moved once to tell different
+    ones. The limits are one aggregation of counts; the pairs are one pass without a
     shuffle over whole texts. A null or blank question has no copy and no other
     language; null and blank texts are `empty`; a bare result is a valid answer;
     repeated rows come out each; an empty table gives no row.
     """
     spark = df.sparkSession
     first = text_cols[0]
-    model = spark.sparkContext.broadcast(fit_endings(df, id_col, text_cols, fit_rows))
+    model = spark.sparkContext.broadcast(fit_endings(df, id_col, text_cols))
     names = [id_col, question_col, *text_cols]
     rows = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), *([source_key(F.col(f"`{source_col}`")).alias("source")] if source_col else []))
     by_source = None

@@ -410,6 +410,23 @@ def test_sample_is_chosen_by_id(spark):
     assert fit_endings(df.limit(0), "id", ["t"]).known == {}
 
 
+def test_endings_are_learned_from_every_row(spark):
+    rows = [(i, f"Mua {i} g đường.\nCòn {i} g.", None if i % 3 else f"Lời {i}.\nĐáp số: {i} g") for i in range(9_000)]
+    df = spark.createDataFrame([*rows, *rows[:50], (0, "", None)], "id bigint, t string, u string")
+    model, whole = fit_endings(df, "id", ["t", "u"]), EndingModel.fit(t for r in rows for t in r[1:] if t)
+    assert model.known == whole.known and model.last_lines == whole.last_lines == {"dap so : 0 g"}
+    assert model.known["duong "] == (9_000, 9_000, 0) and model.known["con "][1] == 9_000
+
+
+def test_many_cuts_at_one_place_are_no_ending():
+    finished = [f"Lấy {i} g bột.\nTa biểu diễn quan hệ giữa các số bằng sơ đồ." for i in range(300)]
+    cuts = [f"Lấy {i} g bột.\nTa biểu diễn quan hệ g" for i in range(300, 330)]
+    dotted = [f"Lấy {i} g bột.\nTa biểu diễn qua" + dots for i in range(330, 360) for dots in ("...", "…", " [...]")]
+    remarks = [f"Lấy {i} g bột.\nChúc em học tốt" for i in range(360, 390)]
+    model = EndingModel.fit([*finished, *cuts, *dotted, *remarks, *map(str, range(30)), "Đi qua sông. Ta qua cầu. Em qua đò. Anh qua phà. Tốt lắm. Tốt quá. Tốt hơn. Tốt nhất."])
+    assert all(is_cut(t, model) for t in (*cuts, *dotted)) and not any(is_cut(t, model) for t in (*finished, *remarks, "76"))
+
+
 # --- keyword pages
 
 TEXT = "Giáo viên bộ môn ghi lại từng bước về phân số trong tuần đầu tiên. Hãy thử thay 85 bằng 96 và xem kết quả đổi thế nào. "
