@@ -418,6 +418,15 @@ def test_endings_are_learned_from_every_row(spark):
     assert model.known["duong "] == (9_000, 9_000, 0) and model.known["con "][1] == 9_000
 
 
+def test_rare_endings_of_a_large_table_are_known(spark):
+    words = "thỏ vịt ngan dê bò trâu cừu lạc hổ voi gấu khỉ".split()
+    rows = [f"Mua {i} g đường.\nCòn {i} g." for i in range(9_000)] + [f"Nhà có {i} con {w}." for w in words for i in range(4)]
+    rows += [f"Nhà có 77 con {w}" for w in words] + ["Nhà có 77 con kh", "Nhà có 77 con"]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(rows)], "id bigint, q string, a string")
+    out = pair_defects(df, "id", "q", ["a"], only=("a", "truncated"))
+    assert sorted(rows[r.result_id] for r in out.collect()) == ["Nhà có 77 con", "Nhà có 77 con kh"]
+
+
 def test_many_cuts_at_one_place_are_no_ending():
     finished = [f"Lấy {i} g bột.\nTa biểu diễn quan hệ giữa các số bằng sơ đồ." for i in range(300)]
     cuts = [f"Lấy {i} g bột.\nTa biểu diễn quan hệ g" for i in range(300, 330)]
